@@ -18,8 +18,6 @@ from tramline.schemas import KEYS
 from tramline.sources.store import materialise, shared_folder
 from tramline.streaming import changes
 
-BASE = ["nation", "supplier", "part", "orders", "lineitem", "events", "documents"]
-
 VIEWS = {
     "fx_routes": """
 SELECT 'R' || n_nationkey AS route_id,
@@ -91,11 +89,26 @@ FROM events""",
 ORDER = {"stop_times": ["tb1", "stop_id", "tb2", "tb3"]}
 
 
+# The base tables of each view.
+BASE = {
+    "fx_routes": ["nation"],
+    "fx_stops": ["supplier"],
+    "fx_shape_points": ["part"],
+    "fx_trips": ["orders"],
+    "fx_stop_times": ["lineitem", "orders"],
+    "fx_observations": ["events"],
+}
+_VIEWS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views as a DataFrame."""
-    for table in BASE:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(VIEWS[name])
+    """One of the views as a DataFrame; its plan is kept for the Spark application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _VIEWS:
+        for table in BASE[name]:
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        _VIEWS[key] = spark.sql(VIEWS[name])
+    return _VIEWS[key]
 
 
 def raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

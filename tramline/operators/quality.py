@@ -92,13 +92,11 @@ def judge(df: DataFrame, table: str, skips: list[Rule], repairs: list[Rule] = ()
     return Judged(df, table, tuple(skips), tuple(repairs))
 
 
-def _missing(field: str, example: Column) -> Rule:
+def _missing(field: str, example: Column | None = None) -> Rule:
+    example = F.lit(None).cast("string") if example is None else example
     return Rule(F.col(field).isNull(), f"missing {field}", example)
 
 
-_NO_EXAMPLE = F.lit(None).cast("string")
-
-
 def _coordinate_rules(lon_raw: str, lat_raw: str, box, example: Column, prefix: str = "") -> list[Rule]:
     """Missing, not a number, outside the box: the first that holds."""
     lon, lat = F.col("lon"), F.col("lat")
@@ -121,7 +119,7 @@ def judge_routes(raw: DataFrame, route_types=ROUTE_TYPES, keep=()) -> Judged:
     return judge(
         df, "routes",
         [
-            _missing("route_id", _NO_EXAMPLE),
+            _missing("route_id"),
             Rule(~wanted, F.concat(F.lit("route_type not wanted: "), type_text), F.col("route_id")),
         ],
         [Rule(F.col("route_short_name").isNull(), "blank route_short_name, used route_id", F.col("route_id"))],
@@ -147,7 +145,7 @@ def judge_stops(raw: DataFrame, bbox=BBOX, keep=()) -> Judged:
         .withColumn("location_type", location_type(F.col("location_type")))
     )
     return judge(df, "stops", [
-        _missing("stop_id", _NO_EXAMPLE),
+        _missing("stop_id"),
         _missing("stop_name", stop),
         *_coordinate_rules("stop_lon", "stop_lat", bbox, stop),
     ])
@@ -186,7 +184,7 @@ def judge_points(raw: DataFrame, bbox=BBOX) -> Judged:
         .withColumn("lat", lenient_double(F.col("shape_pt_lat")))
     )
     return judge(df, "shapes", [
-        _missing("shape_id", _NO_EXAMPLE),
+        _missing("shape_id"),
         Rule(F.col("seq").isNull(), "missing or unparseable shape_pt_sequence", shape),
         *_coordinate_rules("shape_pt_lon", "shape_pt_lat", bbox, shape, "point rejected: "),
     ])
@@ -241,7 +239,7 @@ def judge_trips(raw: DataFrame, routes: DataFrame, shapes: DataFrame, keep=()) -
     return judge(
         df, "trips",
         [
-            _missing("trip_id", _NO_EXAMPLE),
+            _missing("trip_id"),
             Rule(F.col("_route").isNull(), "route_id not loaded", with_id(route)),
             _missing("service_id", trip),
         ],
@@ -304,17 +302,21 @@ def surplus_count(df: DataFrame, keys: list[str]) -> DataFrame:
     return per_key.agg(staged.alias("staged"), kept.alias("kept"), (staged - kept).alias("duplicates"))
 
 
-def duplicate_log(df: DataFrame, table: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Log rows for the copies that ``dedupe`` drops, with how many each key lost."""
+def duplicate_log(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    """Log rows for the copies that ``dedupe`` drops; ``rows`` carries how many a key lost.
+
+    A key yields no more log rows than the ledger shows examples.
+    """
     first, second = keys
     per_key = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ord").alias("ord")).where("n > 1")
-    return per_key.select(
+    shown = F.sequence(F.lit(1).cast("long"), F.least(F.col("n") - 1, F.lit(EXAMPLES)))
+    return per_key.withColumn("_at", F.explode(shown)).select(
         F.lit(table).alias("table"),
         F.lit("skipped").alias("kind"),
         F.lit(f"duplicate ({', '.join(keys)})").alias("reason"),
         F.concat(F.col(first).cast("string"), F.lit(" #"), F.col(second).cast("string")).alias("example"),
         "ord",
-        (F.col("n") - 1).alias("rows"),
+        F.when(F.col("_at") == 1, F.col("n") - 1).otherwise(0).alias("rows"),
     )
 
 

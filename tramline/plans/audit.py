@@ -125,7 +125,8 @@ def longest_shape_of_route(t: dict, short_name: str) -> DataFrame:
     used = t["trips"].where("shape_id is not null").join(named, "route_id").select("shape_id", "route_short_name").distinct()
     best = (
         used.join(exact_length_m(t["segments"]), "shape_id")
-        .orderBy(F.desc("meters"), "shape_id", "route_short_name")
+        # Lengths equal to the millimetre are ties.
+        .orderBy(F.desc(F.round("meters", 3)), "shape_id", "route_short_name")
         .limit(1)
     )
     vertices = t["shapes"].join(best.select("shape_id"), "shape_id", "left_semi")
