@@ -139,7 +139,8 @@ class Tables(dict):
 
     def _feed(self) -> dict[str, DataFrame]:
         if self._staged is None:
-            self._staged = load.collapse(load.clean(raw(self.spark, self.sf_dir), ORDER)[0], ORDER)
+            staged, self._logs = load.clean(raw(self.spark, self.sf_dir), ORDER, stage=materialise)
+            self._staged = load.collapse(staged, ORDER)
         return self._staged
 
     def _build(self, name: str) -> DataFrame:

@@ -66,10 +66,10 @@ def _(spark, d):
     FROM (SELECT feed, poll_seq, ordinal, start_date = 'bad' AND status_code = 7 AS bad FROM o_snapshots) v GROUP BY feed, poll_seq"""))
 def _(spark, d):
     # Records with a bad date and an unknown status stand for text that was cut off in landing.
-    text = F.to_json(F.struct("ordinal", "trip_id", "start_date", "route_id", "stop_id", "status_code", "feed_epoch"))
+    text = F.to_json(F.struct("poll_ts", "ordinal", "trip_id", "start_date", "route_id", "stop_id", "status_code", "feed_epoch"))
     cut = (F.col("start_date") == "bad") & (F.col("status_code") == 7)
     lines = snapshots(spark, d).select(
-        "feed", "poll_seq", "poll_ts", F.when(cut, F.left(text, F.lit(20))).otherwise(text).alias("value")
+        "feed", "poll_seq", F.when(cut, F.left(text, F.lit(20))).otherwise(text).alias("value")
     )
     records = landed.parse(lines)
     good = landed.readable(records).groupBy("feed", "poll_seq").agg(F.count("*").alias("records"))

@@ -19,7 +19,10 @@ WHITESPACE = (
 
 def blank_to_null(c: Column) -> Column:
     """Trimmed text, NULL when nothing is left."""
-    return F.nullif(F.trim(c, F.lit(WHITESPACE)), F.lit(""))
+    white = F.lit(WHITESPACE)
+    # Trimming a set of characters is slow, so it is done only where an end needs it.
+    padded = (F.instr(white, F.left(c, F.lit(1))) > 0) | (F.instr(white, F.right(c, F.lit(1))) > 0)
+    return F.nullif(F.when(padded, F.trim(c, white)).otherwise(c), F.lit(""))
 
 
 def lenient_int(c: Column) -> Column:

@@ -17,15 +17,15 @@ from tramline.functions import geo
 from tramline.operators.ordered import SLICE_ROWS, plain, sliced, with_previous, with_running
 
 ORDER = ["seq", "ord"]
-BLOCK = 64  # consecutive sequence numbers per bounding box
+BLOCK = 16  # consecutive sequence numbers per bounding box
 LOCAL_ROWS = 100_000  # vertices one task simplifies on its own
 
 
 def segments(vertices: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per segment, at its end vertex.
 
-    ``x1, y1, x2, y2``, planar ``len``, ``run`` (length before it), and per line the
-    planar ``total`` and segment count ``n``.
+    ``x1, y1, x2, y2``, planar ``len``, ``run`` (length before it), geodesic length ``nm``
+    in whole nanometres, and per line the planar ``total`` and segment count ``n``.
     """
     key = ["shape_id"]
     cut = sliced(vertices, key, "seq", "ord", slice_rows)
@@ -34,14 +34,20 @@ def segments(vertices: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
         F.col("previous.lon").alias("x1"), F.col("previous.lat").alias("y1"),
         F.col("lon").alias("x2"), F.col("lat").alias("y2"),
     )
-    rows = rows.withColumn("len", geo.planar_length(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    rows = rows.withColumn("len", geo.planar_length(*ends)).withColumn(
+        "nm", F.round(geo.spheroid_m(*ends) * 1e9).cast("long")
+    )
     return plain(with_running(rows, key, ORDER, F.col("len"), "run", "total", "n"))
 
 
 def length_m(segs: DataFrame) -> DataFrame:
-    """``shape_id, meters``: geodesic length."""
-    step = geo.spheroid_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return segs.groupBy("shape_id").agg(F.sum(step).alias("meters"))
+    """``shape_id, meters, n``: geodesic length and segment count.
+
+    Summed in whole nanometres: lines with the same segments get the same length in
+    whatever order Spark adds them, so equal lengths stay equal.
+    """
+    return segs.groupBy("shape_id").agg((F.sum("nm") / 1e9).alias("meters"), F.count("*").alias("n"))
 
 
 def summary(vertices: DataFrame) -> DataFrame:
@@ -67,20 +73,20 @@ def locate(pairs: DataFrame, segs: DataFrame) -> DataFrame:
 
     ``pairs`` holds ``shape_id, stop_id, lon, lat``. Ties go to the first segment.
     Blocks of segments are compared by bounding box first: a block whose box is
-    farther than the farthest corner of another one cannot hold the nearest segment,
-    so only the blocks left over are compared segment by segment.
+    farther away than some vertex of the line cannot hold the nearest segment, so
+    only the blocks left over are compared segment by segment.
     """
     px, py = F.col("lon"), F.col("lat")
     key = ["shape_id", "stop_id"]
     boxes = _blocks(segs).groupBy("shape_id", "_block").agg(
         F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x1"),
         F.min(F.least("y1", "y2")).alias("_y0"), F.max(F.greatest("y1", "y2")).alias("_y1"),
+        F.first("x1").alias("_ax"), F.first("y1").alias("_ay"),
     )
     zero = F.lit(0.0)
     near_x = F.greatest(F.col("_x0") - px, zero, px - F.col("_x1"))
     near_y = F.greatest(F.col("_y0") - py, zero, py - F.col("_y1"))
-    far_x = F.greatest(F.abs(px - F.col("_x0")), F.abs(px - F.col("_x1")))
-    far_y = F.greatest(F.abs(py - F.col("_y0")), F.abs(py - F.col("_y1")))
+    far_x, far_y = px - F.col("_ax"), py - F.col("_ay")
     candidates = pairs.join(boxes, "shape_id").select(
         *key, "lon", "lat", "_block",
         (near_x * near_x + near_y * near_y).alias("_near"),
@@ -174,7 +180,10 @@ def _simplify_whole(vertices: DataFrame, tolerance: float) -> DataFrame:
 
     def thin(table: pa.Table) -> pa.Table:
         table = table.sort_by([("seq", "ascending"), ("ord", "ascending")])
-        keep = _kept(table["lon"].to_numpy(), table["lat"].to_numpy(), tolerance)
+        x, y = table["lon"].to_numpy(), table["lat"].to_numpy()
+        keep = _kept(x, y, tolerance)
+        if keep.sum() == 2 and x[0] == x[-1] and y[0] == y[-1]:
+            keep[:] = False  # collapsed
         return table.filter(pa.array(keep))
 
     return vertices.select("shape_id", *ORDER, "lon", "lat").groupBy("shape_id").applyInArrow(thin, _VERTEX)
@@ -251,23 +260,27 @@ def _simplify_long(vertices: DataFrame, tolerance: float, local_rows: int) -> Da
     return reduce(DataFrame.unionByName, kept)
 
 
-def simplify(vertices: DataFrame, tolerance: float, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def simplify(
+    vertices: DataFrame, tolerance: float, local_rows: int = LOCAL_ROWS, longest: int | None = None
+) -> DataFrame:
     """Vertices left after simplifying each line; ``tolerance`` in degrees, 0 keeps all.
 
-    A line reduced to two equal vertices has collapsed and yields no vertices. One
-    count job decides whether some line is too long for a single task.
+    A line reduced to two equal vertices has collapsed and yields no vertices. ``longest``
+    is the vertex count of the longest line where it is known; otherwise one count job
+    finds out whether some line is too long for a single task.
     """
     if tolerance <= 0:
         return vertices.select("shape_id", *ORDER, "lon", "lat")
+    if longest is not None and longest <= local_rows:
+        return _simplify_whole(vertices, tolerance)
     long = vertices.groupBy("shape_id").agg(F.count("*").alias("_n")).where(F.col("_n") > local_rows)
     if long.isEmpty():
-        thin = _simplify_whole(vertices, tolerance)
-    else:
-        ids = long.select("shape_id")
-        thin = _simplify_whole(vertices.join(ids, "shape_id", "left_anti"), tolerance).unionByName(
-            _simplify_long(vertices.join(ids, "shape_id", "left_semi"), tolerance, local_rows)
-        )
-    alive = thin.groupBy("shape_id").agg(
+        return _simplify_whole(vertices, tolerance)
+    ids = long.select("shape_id")
+    cut = _simplify_long(vertices.join(ids, "shape_id", "left_semi"), tolerance, local_rows)
+    alive = cut.groupBy("shape_id").agg(
         ((F.count("*") > 2) | (F.min("lon") < F.max("lon")) | (F.min("lat") < F.max("lat"))).alias("_alive")
     )
-    return thin.join(alive.where("_alive").select("shape_id"), "shape_id", "left_semi")
+    return _simplify_whole(vertices.join(ids, "shape_id", "left_anti"), tolerance).unionByName(
+        cut.join(alive.where("_alive").select("shape_id"), "shape_id", "left_semi")
+    )

@@ -73,13 +73,12 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[s
         F.lead("_slice").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_slice"),
         F.col("_last").alias("_carried"),
     ).where(F.col("_slice").isNotNull())
-    rows = _rows(keys, order)
     return (
-        df.withColumn("_first", F.row_number().over(rows) == 1)
-        .withColumn(name, F.lag(value).over(rows))
+        df.withColumn(name, F.lag(value).over(_rows(keys, order)))
         .join(carried, [*keys, "_slice"], "left")
-        .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col(name)))
-        .drop("_first", "_carried")
+        # A struct is never NULL itself, so lag is NULL on a slice's first row only.
+        .withColumn(name, F.coalesce(name, "_carried"))
+        .drop("_carried")
     )
 
 

@@ -8,7 +8,8 @@ input columns to carry through, such as those giving the file order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,7 @@ from tramline.operators.ordered import SLICE_ROWS, first_per_key, plain, sliced,
 from tramline.schemas import BBOX, FEED_FILES, ROUTE_TYPES
 
 EXAMPLES = 3
+Stage = Callable[[DataFrame, str], DataFrame]
 
 
 def normalise(raw: DataFrame, table: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -54,6 +56,10 @@ class Judged:
     skips: tuple[Rule, ...]
     repairs: tuple[Rule, ...] = ()
 
+    def staged(self, stage: Stage | None) -> Judged:
+        """The same with its rows written out, so that tables and logs share one evaluation."""
+        return self if stage is None else replace(self, df=stage(self.df, f"judged_{self.table}"))
+
     @property
     def good(self) -> DataFrame:
         return self.df.where("_rule is null")
@@ -89,7 +95,9 @@ def judge(df: DataFrame, table: str, skips: list[Rule], repairs: list[Rule] = ()
     if repairs:
         flags = [F.when(rule.broken, F.lit(len(skips) + at)) for at, rule in enumerate(repairs)]
         df = df.withColumn("_fixes", F.array_compact(F.array(*flags)))
-    return Judged(df, table, tuple(skips), tuple(repairs))
+    # Parsed columns and rule numbers pass through a generator, because Spark would otherwise
+    # copy all the parsing into every filter on them and run it again there.
+    return Judged(df.select(F.inline(F.array(F.struct("*")))), table, tuple(skips), tuple(repairs))
 
 
 def _missing(field: str, example: Column | None = None) -> Rule:
@@ -126,8 +134,8 @@ def judge_routes(raw: DataFrame, route_types=ROUTE_TYPES, keep=()) -> Judged:
     )
 
 
-def clean_routes(raw: DataFrame, route_types=ROUTE_TYPES, keep=()) -> tuple[DataFrame, DataFrame]:
-    judged = judge_routes(raw, route_types, keep)
+def clean_routes(raw: DataFrame, route_types=ROUTE_TYPES, keep=(), stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
+    judged = judge_routes(raw, route_types, keep).staged(stage)
     good = judged.good.select(
         "route_id", F.coalesce("route_short_name", "route_id").alias("route_short_name"),
         "route_long_name", "route_color", "route_text_color", "ord", *keep,
@@ -166,8 +174,8 @@ def judge_parents(survivors: DataFrame) -> Judged:
     ])
 
 
-def clean_stops(raw: DataFrame, bbox=BBOX, keep=()) -> tuple[DataFrame, DataFrame]:
-    judged = judge_stops(raw, bbox, keep)
+def clean_stops(raw: DataFrame, bbox=BBOX, keep=(), stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
+    judged = judge_stops(raw, bbox, keep).staged(stage)
     repaired = judge_parents(judged.good)
     good = repaired.df.select(
         "stop_id", "stop_name", F.col("parent_kept").alias("parent_station"), "location_type", "lon", "lat", "ord", *keep
@@ -206,10 +214,10 @@ def dedupe_vertices(points: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFram
     return plain(rows.where(fresh).drop("previous"))
 
 
-def clean_shapes(raw: DataFrame, bbox=BBOX, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame]:
+def clean_shapes(raw: DataFrame, bbox=BBOX, slice_rows: int = SLICE_ROWS, stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
     """Shapes as one row per vertex (``shape_id, seq, ord, lon, lat``), so that no line
     has to fit one row."""
-    judged = judge_points(raw, bbox)
+    judged = judge_points(raw, bbox).staged(stage)
     points = judged.good.select("shape_id", "seq", "ord", "lon", "lat")
     lines = drawable_shapes(points)
     short = judge(lines, "shapes", [Rule(~F.col("drawable"), "fewer than 2 distinct points", F.col("shape_id"))])
@@ -247,8 +255,10 @@ def judge_trips(raw: DataFrame, routes: DataFrame, shapes: DataFrame, keep=()) -
     )
 
 
-def clean_trips(raw: DataFrame, routes: DataFrame, shapes: DataFrame, keep=()) -> tuple[DataFrame, DataFrame]:
-    judged = judge_trips(raw, routes, shapes, keep)
+def clean_trips(
+    raw: DataFrame, routes: DataFrame, shapes: DataFrame, keep=(), stage: Stage | None = None
+) -> tuple[DataFrame, DataFrame]:
+    judged = judge_trips(raw, routes, shapes, keep).staged(stage)
     good = judged.good.select(
         "trip_id", "route_id", "service_id", F.col("shape_kept").alias("shape_id"), "direction_id", "ord", *keep
     )
@@ -282,8 +292,10 @@ def judge_stop_times(raw: DataFrame, trips: DataFrame, stops: DataFrame, keep=()
     )
 
 
-def clean_stop_times(raw: DataFrame, trips: DataFrame, stops: DataFrame, keep=()) -> tuple[DataFrame, DataFrame]:
-    judged = judge_stop_times(raw, trips, stops, keep)
+def clean_stop_times(
+    raw: DataFrame, trips: DataFrame, stops: DataFrame, keep=(), stage: Stage | None = None
+) -> tuple[DataFrame, DataFrame]:
+    judged = judge_stop_times(raw, trips, stops, keep).staged(stage)
     good = judged.good.select(
         "trip_id", F.col("seq").alias("stop_sequence"), "stop_id", "arrival_sec", "departure_sec", "ord", *keep
     )

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from tramline.functions import geo
 from tramline.functions.scalars import clock_text, text_head
-from tramline.operators.lines import points_array, summary
+from tramline.operators.lines import length_m, points_array, summary
 from tramline.operators.spatial import nearby
-from tramline.plans.views import exact_length_m
 from tramline.schemas import KEYS
 
 DAY = 24 * 3600
@@ -124,7 +123,7 @@ def longest_shape_of_route(t: dict, short_name: str) -> DataFrame:
     named = t["routes"].where(F.col("route_short_name") == short_name).select("route_id", "route_short_name")
     used = t["trips"].where("shape_id is not null").join(named, "route_id").select("shape_id", "route_short_name").distinct()
     best = (
-        used.join(exact_length_m(t["segments"]), "shape_id")
+        used.join(length_m(t["segments"]), "shape_id")
         # Lengths equal to the millimetre are ties.
         .orderBy(F.desc(F.round("meters", 3)), "shape_id", "route_short_name")
         .limit(1)

@@ -14,30 +14,37 @@ from tramline.operators.tables import prune, pruned, prune_orphans, upsert
 from tramline.plans.headway import scheduled
 from tramline.plans.positions import shape_stop_positions
 from tramline.schemas import BBOX, KEYS, ROUTE_TYPES
-from tramline.sources.store import read_version, write_version
+from tramline.sources.store import materialise, read_version, write_version
 
 TABLES = ["routes", "stops", "shapes", "trips", "stop_times"]
 # Children before the parents they reference.
 PRUNE_ORDER = ["stop_times", "trips", "shapes", "stops", "routes"]
 
 
-def clean(raw: dict, order: dict[str, list[str]] | None = None, route_types=ROUTE_TYPES, bbox=BBOX) -> tuple[dict, dict]:
+def clean(
+    raw: dict, order: dict[str, list[str]] | None = None, route_types=ROUTE_TYPES, bbox=BBOX,
+    stage: quality.Stage | None = None,
+) -> tuple[dict, dict]:
     """``(staged, logs)`` of the five feed tables: valid rows before duplicate keys collapse.
 
     ``order`` names columns that decide, per table, which of several rows with one key
-    is the first; default: file order.
+    is the first; default: file order. ``stage`` writes the judged rows of a table and
+    reads them back; without it everything stays one lazy plan.
     """
     order = order or {}
     keep = {table: tuple(c for c in order.get(table, []) if c not in _OWN[table]) for table in TABLES}
     staged, logs = {}, {}
-    staged["routes"], logs["routes"] = quality.clean_routes(raw["routes"], route_types, keep["routes"])
-    staged["stops"], logs["stops"] = quality.clean_stops(raw["stops"], bbox, keep["stops"])
-    staged["shapes"], logs["shapes"] = quality.clean_shapes(raw["shapes"], bbox)
-    points = quality.judge_points(raw["shapes"], bbox).good
-    drawable = quality.drawable_shapes(points).where("drawable")
-    staged["trips"], logs["trips"] = quality.clean_trips(raw["trips"], staged["routes"], drawable, keep["trips"])
+    staged["routes"], logs["routes"] = quality.clean_routes(raw["routes"], route_types, keep["routes"], stage)
+    staged["stops"], logs["stops"] = quality.clean_stops(raw["stops"], bbox, keep["stops"], stage)
+    staged["shapes"], logs["shapes"] = quality.clean_shapes(raw["shapes"], bbox, stage=stage)
+    if stage is not None:
+        staged["shapes"] = stage(staged["shapes"], "shapes")
+    # A line is loaded if any of its vertices is.
+    staged["trips"], logs["trips"] = quality.clean_trips(
+        raw["trips"], staged["routes"], staged["shapes"], keep["trips"], stage
+    )
     staged["stop_times"], logs["stop_times"] = quality.clean_stop_times(
-        raw["stop_times"], staged["trips"], staged["stops"], keep["stop_times"]
+        raw["stop_times"], staged["trips"], staged["stops"], keep["stop_times"], stage
     )
     return staged, logs
 
@@ -120,7 +127,7 @@ def refresh(
     if mode not in ("upsert", "replace"):
         raise ValueError(f"unknown refresh mode {mode!r}")
     order = order or {}
-    staged, logs = clean(raw, order)
+    staged, logs = clean(raw, order, stage=materialise)
     feed = collapse(staged, order)
     removed, versions = {}, {}
     for table in TABLES:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import geo
 from tramline.functions.scalars import clamped_progress, epoch_seconds, hex_color, iso_utc
-from tramline.operators.lines import interpolate, points_array, simplify
+from tramline.operators.lines import interpolate, length_m, points_array, simplify
 from tramline.operators.tracking import RUN, as_of_log, latest_positions, match_shapes, previous_stop
 from tramline.schemas import DEFAULT_ROUTE_COLOR, DEFAULT_TEXT_COLOR, STOPPED_AT
 
@@ -24,25 +24,20 @@ RUNNING_SPEED_MPS = 11
 FRESHNESS_MIN = 10
 
 
-def exact_length_m(segs: DataFrame) -> DataFrame:
-    """``shape_id, meters``, summed in whole nanometres: lines with the same segments get
-    the same length whatever order Spark adds them in, so ties stay ties."""
-    step = geo.spheroid_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return segs.groupBy("shape_id").agg((F.sum(F.round(step * 1e9).cast("long")) / 1e9).alias("meters"))
-
-
 def representative_shapes(trips: DataFrame, segs: DataFrame) -> DataFrame:
-    """``route_id, direction_id, shape_id``: the longest line per route and direction.
+    """``route_id, direction_id, shape_id, n``: the longest line per route and direction,
+    with its segment count.
 
     Trips collapse to distinct triples first and lengths are computed once per line. No
     direction is a direction of its own; ties go to the smallest shape id.
     """
     triples = trips.where("shape_id is not null").select("route_id", "direction_id", "shape_id").distinct()
-    longest = F.min_by("shape_id", F.struct((-F.col("meters")).alias("m"), "shape_id"))
+    longest = F.min(F.struct((-F.col("meters")).alias("m"), "shape_id", "n"))
     return (
-        triples.join(exact_length_m(segs), "shape_id")
+        triples.join(length_m(segs), "shape_id")
         .groupBy("route_id", "direction_id")
-        .agg(longest.alias("shape_id"))
+        .agg(longest.alias("best"))
+        .select("route_id", "direction_id", "best.shape_id", "best.n")
     )
 
 
@@ -53,18 +48,23 @@ def _check_tolerance(tolerance: float) -> float:
     return tolerance
 
 
+def _drawn(t: dict, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """The representative shapes and their simplified vertices."""
+    # One row per route and direction, used in several places below: worked out once.
+    chosen = representative_shapes(t["trips"], t["segments"]).checkpoint()
+    longest = chosen.agg(F.max("n")).first()[0] or 0
+    vertices = t["shapes"].join(chosen.select("shape_id").distinct(), "shape_id", "left_semi")
+    return chosen.drop("n"), simplify(vertices, tolerance, longest=longest + 1)
+
+
 def route_line_vertices(t: dict, tolerance: float = TOLERANCE_DEG) -> DataFrame:
     """The drawn lines as vertex rows: ``shape_id, seq, ord, lon, lat``."""
-    tolerance = _check_tolerance(tolerance)
-    chosen = representative_shapes(t["trips"], t["segments"]).select("shape_id").distinct()
-    return simplify(t["shapes"].join(chosen, "shape_id", "left_semi"), tolerance)
+    return _drawn(t, _check_tolerance(tolerance))[1]
 
 
 def route_lines(t: dict, tolerance: float = TOLERANCE_DEG) -> DataFrame:
     """One feature per route and direction, with ``geometry`` as GeoJSON text."""
-    tolerance = _check_tolerance(tolerance)
-    chosen = representative_shapes(t["trips"], t["segments"])
-    drawn = simplify(t["shapes"].join(chosen.select("shape_id").distinct(), "shape_id", "left_semi"), tolerance)
+    chosen, drawn = _drawn(t, _check_tolerance(tolerance))
     geometry = points_array(drawn).select("shape_id", geo.as_geojson_line(F.col("points")).alias("geometry"))
     return (
         chosen.join(t["routes"], "route_id")
@@ -130,7 +130,7 @@ def located(
         previous_stop(match_shapes(latest, t["trips"]), log)
         .join(following, ["shape_id", "stop_id"], "left")
         .join(passed, ["shape_id", "prev_stop_id"], "left")
-        .join(exact_length_m(t["segments"]), "shape_id", "left")
+        .join(length_m(t["segments"]).drop("n"), "shape_id", "left")
     )
     ahead, behind = F.col("next_fraction"), F.col("prev_fraction")
     needed = F.abs(ahead - behind) * F.col("meters") / speed_mps

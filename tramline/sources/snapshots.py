@@ -1,4 +1,8 @@
-"""Landed realtime snapshots: JSON lines under ``feed=<name>/``, one file per poll."""
+"""Landed realtime snapshots: JSON lines under ``poll_seq=<n>/feed=<name>/``.
+
+Poll number and feed are part of the path, so they are known for unreadable records
+too. An empty poll lands as an empty file, or not at all: its number is skipped.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +14,14 @@ from tramline.schemas import SNAPSHOT
 
 CORRUPT = "_corrupt_record"
 _WITH_CORRUPT = T.StructType([*SNAPSHOT.fields, T.StructField(CORRUPT, T.StringType())])
-# Feed and poll come with the landed file, so they are known for unreadable records too.
-ENVELOPE = ["feed", "poll_seq", "poll_ts"]
+ENVELOPE = ["feed", "poll_seq"]
+_LINES = "value string, poll_seq long, feed string"
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """Snapshot records of JSON text in ``value``; works on batch and streaming frames.
 
-    ``lines`` also has ``feed, poll_seq, poll_ts`` of the landed file. Text that does not
+    ``lines`` also has ``feed`` and ``poll_seq`` of the landed file. Text that does not
     parse is kept in ``_corrupt_record``.
     """
     body = F.from_json(
@@ -44,14 +48,9 @@ def readable(records: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Landed JSON snapshots as a batch frame, unreadable records in ``_corrupt_record``."""
-    return spark.read.schema(_WITH_CORRUPT).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return parse(spark.read.schema(_LINES).text(path))
 
 
-def read_stream(spark: SparkSession, path: str, polls_per_batch: int = 8) -> DataFrame:
-    """The same as a stream. Files must hold whole polls and arrive in poll order."""
-    return (
-        spark.readStream.schema(_WITH_CORRUPT)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("maxFilesPerTrigger", polls_per_batch)
-        .json(path)
-    )
+def read_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+    """The same as a stream. Polls must land in order; a poll may be split between two batches."""
+    return parse(spark.readStream.schema(_LINES).option("maxFilesPerTrigger", files_per_batch).text(path))

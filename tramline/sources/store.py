@@ -48,14 +48,25 @@ def write_version(df: DataFrame, root: str, table: str) -> str:
     return version
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _file_system(spark, path)
+    return files.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Remove a folder; False when there is none."""
+    target, files = _file_system(spark, path)
+    return files.delete(target, True)
 
 
 def _latest(spark: SparkSession, root: str, table: str) -> tuple[int, str | None]:
     path = f"{root}/{table}/_pointers"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return 0, None
     row = spark.read.schema("number int, version string").json(path).agg(F.max(F.struct("number", "version"))).first()
     return (row[0]["number"], row[0]["version"]) if row and row[0] else (0, None)
@@ -77,23 +88,18 @@ def append_days(df: DataFrame, path: str, day: str = "observed_date") -> None:
 
 def existing_days(spark: SparkSession, path: str, day: str = "observed_date") -> DataFrame:
     """``day`` of every partition folder, from the file listing alone."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "day date")
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listed = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
-    names = [status.getPath().getName() for status in listed]
+    target, files = _file_system(spark, path)
+    names = [status.getPath().getName() for status in files.listStatus(target)]
     days = [(date.fromisoformat(n.split("=", 1)[1]),) for n in names if n.startswith(day + "=") and "HIVE" not in n]
     return spark.createDataFrame(days, "day date")
 
 
 def drop_days(spark: SparkSession, path: str, days: DataFrame, column: str = "observed_date") -> int:
     """Remove whole day partitions of a path-based table; a day list is short by nature."""
-    dropped = 0
-    for row in days.select("day").collect():
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={row['day'].isoformat()}")
-        if target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True):
-            dropped += 1
-    return dropped
+    rows = days.select("day").collect()
+    return sum(delete(spark, f"{path}/{column}={row['day'].isoformat()}") for row in rows)
 
 
 def drop_table_days(spark: SparkSession, table: str, days: DataFrame, column: str = "observed_date") -> int:
