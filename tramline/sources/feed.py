@@ -9,11 +9,11 @@ from tramline.schemas import FEED_FILES
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One feed file (or a folder of its parts) with ``ord``, a number rising in file order.
+    """One feed file with ``ord``, a number rising in file order.
 
     The header decides which columns exist; those of the schema that the file lacks come
-    back as NULL. ``ord`` leads with the file block's place, so it does not depend on how
-    Spark schedules the parts.
+    back as NULL. Spark cuts a file into blocks in order, so ``ord`` follows the file; a
+    folder of parts is read too, but which part comes first is then up to Spark.
     """
     # Only the header line is read here; every column is text.
     present = spark.read.option("header", True).csv(path)
