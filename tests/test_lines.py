@@ -63,7 +63,10 @@ def test_simplify_edges(spark, walks):
     assert lines.simplify(loop, 1e-3, local_rows=1).isEmpty()
 
 
-def test_locate_and_interpolate(spark, walks):
+@pytest.mark.parametrize("long_line,max_bins", [(4096, 65_536), (50, 7)])
+def test_locate_and_interpolate(spark, walks, monkeypatch, long_line, max_bins):
+    monkeypatch.setattr(lines, "LONG_LINE", long_line)
+    monkeypatch.setattr(lines, "MAX_BINS", max_bins)
     rng = random.Random(5)
     segs = lines.segments(walks).cache()
     stops = [(s, f"p{i}", -73.9 + rng.uniform(-0.1, 0.2), 40.7 + rng.uniform(-0.05, 0.05)) for s in "abcd" for i in range(25)]

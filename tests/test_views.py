@@ -88,6 +88,10 @@ def test_route_lines(t):
             views.route_lines(t, bad)
 
 
+def document_at(path):
+    return json.loads("".join(p.read_text() for p in sorted(path.glob("part-*"))))
+
+
 def test_stations(t, tmp_path):
     found = views.stations(t)
     assert [(r["stop_id"], r["routes"]) for r in found.collect()] == [("ST", ["one", "two"])]
@@ -97,12 +101,19 @@ def test_stations(t, tmp_path):
     assert document["features"][0]["properties"] == {"stop_id": "ST", "stop_name": "Station", "routes": ["one", "two"]}
     assert json.loads(geojson.collection(features.where("false"), ["stop_id"]).first()[0]) == {"type": "FeatureCollection", "features": []}
     lines = geojson.line_features(views.route_lines(t), ["route_id", "route_long_name", "direction_id"])
-    geojson.write_collection(lines, str(tmp_path / "g"), ["route_id", F.asc_nulls_last("direction_id")])
-    parts = sorted((tmp_path / "g").glob("part-*"))
-    written = json.loads("".join(p.read_text() for p in parts))
+    order = ["route_id", "direction_id"]
+    geojson.write_collection(lines, str(tmp_path / "g"), order)
+    written = document_at(tmp_path / "g")
     assert [f["properties"]["route_id"] for f in written["features"]] == ["R1", "R1", "R2"]
     # Properties without a value stay, as null.
     assert written["features"][0]["properties"]["route_long_name"] is None
+    # Piecewise writing gives the same document, also with pieces of one or two vertices.
+    vertices = views.route_line_vertices(t)
+    for rows in (50_000, 1):
+        geojson.write_lines(lines, vertices, ["route_id", "route_long_name", "direction_id"], str(tmp_path / f"p{rows}"), order, rows)
+        assert document_at(tmp_path / f"p{rows}") == written
+    geojson.write_lines(lines, vertices.where("false"), ["route_id"], str(tmp_path / "n"), order)
+    assert [f["geometry"] for f in document_at(tmp_path / "n")["features"]] == [None] * 3
 
 
 def test_snapshot_diff(spark):

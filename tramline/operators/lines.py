@@ -18,6 +18,8 @@ from tramline.operators.ordered import SLICE_ROWS, plain, sliced, with_previous,
 
 ORDER = ["seq", "ord"]
 BLOCK = 16  # consecutive sequence numbers per bounding box
+LONG_LINE = 4096  # segments from which blocks are grouped once more
+MAX_BINS = 65_536  # equal parts a line is cut into for interpolation
 LOCAL_ROWS = 100_000  # vertices one task simplifies on its own
 
 
@@ -64,47 +66,66 @@ def points_array(vertices: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(segs: DataFrame) -> DataFrame:
-    return segs.withColumn("_block", F.floor(F.col("seq") / BLOCK))
+def _with_blocks(segs: DataFrame) -> DataFrame:
+    """Add ``_block``, and ``_group``: one per line, on long lines about as many as blocks in each."""
+    group = F.floor(F.col("seq") / (BLOCK * F.ceil(F.sqrt(F.col("n") / BLOCK))))
+    return segs.withColumn("_block", F.floor(F.col("seq") / BLOCK)).withColumn(
+        "_group", F.when(F.col("n") > LONG_LINE, group).otherwise(F.lit(0).cast("long"))
+    )
 
 
-def locate(pairs: DataFrame, segs: DataFrame) -> DataFrame:
-    """``shape_id, stop_id, fraction``: nearest place on the line, as a share of its planar length.
+def _near_boxes(pairs: DataFrame, segs: DataFrame, on: list[str], box: str) -> DataFrame:
+    """``pairs`` with the boxes that can hold the nearest segment.
 
-    ``pairs`` holds ``shape_id, stop_id, lon, lat``. Ties go to the first segment.
-    Blocks of segments are compared by bounding box first: a block whose box is
-    farther away than some vertex of the line cannot hold the nearest segment, so
-    only the blocks left over are compared segment by segment.
+    A box farther away than some vertex of the line cannot. The slack covers rounding;
+    it can only keep a box too many.
     """
-    px, py = F.col("lon"), F.col("lat")
     key = ["shape_id", "stop_id"]
-    boxes = _blocks(segs).groupBy("shape_id", "_block").agg(
+    px, py, zero = F.col("lon"), F.col("lat"), F.lit(0.0)
+    boxes = segs.groupBy(*dict.fromkeys([*on, box])).agg(
         F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x1"),
         F.min(F.least("y1", "y2")).alias("_y0"), F.max(F.greatest("y1", "y2")).alias("_y1"),
         F.first("x1").alias("_ax"), F.first("y1").alias("_ay"),
     )
-    zero = F.lit(0.0)
     near_x = F.greatest(F.col("_x0") - px, zero, px - F.col("_x1"))
     near_y = F.greatest(F.col("_y0") - py, zero, py - F.col("_y1"))
     far_x, far_y = px - F.col("_ax"), py - F.col("_ay")
-    candidates = pairs.join(boxes, "shape_id").select(
-        *key, "lon", "lat", "_block",
+    columns = [*key, "lon", "lat", *dict.fromkeys([*on[1:], box])]
+    candidates = pairs.join(boxes, on).select(
+        *columns,
         (near_x * near_x + near_y * near_y).alias("_near"),
         (far_x * far_x + far_y * far_y).alias("_far"),
     )
     limit = candidates.groupBy(*key).agg(F.min("_far").alias("_limit"))
-    # The slack covers rounding; it can only keep a block too many.
-    kept = candidates.join(limit, key).where(F.col("_near") <= F.col("_limit") * (1 + 1e-9)).select(
-        *key, "lon", "lat", "_block"
+    return candidates.join(limit, key).where(F.col("_near") <= F.col("_limit") * (1 + 1e-9)).select(*columns)
+
+
+def locate(pairs: DataFrame, segs: DataFrame) -> DataFrame:
+    """``shape_id, stop_id, fraction``: nearest place on the line, as a share of its planar length.
+
+    ``pairs`` holds ``shape_id, stop_id, lon, lat``. Ties go to the first segment. A stop
+    is not compared with every segment of its line: blocks of segments are ruled out by
+    their bounding boxes, on long lines whole groups of blocks first, so that the work per
+    stop grows with the square root of the line.
+    """
+    zero = F.lit(0.0)
+    key = ["shape_id", "stop_id"]
+    pairs = pairs.select(*key, "lon", "lat")
+    blocked = _with_blocks(segs)
+    long = blocked.where(F.col("n") > LONG_LINE)
+    ids = long.select("shape_id").distinct()
+    grouped = pairs.join(ids, "shape_id", "left_anti").withColumn("_group", F.lit(0).cast("long")).unionByName(
+        _near_boxes(pairs, long, ["shape_id"], "_group")
     )
+    kept = _near_boxes(grouped, blocked, ["shape_id", "_group"], "_block").select(*key, "lon", "lat", "_block")
+    px, py = F.col("lon"), F.col("lat")
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    share = geo.segment_share(px, py, *ends)
     gap_x = px - (F.col("x1") + F.col("_share") * (F.col("x2") - F.col("x1")))
     gap_y = py - (F.col("y1") + F.col("_share") * (F.col("y2") - F.col("y1")))
     along = (F.col("run") + F.col("_share") * F.col("len")) / F.nullif(F.col("total"), zero)
     return (
-        kept.join(_blocks(segs), ["shape_id", "_block"])
-        .withColumn("_share", share)
+        kept.join(blocked, ["shape_id", "_block"])
+        .withColumn("_share", geo.segment_share(px, py, *ends))
         .groupBy(*key)
         .agg(F.min_by(along, F.struct((gap_x * gap_x + gap_y * gap_y).alias("d"), "seq", "ord")).alias("fraction"))
         .withColumn("fraction", F.least(F.lit(1.0), F.greatest(zero, F.coalesce("fraction", zero))))
@@ -120,9 +141,10 @@ def interpolate(targets: DataFrame, segs: DataFrame, keys: list[str]) -> DataFra
     """``keys, lon, lat``: the point at ``fraction`` of the line ``shape_id``.
 
     ``targets`` holds ``keys, shape_id, fraction``. A line of n segments is cut into n
-    equal bins; the join is on (line, bin), and a line's segments cover at most 2n bins.
+    equal bins (MAX_BINS at most); the join is on (line, bin), and a line's segments
+    cover at most twice as many bins.
     """
-    total, n = F.col("total"), F.col("n")
+    total, n = F.col("total"), F.least(F.col("n"), F.lit(MAX_BINS))
     bin_of = lambda at: F.greatest(F.lit(0).cast("long"), F.least(F.floor(at * n), n - 1))
     slack = total * 1e-12
     start, end = F.col("run") - slack, F.col("run") + F.col("len") + slack

@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 2_000_000
-# At most this many keys can each hold more than 1/1000 of the rows, so the list
-# of long keys has a fixed size bound and may be broadcast. Keys left out of it
-# hold less than 1/1000 of the rows each.
-MAX_LONG_KEYS = 1000
+# The list of long keys is broadcast, so its size is bounded: the longest keys come
+# first, and a key left out of it holds less than 1/100,000 of the rows.
+MAX_LONG_KEYS = 100_000
 
 
 def long_keys(df: DataFrame, keys: list[str], lead: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -31,9 +30,9 @@ def long_keys(df: DataFrame, keys: list[str], lead: str, slice_rows: int = SLICE
             F.min(lead).cast("double").alias("_lo"),
             F.max(lead).cast("double").alias("_hi"),
         )
+        .where(n > slice_rows)
         .orderBy(F.desc("_n"), *keys)
         .limit(MAX_LONG_KEYS)
-        .where(n > slice_rows)
         .select(*keys, "_lo", ((F.col("_hi") - F.col("_lo") + 1) * slice_rows / n).alias("_step"))
     )
 

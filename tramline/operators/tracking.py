@@ -58,16 +58,22 @@ def match_shapes(runs: DataFrame, trips: DataFrame) -> DataFrame:
     return runs.join(shapes, "trip_id", "left")
 
 
-def previous_stop(latest: DataFrame, log: DataFrame) -> DataFrame:
+def previous_stop(latest: DataFrame, log: DataFrame, max_lookback_days: int | None = None) -> DataFrame:
     """Add ``prev_stop_id, prev_at``: the last stop a run halted at other than its present one.
 
     A backward as-of join whose inequality depends on the probe row. ``latest`` must hold
-    each run's newest row of ``log``, so only halts up to it exist. The log is first reduced
-    to the last halt per (run, stop): the join then sees stops, not observations.
+    each run's newest row of ``log``, so only halts up to it exist. The log is cut to the
+    runs asked for and reduced to the last halt per (run, stop), so that the as-of step
+    sees stops, not observations. By default the whole history counts;
+    ``max_lookback_days`` bounds it, and the day partitions read, where that is enough.
     """
     moment = F.struct("observed_at", "poll_seq", "ordinal")
+    if max_lookback_days is not None:
+        oldest = latest.agg(F.date_sub(F.to_date(F.min("observed_at")), max_lookback_days)).first()[0]
+        log = log.where(F.col("observed_date" if "observed_date" in log.columns else "observed_at") >= F.lit(oldest))
     halts = (
         log.where(F.col("current_status") == STOPPED_AT)
+        .join(latest.select(*RUN), RUN, "left_semi")
         .groupBy(*RUN, "stop_id")
         .agg(F.max(moment).alias("_at"))
         .withColumnRenamed("stop_id", "_stop")
