@@ -19,6 +19,7 @@ def session(cores: str | None = None) -> SparkSession:
         .config("spark.python.unix.domain.socket.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -106,17 +106,19 @@ def locate(pairs: DataFrame, segs: DataFrame) -> DataFrame:
     ``pairs`` holds ``shape_id, stop_id, lon, lat``. Ties go to the first segment. A stop
     is not compared with every segment of its line: blocks of segments are ruled out by
     their bounding boxes, on long lines whole groups of blocks first, so that the work per
-    stop grows with the square root of the line.
+    stop grows with the square root of the line. A look at the segment counts, which
+    Parquet statistics answer, tells whether there are long lines.
     """
     zero = F.lit(0.0)
     key = ["shape_id", "stop_id"]
     pairs = pairs.select(*key, "lon", "lat")
     blocked = _with_blocks(segs)
     long = blocked.where(F.col("n") > LONG_LINE)
-    ids = long.select("shape_id").distinct()
-    grouped = pairs.join(ids, "shape_id", "left_anti").withColumn("_group", F.lit(0).cast("long")).unionByName(
-        _near_boxes(pairs, long, ["shape_id"], "_group")
-    )
+    grouped = pairs.withColumn("_group", F.lit(0).cast("long"))
+    if not long.isEmpty():
+        grouped = grouped.join(long.select("shape_id").distinct(), "shape_id", "left_anti").unionByName(
+            _near_boxes(pairs, long, ["shape_id"], "_group")
+        )
     kept = _near_boxes(grouped, blocked, ["shape_id", "_group"], "_block").select(*key, "lon", "lat", "_block")
     px, py = F.col("lon"), F.col("lat")
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tramline.functions import geo
 from tramline.operators.lines import interpolate, locate
 from tramline.operators.ordered import SLICE_ROWS, plain, sliced, with_previous
+from tramline.sources.store import materialise
 
 
 def served_pairs(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
@@ -21,9 +22,13 @@ def served_pairs(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
 
 
 def shape_stop_positions(stop_times: DataFrame, trips: DataFrame, stops: DataFrame, segs: DataFrame) -> DataFrame:
-    """``shape_id, stop_id, fraction``."""
+    """``shape_id, stop_id, fraction``.
+
+    The pairs are few and come from the largest join, so they are written out before
+    ``locate`` uses them more than once.
+    """
     pairs = served_pairs(stop_times, trips).join(stops.select("stop_id", "lon", "lat"), "stop_id")
-    return locate(pairs, segs)
+    return locate(materialise(pairs, "pairs"), segs)
 
 
 def consecutive(positions: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:

@@ -17,6 +17,7 @@ from tramline.functions.scalars import clamped_progress, epoch_seconds, hex_colo
 from tramline.operators.lines import interpolate, length_m, points_array, simplify
 from tramline.operators.tracking import RUN, as_of_log, latest_positions, match_shapes, previous_stop
 from tramline.schemas import DEFAULT_ROUTE_COLOR, DEFAULT_TEXT_COLOR, STOPPED_AT
+from tramline.sources.store import materialise
 
 TOLERANCE_DEG = 1e-4
 MAX_TOLERANCE_DEG = 0.01
@@ -120,14 +121,18 @@ def located(
     t: dict, as_of: datetime, speed_mps: float = RUNNING_SPEED_MPS, freshness_min: float = FRESHNESS_MIN,
     replay: bool = False,
 ) -> DataFrame:
-    """Fresh runs with ``fraction`` along their line where known, and ``position_source``."""
+    """Fresh runs with ``fraction`` along their line where known, and ``position_source``.
+
+    The fresh rows, one per run, are written out: they cut the log to the runs asked for
+    and are joined several times.
+    """
     log = as_of_log(t["vehicle_positions"], as_of) if replay else t["vehicle_positions"]
-    latest = latest_positions(log, as_of, freshness_min)
+    latest = materialise(match_shapes(latest_positions(log, as_of, freshness_min), t["trips"]), "latest")
     spots = t["shape_stop_positions"]
     following = spots.select("shape_id", "stop_id", F.col("fraction").alias("next_fraction"))
     passed = spots.select("shape_id", F.col("stop_id").alias("prev_stop_id"), F.col("fraction").alias("prev_fraction"))
     rows = (
-        previous_stop(match_shapes(latest, t["trips"]), log)
+        previous_stop(latest, log)
         .join(following, ["shape_id", "stop_id"], "left")
         .join(passed, ["shape_id", "prev_stop_id"], "left")
         .join(length_m(t["segments"]).drop("n"), "shape_id", "left")
@@ -151,7 +156,7 @@ def vehicle_positions(
 
     ``replay`` ignores rows observed after ``as_of``.
     """
-    runs = located(t, as_of, speed_mps, freshness_min, replay)
+    runs = materialise(located(t, as_of, speed_mps, freshness_min, replay), "located")
     targets = runs.where("fraction is not null").select(*RUN, "shape_id", "fraction")
     on_line = interpolate(targets, t["segments"], RUN).select(
         *RUN, F.col("lon").alias("line_lon"), F.col("lat").alias("line_lat")
