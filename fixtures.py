@@ -137,7 +137,8 @@ class Tables(dict):
         self.spark, self.sf_dir = spark, sf_dir
         self._staged = None
 
-    def _feed(self) -> dict[str, DataFrame]:
+    def feed(self) -> dict[str, DataFrame]:
+        """The cleaned feed tables; the judged rows are written when first asked for."""
         if self._staged is None:
             staged, self._logs = load.clean(raw(self.spark, self.sf_dir), ORDER, stage=materialise)
             self._staged = load.collapse(staged, ORDER)
@@ -145,7 +146,7 @@ class Tables(dict):
 
     def _build(self, name: str) -> DataFrame:
         if name in load.TABLES:
-            return self._feed()[name]
+            return self.feed()[name]
         if name == "segments":
             return segments(self["shapes"])
         if name == "shape_stop_positions":
