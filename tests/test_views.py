@@ -158,3 +158,11 @@ def test_versions(spark, tmp_path):
     for n in (1, 2):
         store.write_version(spark.range(n), root, "v")
         assert store.read_version(spark, root, "v").count() == n
+
+
+def test_discard(spark):
+    kept = store.materialise(spark.range(3), "kept")
+    store.materialise(spark.range(3), "short_lived")
+    assert store.discard(spark, "short_lived") == 1
+    assert store.discard(spark, "short_lived") == 0
+    assert kept.count() == 3

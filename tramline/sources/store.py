@@ -21,12 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tramline/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tramline/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, name: str | None = None) -> int:
+    """Remove what this application materialised, all of it or under one name; returns how
+    many folders. Call it once results built on them are written."""
+    folder = _scratch(spark)
+    if not exists(spark, folder):
+        return 0
+    target, files = _file_system(spark, folder)
+    found = [status.getPath().getName() for status in files.listStatus(target)]
+    chosen = [entry for entry in found if name is None or entry.rsplit("-", 1)[0] == name]
+    return sum(delete(spark, f"{folder}/{entry}") for entry in chosen)
 
 
 # --- versioned tables ---------------------------------------------------------------------
