@@ -1,6 +1,7 @@
 """The stream gives what the batch twin gives on the same polls."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ def land(folder, polls):
             if poll == 5 and feed == "feed2":
                 lines = ['{"trip_id": "000002_X", "start']
             (path / "part.json").write_text("\n".join(lines))
+            # The file source goes by modification time; real polls land seconds apart.
+            os.utime(path / "part.json", (1704067200 + 30 * poll, 1704067200 + 30 * poll))
 
 
 def outputs(spark, root):
