@@ -145,7 +145,7 @@ def _block(cuts: list[int]):
     passed = F.size(F.filter(lasts, lambda c: c > F.col("doc_id")))
     inside = F.size(F.filter(F.get(table, passed), lambda c: c > F.col("doc_id")))
     return F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(
-        passed * step + F.when(passed < len(rows), inside).otherwise(0)
+        F.when(passed < len(rows), passed * step + inside).otherwise(len(cuts))
     )
 
 
