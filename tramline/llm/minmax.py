@@ -96,7 +96,7 @@ def _digest(found: np.ndarray) -> str | None:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys, low bytes of the signature; the last
+    """doc_id, n_shingles, digest of the set, band keys, low 16 bits of the signature; the last
     three are NULL for an empty set."""
 
     def run(cols: dict) -> dict:
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         lows: list = [None] * len(sets)
         if full:
             values = np.stack([signature(sets[i]) for i in full])
-            for i, row, low in zip(full, band_keys(values), (values & 0xFF).reshape(len(full), -1).astype(np.int32)):
+            for i, row, low in zip(full, band_keys(values), (values & 0xFFFF).reshape(len(full), -1).astype(np.int32)):
                 keys[i], lows[i] = row, low
         return {
             "doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets],
