@@ -48,16 +48,33 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def per_batch(df: DataFrame, function: Callable[[dict], dict | None], schema: str) -> DataFrame:
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache(owner: str, clear: Callable[[], None]) -> None:
+    """Name what a worker remembers between tasks, and how to forget it."""
+    _caches[owner] = clear
+
+
+def release(owner: str | None = None) -> None:
+    """Forget what other operators left in this worker: one remembers at a time."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+
+
+def per_batch(df: DataFrame, function: Callable[[dict], dict | None], schema: str, remembers: str | None = None) -> DataFrame:
     """Apply ``function`` to every Arrow batch: lists by column name in, lists by column name out.
 
     Batches are bounded in rows and bytes by Spark, so a task holds one batch at a time.
+    ``remembers`` names the cache that ``function`` uses.
     """
     ship(df.sparkSession)
     names = [part.strip().split(" ")[0] for part in _fields(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = None
+        release(remembers)
         for batch in batches:
             if batch.num_rows == 0:
                 continue

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import keep, mixed, odd_numbers, per_batch
+from tramline.llm.common import cache, keep, mixed, odd_numbers, per_batch
 from tramline.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -48,6 +48,7 @@ class _WordHashes(dict):
 
 
 _words = _WordHashes()
+cache("words", _words.clear)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -115,7 +116,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     return per_batch(
         docs.select(F.col("doc_id").cast("long"), "text"), run,
-        "doc_id long, n_shingles long, digest string, bands array<long>, low array<int>",
+        "doc_id long, n_shingles long, digest string, bands array<long>, low array<int>", "words",
     )
 
 
@@ -220,7 +221,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         return out
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").select("id", "digest", "text")
-    return per_batch(texts, run, "id long, shingles binary").dropDuplicates(["id"])
+    return per_batch(texts, run, "id long, shingles binary", "words").dropDuplicates(["id"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

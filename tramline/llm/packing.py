@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import keep, per_batch, ship
+from tramline.llm.common import cache, keep, per_batch, ship
 
 LENGTH, END = 2048, 0
 BIN_PIECES = 100_000
@@ -67,6 +67,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+cache("encoders", _encoders.clear)
 
 
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
@@ -115,7 +116,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
         return out
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, schema, "encoders")
 
 
 class SumOfSquares:
