@@ -176,3 +176,21 @@ def test_geojson(spark):
     again = line.select("p", geo.parse_geojson_line(geo.as_geojson_line(F.col("p"))).alias("q"), geo.line_valid(F.col("p")), geo.ewkt_line(F.col("p"))).first()
     assert [tuple(v) for v in again["q"]] == [(1.234568, 2.0), (2.0, 1.234568)]
     assert again[2] and again[3] == "SRID=4326;LINESTRING(1.23456789 2.0, 2.0 1.23456789)"
+
+
+def test_distance_of_unknown_points_is_null(spark):
+    from tramline.functions import geo
+
+    point = [F.lit(v).cast("double") for v in (-73.9, 40.7, -73.8, 40.7)]
+    for i in range(4):
+        some = [F.lit(None).cast("double") if j == i else c for j, c in enumerate(point)]
+        row = spark.range(1).select(geo.spheroid_m(*some).alias("m"), geo.within_m(*some, 100.0).alias("near")).first()
+        assert (row.m, row.near) == (None, None)
+    assert 8000 < spark.range(1).select(geo.spheroid_m(*point)).first()[0] < 9000
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tramline.sources.store import one_process
+
+    assert one_process("local[8]") and one_process("local")
+    assert not any(map(one_process, ("local-cluster[2,1,1024]", "yarn", "spark://host:7077")))

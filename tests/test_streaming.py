@@ -90,3 +90,17 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     once = outputs(spark, root)
     poller.process(records.where("poll_seq = 2"), 1, root)
     assert outputs(spark, root) == once
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_a_first_batch_without_arrivals_does_not_end_the_stream(spark, tmp_path, broken):
+    landed, root = tmp_path / "landed", str(tmp_path / "out")
+    land(landed, [3])
+    if broken:
+        for path in sorted(landed.rglob("part.json")):
+            path.write_text('{"trip_id": "000002_X", "start')
+            os.utime(path, (1704067290, 1704067290))
+    for more in ([], [4, 5, 6]):
+        land(landed, more)
+        poller.start(snapshots.read_stream(spark, str(landed)), root, str(tmp_path / "ck")).awaitTermination()
+    assert outputs(spark, root)["events"]

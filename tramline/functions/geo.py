@@ -50,7 +50,7 @@ def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) ->
 def spheroid_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Distance in metres by Lambert's formula for long lines (first order in flattening).
 
-    Within 5 cm of Vincenty's solution for pairs up to some 30 km.
+    Within 5 cm of Vincenty's solution for pairs up to some 30 km. NULL if any input is.
     """
     b1 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat1)))
     b2 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat2)))
@@ -63,7 +63,8 @@ def spheroid_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column
     y = (sigma + F.sin(sigma)) * F.pow(F.cos(mid_b) * F.sin(half_b), 2) / F.nullif(F.pow(F.sin(sigma / 2), 2), F.lit(0.0))
     metres = EQUATOR_RADIUS_M * (sigma - FLATTENING / 2 * (x + y))
     # Identical points leave no angle to divide by.
-    return F.when((lon1 == lon2) & (lat1 == lat2), F.lit(0.0)).otherwise(F.coalesce(metres, F.lit(0.0)))
+    known = lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull()
+    return F.when(known & (lon1 == lon2) & (lat1 == lat2), F.lit(0.0)).when(known, F.coalesce(metres, F.lit(0.0)))
 
 
 def within_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius_m: float) -> Column:

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, a temporary one where unset."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``; a temporary one where that is
+    unset and driver and executors are one process, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not one_process(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         folder = tempfile.mkdtemp(prefix="tramline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():
@@ -21,6 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def one_process(master: str) -> bool:
+    """Whether a master runs its executor in the driver, so that local folders are shared."""
+    return master == "local" or master.startswith("local[")
+
+
 def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tramline/{spark.sparkContext.applicationId}"
 

@@ -38,13 +38,16 @@ def _write(df: DataFrame, path: str, batch_id: int, by: list[str] = ()) -> None:
     )
 
 
-def _read(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """Rows of earlier batches."""
-    return spark.read.parquet(path).where(F.col("batch") < before) if exists(spark, path) else None
+def _read(like: DataFrame, path: str, before: int) -> DataFrame | None:
+    """Rows of earlier batches, with the columns of ``like``: a folder may hold no file yet to tell them."""
+    spark = like.sparkSession
+    if not exists(spark, path):
+        return None
+    return spark.read.schema(like.withColumn("batch", F.lit(0).cast("long")).schema).parquet(path).where(F.col("batch") < before)
 
 
-def _last_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    state = _read(spark, path, batch_id)
+def _last_state(like: DataFrame, path: str, batch_id: int) -> DataFrame | None:
+    state = _read(like, path, batch_id)
     if state is None:
         return None
     newest = state.agg(F.max("batch")).first()[0]
@@ -57,7 +60,7 @@ def process(records: DataFrame, batch_id: int, root: str) -> None:
     records = records.persist()
     failed = snapshots.failures(records)
     obs = changes.normalize(snapshots.readable(records))
-    state = _last_state(spark, f"{root}/state", batch_id)
+    state = _last_state(obs, f"{root}/state", batch_id)
     remembered = F.lit(True).alias("remembered")
     rows = obs.select("*", F.lit(False).alias("remembered"))
     if state is not None:
@@ -67,7 +70,7 @@ def process(records: DataFrame, batch_id: int, root: str) -> None:
     _write(changes.positions(changed), f"{root}/positions", batch_id, ["observed_date"])
 
     arrived = changes.arrivals(changed)
-    known = _read(spark, f"{root}/stop_events", batch_id)
+    known = _read(arrived, f"{root}/stop_events", batch_id)
     if known is not None:
         # A batch touches few service days; only their partitions are read.
         days = [row[0] for row in arrived.select("trip_start_date").distinct().collect()]
