@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tramline.sources.store import materialise
 
+# Bytes of one Arrow batch turned into Python objects at a time.
+PART_BYTES = 8 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -61,13 +64,25 @@ def release(owner: str | None = None) -> None:
     for name, clear in _caches.items():
         if name != owner:
             clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
+def parts(batch: pa.RecordBatch, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of about ``size`` bytes and one row at least."""
+    rows = max(1, batch.num_rows // max(1, -(-batch.nbytes // size)))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
 
 
 def per_batch(df: DataFrame, function: Callable[[dict], dict | None], schema: str, remembers: str | None = None) -> DataFrame:
-    """Apply ``function`` to every Arrow batch: lists by column name in, lists by column name out.
+    """Apply ``function`` to pieces of every Arrow batch: lists by column name in, lists by column
+    name out.
 
-    Batches are bounded in rows and bytes by Spark, so a task holds one batch at a time.
-    ``remembers`` names the cache that ``function`` uses.
+    Batches are bounded in rows and bytes by Spark; a task holds one batch, and Python objects
+    of one piece of it, at a time. ``remembers`` names the cache that ``function`` uses.
     """
     ship(df.sparkSession)
     names = [part.strip().split(" ")[0] for part in _fields(schema)]
@@ -75,10 +90,8 @@ def per_batch(df: DataFrame, function: Callable[[dict], dict | None], schema: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = None
         release(remembers)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            out = function({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+        for part in (part for batch in batches for part in parts(batch)):
+            out = function({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
             if out and len(out[names[0]]):
                 kinds = kinds or arrow_schema(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], kinds.field(n).type) for n in names], names)

@@ -38,10 +38,10 @@ _BAND = odd_numbers(SEED + 1, ROWS)
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words, remembered for up to a million of them."""
+    """64-bit hashes of words, remembered for up to 100,000 of them (about 20 MB)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
