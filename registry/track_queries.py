@@ -20,7 +20,6 @@ REPLAY, REPLAY_S = datetime(2024, 1, 20, 12), 1705752000
 FRESH_MIN = 720  # the polls of the test data are 12 hours apart
 RADIUS_M = 3000
 TOLERANCE = 1e-3
-TOP_LAT = 41.0  # upper edge of the box that cleaning enforces
 
 
 def _date(name="trip_start_date"):
@@ -168,7 +167,24 @@ def _(spark, d):
 @query("nearby_pairs", sql(f"SELECT * FROM (SELECT a.stop_id AS a_stop_id, b.stop_id AS b_stop_id, round({metres('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 3) AS meters FROM c_stops a JOIN c_stops b ON a.stop_id < b.stop_id) v WHERE meters <= {RADIUS_M}"))
 def _(spark, d):
     stops = tables(spark, d)["stops"].select("stop_id", "lon", "lat")
-    return spatial.nearby(stops, RADIUS_M, TOP_LAT).select("a_stop_id", "b_stop_id", F.round("meters", 3).alias("meters"))
+    return spatial.nearby(stops, RADIUS_M).select("a_stop_id", "b_stop_id", F.round("meters", 3).alias("meters"))
+
+
+_MOVED = """(SELECT stop_id || '/52' AS stop_id, lon, lat + 12 AS lat FROM c_stops UNION ALL SELECT stop_id || '/65', lon, lat + 24 FROM c_stops
+    UNION ALL SELECT stop_id || '/180', CASE WHEN lon + 254 > 180 THEN lon + 254 - 360 ELSE lon + 254 END, lat FROM c_stops)"""
+
+
+@query("nearby_pairs_high_latitude", sql(f"SELECT * FROM (SELECT a.stop_id AS a_stop_id, b.stop_id AS b_stop_id, round({metres('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 3) AS meters FROM {_MOVED} a JOIN {_MOVED} b ON a.stop_id < b.stop_id) v WHERE meters <= {RADIUS_M}"))
+def _(spark, d):
+    """The stops of the feed three times: near 52 and 65 degrees north, and across longitude 180."""
+    stops, east = tables(spark, d)["stops"], F.col("lon") + 254
+    moved = [
+        ("/52", F.col("lon"), F.col("lat") + 12), ("/65", F.col("lon"), F.col("lat") + 24),
+        ("/180", F.when(east > 180, east - 360).otherwise(east), F.col("lat")),
+    ]
+    each = [stops.select(F.concat("stop_id", F.lit(tag)).alias("stop_id"), x.alias("lon"), y.alias("lat")) for tag, x, y in moved]
+    found = spatial.nearby(each[0].unionByName(each[1]).unionByName(each[2]), RADIUS_M)
+    return found.select("a_stop_id", "b_stop_id", F.round("meters", 3).alias("meters"))
 
 
 # --- aggregates and windows ---------------------------------------------------------------
@@ -423,12 +439,12 @@ def _stations_sql(also: str) -> str:
 
 @query("nearby_stations", _stations_sql("coalesce(a.parent_station, a.stop_id) <> coalesce(b.parent_station, b.stop_id)"))
 def _(spark, d):
-    return audit.nearby_stations(tables(spark, d)["stops"], RADIUS_M, TOP_LAT).withColumn("meters", F.round("meters", 3))
+    return audit.nearby_stations(tables(spark, d)["stops"], RADIUS_M).withColumn("meters", F.round("meters", 3))
 
 
 @query("nearby_stations_literal", _stations_sql("a.parent_station IS DISTINCT FROM b.parent_station"))
 def _(spark, d):
-    return audit.nearby_stations(tables(spark, d)["stops"], RADIUS_M, TOP_LAT, exclude_same_complex=False).withColumn(
+    return audit.nearby_stations(tables(spark, d)["stops"], RADIUS_M, exclude_same_complex=False).withColumn(
         "meters", F.round("meters", 3)
     )
 

@@ -63,10 +63,10 @@ def test_simplify_edges(spark, walks):
     assert lines.simplify(loop, 1e-3, local_rows=1).isEmpty()
 
 
-@pytest.mark.parametrize("long_line,max_bins", [(4096, 65_536), (50, 7)])
-def test_locate_and_interpolate(spark, walks, monkeypatch, long_line, max_bins):
+@pytest.mark.parametrize("long_line,chunk", [(4096, 65_536), (50, 2)])
+def test_locate_and_interpolate(spark, walks, monkeypatch, long_line, chunk):
     monkeypatch.setattr(lines, "LONG_LINE", long_line)
-    monkeypatch.setattr(lines, "MAX_BINS", max_bins)
+    monkeypatch.setattr(lines, "BIN_CHUNK", chunk)
     rng = random.Random(5)
     segs = lines.segments(walks).cache()
     stops = [(s, f"p{i}", -73.9 + rng.uniform(-0.1, 0.2), 40.7 + rng.uniform(-0.05, 0.05)) for s in "abcd" for i in range(25)]
@@ -156,7 +156,7 @@ def test_within_distance(spark):
     # A third of the points sits in one place.
     rows += [(f"h{i:03d}", -73.89, 40.71) for i in range(75)]
     stops = spark.createDataFrame(rows, "stop_id string, lon double, lat double").cache()
-    found = spatial.nearby(stops, 400, 41.0)
+    found = spatial.nearby(stops, 400)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     got = {(r["a_stop_id"], r["b_stop_id"]) for r in found.collect()}
@@ -166,6 +166,19 @@ def test_within_distance(spark):
     assert found.count() == len(got)
 
 
+@pytest.mark.parametrize("lat,lon", [(52.5, 13.4), (65.0, 179.99), (89.99, 0.0), (-0.001, -180.0)])
+def test_within_distance_anywhere(spark, lat, lon):
+    rng = random.Random(11)
+    width = min(180.0, 0.02 / math.cos(math.radians(lat)))
+    wrap = lambda x: (x + 180) % 360 - 180
+    rows = [(f"s{i:03d}", wrap(lon + rng.uniform(-width, width)), min(90.0, lat + rng.uniform(-0.01, 0.01))) for i in range(150)]
+    stops = spark.createDataFrame([*rows, ("none", None, lat)], "stop_id string, lon double, lat double")
+    got = {(r["a_stop_id"], r["b_stop_id"]) for r in spatial.nearby(stops, 200).collect()}
+    b = stops.select(F.col("stop_id").alias("t"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    every = stops.join(b, F.col("stop_id") < F.col("t")).where(geo.within_m(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"), 200))
+    assert got and got == {(r["stop_id"], r["t"]) for r in every.collect()}
+
+
 def test_geojson(spark):
     df = spark.createDataFrame([(1.23456789, 2.0)], "x double, y double")
     text = df.select(geo.as_geojson_point(F.col("x"), F.col("y")).alias("g"))

@@ -36,6 +36,19 @@ def test_change_detection_spreads_a_hot_train(spark):
     assert flags(changes.changes(obs, slice_rows=10_000)) == flags(changes.changes(obs))
 
 
+def test_slices_are_even_where_rows_crowd(spark):
+    i = F.col("id")
+    # 90 % of a key at one value, and a key whose values crowd at the start of their range.
+    rows = spark.range(0, 100_000, 1, 8).select(
+        F.when(i % 2 == 0, "one").otherwise("crowd").alias("k"),
+        F.when(i % 2 == 1, F.pow(i / 100_000.0, 6) * 1e6).when(i % 20 < 18, 500.0).otherwise(i / 100.0).alias("lead"),
+        i.alias("tie"),
+    )
+    sizes = ordered.sliced(rows, ["k"], "lead", "tie", 1000).groupBy("k", "_slice").count()
+    assert sizes.agg(F.max("count"), F.sum("count")).first()[:] <= (2000, 100_000)
+    assert sizes.agg(F.sum("count")).first()[0] == 100_000
+
+
 def test_previous_stop_joins_stops_not_observations(spark):
     from datetime import datetime
 

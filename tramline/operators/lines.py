@@ -19,7 +19,7 @@ from tramline.operators.ordered import SLICE_ROWS, plain, sliced, with_previous,
 ORDER = ["seq", "ord"]
 BLOCK = 16  # consecutive sequence numbers per bounding box
 LONG_LINE = 4096  # segments from which blocks are grouped once more
-MAX_BINS = 65_536  # equal parts a line is cut into for interpolation
+BIN_CHUNK = 65_536  # bins one row lists at a time
 LOCAL_ROWS = 100_000  # vertices one task simplifies on its own
 
 
@@ -143,15 +143,20 @@ def interpolate(targets: DataFrame, segs: DataFrame, keys: list[str]) -> DataFra
     """``keys, lon, lat``: the point at ``fraction`` of the line ``shape_id``.
 
     ``targets`` holds ``keys, shape_id, fraction``. A line of n segments is cut into n
-    equal bins (MAX_BINS at most); the join is on (line, bin), and a line's segments
-    cover at most twice as many bins.
+    equal bins; the join is on (line, bin), and a line's segments cover at most twice as
+    many bins.
     """
-    total, n = F.col("total"), F.least(F.col("n"), F.lit(MAX_BINS))
+    total, n = F.col("total"), F.col("n")
     bin_of = lambda at: F.greatest(F.lit(0).cast("long"), F.least(F.floor(at * n), n - 1))
     slack = total * 1e-12
     start, end = F.col("run") - slack, F.col("run") + F.col("len") + slack
-    binned = segs.withColumn(
-        "_bin", F.explode(F.sequence(bin_of(start / F.nullif(total, F.lit(0.0))), bin_of(end / F.nullif(total, F.lit(0.0)))))
+    share_of = lambda at: bin_of(at / F.nullif(total, F.lit(0.0)))
+    # A long segment covers many bins: chunks first, so that no row lists them all.
+    binned = (
+        segs.withColumn("_last", share_of(end))
+        .withColumn("_from", F.explode(F.sequence(share_of(start), F.col("_last"), F.lit(BIN_CHUNK).cast("long"))))
+        .withColumn("_bin", F.explode(F.sequence("_from", F.least(F.col("_from") + (BIN_CHUNK - 1), F.col("_last")))))
+        .drop("_from", "_last")
     )
     at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction")))
     wanted = targets.join(measures(segs), "shape_id").select(

@@ -15,45 +15,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 2_000_000
-# The list of long keys is broadcast, so its size is bounded: the longest keys come
-# first, and a key left out of it holds less than 1/100,000 of the rows.
-MAX_LONG_KEYS = 100_000
+# Quantiles looked up per long key: a slice holds ``slice_rows`` rows, or a thousandth of its key if that is more.
+QUANTILES = 1000
+ACCURACY = 10_000
 
 
 def long_keys(df: DataFrame, keys: list[str], lead: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Keys with more than ``slice_rows`` rows, and the step of ``lead`` that cuts them."""
-    n = F.col("_n")
+    """Keys with more than ``slice_rows`` rows, and ``_bounds``: distinct quantiles of ``lead``
+    with about ``slice_rows`` rows between them. Keys are never NULL here."""
+    long = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_rows)
+    shares = [i / QUANTILES for i in range(1, QUANTILES)]
+    slices = F.least(F.ceil(F.col("_n") / slice_rows), F.lit(QUANTILES)).cast("int")
+    chosen = F.transform(
+        F.sequence(F.lit(1), F.greatest(slices - 1, F.lit(1))),
+        lambda i: F.element_at("_all", F.round(i * QUANTILES / slices).cast("int")),
+    )
     return (
-        df.groupBy(*keys)
-        .agg(
-            F.count("*").alias("_n"),
-            F.min(lead).cast("double").alias("_lo"),
-            F.max(lead).cast("double").alias("_hi"),
-        )
-        .where(n > slice_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_LONG_KEYS)
-        .select(*keys, "_lo", ((F.col("_hi") - F.col("_lo") + 1) * slice_rows / n).alias("_step"))
+        df.select(*keys, lead).join(long, keys)
+        .groupBy(*keys)
+        .agg(F.percentile_approx(F.col(lead).cast("double"), shares, ACCURACY).alias("_all"), F.first("_n").alias("_n"))
+        .select(*keys, F.array_distinct(chosen).alias("_bounds"))
     )
 
 
 def sliced(
     df: DataFrame, keys: list[str], lead: str, tie: str | None = None, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """Add ``_slice``, which never falls along (lead, tie); one slice for ordinary keys."""
-    outer = F.floor((F.col(lead).cast("double") - F.col("_lo")) / F.col("_step"))
-    # A step below one means a single lead value is already too long: cut it by row number.
+    """Add ``_slice``, which never falls along (lead, tie); one slice for ordinary keys.
+
+    A long key is cut at quantiles of ``lead``, so slices stay even where its rows crowd. The
+    rows at a bound are a slice of their own: if that one value is too long by itself, it is
+    cut by ``tie``. ``lead`` must be exact as a double.
+    """
+    at = F.col(lead).cast("double")
+    on_bound = F.coalesce(F.array_contains("_bounds", at), F.lit(False))
+    below = F.coalesce(F.size(F.filter("_bounds", lambda b: b < at)), F.lit(0))
     inner = F.floor(F.col(tie) / slice_rows) if tie else F.lit(0).cast("long")
+    zero = F.lit(0).cast("long")
+    cut = F.col("_bounds").isNotNull()
     where = F.struct(
-        F.coalesce(outer, F.lit(0).cast("long")).alias("outer"),
-        F.when(F.col("_step") < 1, inner).otherwise(F.lit(0).cast("long")).alias("inner"),
+        F.when(cut, 2 * below + on_bound.cast("int")).otherwise(zero).cast("long").alias("outer"),
+        F.when(on_bound, inner).otherwise(zero).alias("inner"),
     )
-    long = F.broadcast(long_keys(df, keys, lead, slice_rows))
     return (
-        df.join(long, keys, "left")
+        df.join(long_keys(df, keys, lead, slice_rows), keys, "left")
         .withColumn("_slice", where)
-        .withColumn("_cut", F.col("_step").isNotNull())
-        .drop("_lo", "_step")
+        .withColumn("_cut", cut)
+        .drop("_bounds")
     )
 
 

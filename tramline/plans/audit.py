@@ -159,7 +159,7 @@ def station_pair_distance(stops: DataFrame, from_id: str, to_id: str) -> DataFra
     )
 
 
-def nearby_stations(stops: DataFrame, radius_m: float = 200, max_abs_lat: float = 41.0, exclude_same_complex: bool = True) -> DataFrame:
+def nearby_stations(stops: DataFrame, radius_m: float = 200, exclude_same_complex: bool = True) -> DataFrame:
     """Pairs of stations within ``radius_m``.
 
     With ``exclude_same_complex`` pairs under one parent are left out. Without it the
@@ -172,4 +172,4 @@ def nearby_stations(stops: DataFrame, radius_m: float = 200, max_abs_lat: float
     else:
         also = ~F.col("a_parent_station").eqNullSafe(F.col("b_parent_station"))
     found = stops.where("location_type = 1").select("stop_id", "parent_station", "lon", "lat")
-    return nearby(found, radius_m, max_abs_lat, also).select("a_stop_id", "b_stop_id", "meters")
+    return nearby(found, radius_m, also).select("a_stop_id", "b_stop_id", "meters")
