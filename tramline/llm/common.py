@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tramline.sources.store import materialise
 
-# Bytes of one Arrow batch turned into Python objects at a time.
+# Bytes of one Arrow batch, and of what is turned into Python objects at a time.
 PART_BYTES = 8 << 20
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -31,7 +32,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, through Spark's file server."""
+    """Send this package to the executors, once per application, through Spark's file server;
+    bound Arrow batches where the session does not."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(PART_BYTES))
     context = spark.sparkContext
     if getattr(context, "_tramline_shipped", False):
         return
