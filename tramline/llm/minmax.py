@@ -8,28 +8,32 @@ estimate unbiased with a lower variance than as many independent minima. ``BANDS
 pair at similarity 0.75 shares no band with probability (1 - 0.75^5)^40 = 2e-5, one at 0.85
 with 2e-10.
 
-Documents with the same set of shingles are one node from the start. Candidates are not
-paired with each other: first each member of a bucket is checked against the bucket's
-smallest, and what that joins becomes one component; then only members of a bucket whose
-components still differ are paired, so a group of thousands of copies costs a check for each
-copy, not for each pair. Two tests spare such pairs the exact check: what both share with
-the bucket's smallest bounds what they can share (exact), and their whole signatures must
-agree in ``AGREE`` of 200 places, 4.1 standard deviations below what similarity 0.75 gives.
-Pairs that agree in ``LIKELY`` places go first: what they join spares most of the others.
+Documents with the same set of shingles are one node from the start. First each member of a
+bucket is checked against the bucket's smallest, and what that joins becomes one component,
+so a group of thousands of copies costs a check for each copy, not for each pair. Members of
+a bucket whose components still differ are then compared with each other, in pairs of blocks
+of at most ``BLOCK`` members and about ``BLOCK_SHINGLES`` shingles: a task holds two blocks
+with their sets and returns only confirmed links. A pair goes to the exact check in one of
+its common buckets, and only if its signatures agree in ``AGREE`` of 200 places, 4.1 standard
+deviations below what similarity 0.75 gives.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import cache, keep, mixed, odd_numbers, per_batch
+from tramline.llm.common import cache, keep, mixed, odd_numbers, per_batch, release, ship
 from tramline.llm.graph import components
 
 WORDS, PERCENT = 5, 75
-HASHES, BANDS, ROWS, LIKELY, AGREE = 100, 40, 5, 150, 125
+HASHES, BANDS, ROWS, AGREE = 100, 40, 5, 125
+BLOCK, BLOCK_SHINGLES, STRIP = 512, 1 << 20, 32
 SEED = 20240229
 _PLACE = odd_numbers(7, WORDS)
 _ACROSS = odd_numbers(SEED, HASHES)
@@ -126,38 +130,114 @@ def _alike(n, m):
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def _possible():
-    """False where what two sets share with their bucket's smallest rules the similarity out.
-
-    Of the intersection, at most the smaller share lies within that set, and at most the
-    smaller rest outside it.
-    """
-    most = F.least("both", "_both") + F.least(F.col("n") - F.col("both"), F.col("_n") - F.col("_both"))
-    return F.coalesce(100 * most >= PERCENT * (F.col("n") + F.col("_n") - most), F.lit(True))
-
-
-def _agreement():
-    same = F.zip_with("low", "_low", lambda x, y: (x == y).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda total, x: total + x)
+def _linked(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the size of their full sets' intersection and whether they reach the similarity."""
+    """Those of ``pairs`` (a, b) whose full sets reach the similarity."""
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_b"))
 
     def run(cols: dict) -> dict:
-        out: dict = {"a": cols["a"], "b": cols["b"], "both": [], "linked": []}
-        for x, y in zip(cols["_a"], cols["_b"]):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out["both"].append(both)
-            out["linked"].append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        linked = [i for i, (x, y) in enumerate(zip(cols["_a"], cols["_b"])) if _linked(x, y)]
+        return {"a": [cols["a"][i] for i in linked], "b": [cols["b"][i] for i in linked]}
+
+    return per_batch(pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b"), run, "a long, b long")
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Members of split buckets (key, id, n, hub, component), each once per pair of blocks it is in."""
+    ceil = lambda x, most: F.ceil(x / F.lit(most)).cast("int")
+    split = (
+        placed.groupBy("key")
+        .agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"),
+            F.greatest(ceil(F.count("*"), BLOCK), ceil(F.sum("n"), BLOCK_SHINGLES)).alias("blocks"),
+        )
+        .where("lo < hi").select("key", "blocks")
+    )
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    return placed.join(split, "key").withColumn("block", block)
+
+
+def _block_links(rows: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between members of one bucket whose components differ.
+
+    ``rows``: key, x, y (the pair of blocks), block, id, n, hub, component, bands, low,
+    shingles. Groups of (key, x, y) arrive sorted, one after the other.
+    """
+    names = ["key", "x", "y"]
+
+    def links_of(pieces: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        part = pa.Table.from_batches(pieces).combine_chunks()
+        col = {c: part[c].to_numpy() for c in ("key", "x", "y", "block", "id", "n", "hub", "component")}
+        key, x, y = (col[c][0] for c in names)
+        if x == y:
+            left = right = np.arange(part.num_rows)
+        else:
+            left, right = np.flatnonzero(col["block"] == x), np.flatnonzero(col["block"] == y)
+        flat = lambda c, width: part[c].combine_chunks().flatten().to_numpy().reshape(-1, width)
+        bands, low = flat("bands", BANDS), flat("low", 2 * HASHES).astype(np.uint16)
+        sets = part["shingles"]
+        ids, n, component = col["id"], col["n"], col["component"]
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (above := root.get(c, c)) != c:
+                root[c] = root.get(above, above)
+                c = above
+            return c
+
+        out = []
+        for start in range(0, len(left), STRIP):
+            i, j = left[start : start + STRIP, None], right[None, :]
+            wanted = (component[i] != component[j]) & (ids[i] != col["hub"][i]) & (ids[j] != col["hub"][j])
+            wanted &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+            if x == y:
+                wanted &= i < j
+            a, b = np.nonzero(wanted)
+            a, b = left[start + a], right[b]
+            alike = (low[a] == low[b]).sum(axis=1) >= AGREE
+            a, b = a[alike], b[alike]
+            # Once, not in every common bucket: in that of the first common band.
+            first = (bands[a] == bands[b]).argmax(axis=1)
+            here = bands[a, first] == key
+            for p, q in zip(a[here].tolist(), b[here].tolist()):
+                one, two = top(int(component[p])), top(int(component[q]))
+                if one != two and _linked(sets[p].as_py(), sets[q].as_py()):
+                    root[max(one, two)] = min(one, two)
+                    out.append((int(ids[p]), int(ids[q])))
         return out
 
-    return per_batch(
-        pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b"), run, "a long, b long, both long, linked boolean"
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+
+        def found() -> Iterator[list[tuple[int, int]]]:
+            current, pieces = None, []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                at = np.stack([batch.column(c).to_numpy() for c in names])
+                cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+                for start, end in zip(cuts, cuts[1:]):
+                    if current is not None and (at[:, start] != current).any():
+                        yield links_of(pieces)
+                        pieces = []
+                    current = at[:, start]
+                    pieces.append(batch.slice(start, end - start))
+            if pieces:
+                yield links_of(pieces)
+
+        for some in found():
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some)], ["a", "b"])
+
+    ship(rows.sparkSession)
+    dealt = rows.repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,35 +262,20 @@ def links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = members.select("id").distinct().join(nodes.select("id", "digest"), "id")
     sets = keep(_sets(docs, ids), "sets")
     first = members.where("id <> hub").where(_alike(F.col("n"), F.col("hub_n")))
-    tested = keep(_confirmed(first.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets), "tested")
-    joined = tested.where("linked").select("a", "b")
-    with_hub = tested.select(F.col("a").alias("hub"), F.col("b").alias("id"), "both")
-    above = 2 * HASHES + 1
-    for least in (LIKELY, AGREE):
-        so_far = components(joined, "stars")
-        placed = members.join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = (
-            placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        )
-        placed = keep(
-            placed.join(split, "key").join(with_hub, ["hub", "id"], "left").join(nodes.select("id", "bands", "low"), "id")
-            .select("key", "id", "n", "hub", "component", "both", "bands", "low"),
-            "placed",
-        )
-        other = placed.select("key", *(F.col(c).alias(f"_{c}") for c in ("id", "n", "component", "both", "bands", "low")))
-        rest = (
-            placed.join(other, "key")
-            .where("id < _id AND component <> _component AND id <> hub")
-            .where(_alike(F.col("n"), F.col("_n")))
-            .where(_possible())
-            .where(F.array_min(F.array_intersect("bands", "_bands")) == F.col("key"))  # once, not in every common bucket
-            .where((_agreement() >= least) & (_agreement() < above))
-            .select(F.col("id").alias("a"), F.col("_id").alias("b"))
+    hubs = keep(_confirmed(first.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets), "hubs")
+    so_far = components(hubs, "stars")
+    placed = members.join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = keep(_blocks(placed.select("key", "id", "n", "hub", "component")), "placed")
+    pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = (
+        placed.join(nodes.select("id", "bands", "low"), "id").join(sets, "id")
+        .withColumn("other", pair)
+        .select(
+            "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+            "block", "id", "n", "hub", "component", "bands", "low", "shingles",
         )
-        more = keep(_confirmed(rest, sets).where("linked").select("a", "b"), "more")
-        joined = joined.unionByName(more)
-        above = least
-    return nodes.select("digest", "id"), joined
+    )
+    return nodes.select("digest", "id"), hubs.unionByName(keep(_block_links(rows), "more"))
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
