@@ -128,7 +128,9 @@ def test_near_duplicates(docs, empty):
     assert sorted(r.doc_id for r in left.where("doc_id IS NOT NULL").collect()) == sorted(i for i, c in want.items() if i == c)
 
 
-def test_heavily_edited_copies_keep_their_components(spark):
+@pytest.mark.parametrize("block", [minmax.BLOCK, 16])
+def test_heavily_edited_copies_keep_their_components(spark, monkeypatch, block):
+    monkeypatch.setattr(minmax, "BLOCK", block)
     rng = random.Random(8)
     base = _prose(rng, 150).split()
     rows = []
