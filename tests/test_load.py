@@ -123,7 +123,9 @@ def test_report(cleaned):
 @pytest.mark.parametrize("mode,keep_absent", [("upsert", False), ("replace", True)])
 def test_refresh(spark, folder, tmp_path, mode, keep_absent):
     raw, root = feed.read_feed(spark, folder), str(tmp_path / "tables")
-    load.refresh(spark, raw, root, mode)
+    found = load.refresh(spark, raw, root, mode)["ledger"].collect()
+    assert ("stop_times", "duplicate (trip_id, stop_sequence)", 1) in {(r["table"], r["reason"], r["n"]) for r in found}
+    assert [r["n"] for r in found] == sorted((r["n"] for r in found), reverse=True)
     load.build_derived(spark, root)
     first = load.read_tables(spark, root)
     assert first["shape_stop_positions"].count() == 2

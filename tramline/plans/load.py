@@ -118,7 +118,8 @@ def refresh(
     spark: SparkSession, raw: dict, root: str, mode: str = "upsert", keep_absent: bool = False,
     order: dict[str, list[str]] | None = None,
 ) -> dict[str, DataFrame]:
-    """Load a feed into versioned tables under ``root`` and return ``report`` and ``ledger``.
+    """Load a feed into versioned tables under ``root`` and return ``report`` and ``ledger``
+    (repeated stop times included, most common reasons first).
 
     ``upsert`` merges into the current tables and, unless ``keep_absent``, drops rows the
     feed no longer has. ``replace`` does the same for the small tables and overwrites
@@ -129,6 +130,7 @@ def refresh(
     order = order or {}
     staged, logs = clean(raw, order, stage=materialise)
     feed = collapse(staged, order)
+    copies = quality.duplicate_log(staged["stop_times"], "stop_times", KEYS["stop_times"])
     removed, versions = {}, {}
     for table in TABLES:
         old = read_version(spark, root, table)
@@ -146,7 +148,7 @@ def refresh(
                 new = prune(new, feed[table], KEYS[table])
                 removed[table] = pruned(old, feed[table], KEYS[table])
         versions[table] = new
-    result = {"report": report(staged, logs, removed), "ledger": quality.ledger(*logs.values())}
+    result = {"report": report(staged, logs, removed), "ledger": quality.ledger(*logs.values(), copies).orderBy(F.desc("n"), "table", "kind", "reason")}
     # The report reads the old versions, so it is computed before they stop being current.
     result = {name: df.checkpoint() for name, df in result.items()}
     positions = read_version(spark, root, "shape_stop_positions")
