@@ -327,6 +327,18 @@ def test_toxicity_of_planted_words(spark, empty):
     assert toxicity.toxicity(empty, marks).count() == 0
 
 
+def test_rows_of_one_id_are_judged_on_their_own_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, _prose(rng, 40) + (" zzscum zzloser" if i % 6 == 0 else "")) for i in range(300)]
+    marks = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(300)], "doc_id long, toxic int")
+    clean = [(i, _prose(rng, 40)) for i in (None, 900) for _ in range(30)] + [(None, None), (900, None)]
+    rows += clean + [(None, "zzscum, zzloser, go"), (900, "zzloser and zzscum")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in toxicity.drop_toxic(docs, marks).collect()]
+    want = [r for r in rows[:300] if r[0] % 6] + clean
+    assert sorted(left, key=str) == sorted(want, key=str)
+
+
 def test_language_of_held_out_texts(spark):
     found = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(5000, None, None), (5001, "12 !", "en"), (5002, "", "fr")], found.schema)

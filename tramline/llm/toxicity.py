@@ -102,7 +102,7 @@ def lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: i
 
 
 def hits(docs: DataFrame, entries: list[str]) -> DataFrame:
-    """doc_id, hits (numbers of the entries a whole text has), n_hits, n_words, shouting.
+    """doc_id, text_hash, hits (numbers of the entries a whole text has), n_hits, n_words, shouting.
 
     ``n_hits`` counts words that match any entry, repeats included; ``shouting`` is the number
     of exclamation marks.
@@ -112,7 +112,7 @@ def hits(docs: DataFrame, entries: list[str]) -> DataFrame:
     begins = {n: {e[:-1]: number[e] for e in number if e.endswith("*") and len(e) == n + 1} for n in BEGINNINGS}
 
     def run(cols: dict) -> dict:
-        out: dict = {"doc_id": cols["doc_id"], "hits": [], "n_hits": [], "n_words": [], "shouting": []}
+        out: dict = {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "hits": [], "n_hits": [], "n_words": [], "shouting": []}
         for text in cols["text"]:
             words = _WORD.findall((text or "").lower())
             distinct = set(words)
@@ -129,8 +129,8 @@ def hits(docs: DataFrame, entries: list[str]) -> DataFrame:
         return out
 
     return per_batch(
-        docs.select(F.col("doc_id").cast("long"), "text"), run,
-        "doc_id long, hits array<int>, n_hits long, n_words long, shouting long",
+        docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"), run,
+        "doc_id long, text_hash long, hits array<int>, n_hits long, n_words long, shouting long",
     )
 
 
@@ -210,7 +210,7 @@ def _regression(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int
 
 
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, score (0 to 1) of every row of (doc_id, text); labels: (doc_id, toxic).
+    """doc_id, text_hash, score (0 to 1) of every row of (doc_id, text); labels: (doc_id, toxic).
 
     NULL and empty texts have no votes and a low score. Without toxic training rows no
     entry is found and every score is 0. Repeated rows get equal scores. The regression
@@ -219,10 +219,10 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     entries, known = lexicon(docs, labels, sample)
     table = keep(hits(docs, entries), "hits")
     if not entries:
-        return table.select("doc_id", F.lit(0.0).alias("score"))
+        return table.select("doc_id", "text_hash", F.lit(0.0).alias("score"))
     patterns = table.groupBy(_votes().alias("votes")).agg(F.count("*").alias("n")).collect()
     if not patterns:
-        return table.select("doc_id", F.lit(0.0).alias("score"))
+        return table.select("doc_id", "text_hash", F.lit(0.0).alias("score"))
     model = LabelModel(np.array([r["votes"] for r in patterns], float), np.array([r["n"] for r in patterns], float), known)
     order = [F.xxhash64(F.lit(SEED), "doc_id", "hits", "n_words"), F.col("doc_id")]
     some = F.size("hits") > 0
@@ -238,9 +238,11 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
     def run(cols: dict) -> dict:
         z = _features(cols["hits"], cols["n_hits"], cols["n_words"], n) @ weights[:-1] + weights[-1]
-        return {"doc_id": cols["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))}
+        return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))}
 
-    return per_batch(table.select("doc_id", "hits", "n_hits", "n_words"), run, "doc_id long, score double")
+    return per_batch(
+        table.select("doc_id", "text_hash", "hits", "n_hits", "n_words"), run, "doc_id long, text_hash long, score double"
+    )
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -251,8 +253,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those predicted toxic. Rows that share an id, or have none, share the
-    judgement: a row goes if a row of its id is toxic."""
-    found = keep(toxicity(docs, labels, threshold), "toxic")
-    gone = found.where("predicted = 1").select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_doc_id"]), "left_anti")
+    """``docs`` without those predicted toxic. Each row is judged on its own text: rows that share
+    an id, or have none, go or stay one by one."""
+    found = keep(scores(docs, labels).where(F.col("score") >= threshold).select("doc_id", "text_hash"), "toxic")
+    gone = found.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_doc_id"]) & (F.xxhash64(docs["text"]) == gone["_text_hash"])
+    return docs.join(gone, same, "left_anti")
