@@ -144,6 +144,17 @@ def test_heavily_edited_copies_keep_their_components(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_texts_of_one_id_keep_their_own_links(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(12):  # an id with two texts, and a near copy of each
+        one, two = _prose(rng, 80), _prose(rng, 80)
+        rows += [(i, one), (i, two), (100 + i, one + " tail"), (200 + i, two + " tail")]
+    got = minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id == r.doc_id % 100 and r.kept == (r.doc_id < 100) for r in got)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (70, 71)], "a long, b long")
     assert {r.id: r.component for r in components(edges).collect()} == {**{i: 0 for i in range(61)}, 70: 70, 71: 70}

@@ -102,8 +102,8 @@ def _digest(found: np.ndarray) -> str | None:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys, low 16 bits of the signature; the last
-    three are NULL for an empty set."""
+    """doc_id, text_hash, n_shingles, digest of the set, band keys, low 16 bits of the signature;
+    the last three are NULL for an empty set."""
 
     def run(cols: dict) -> dict:
         sets = [shingles(t) for t in cols["text"]]
@@ -115,13 +115,13 @@ def signatures(docs: DataFrame) -> DataFrame:
             for i, row, low in zip(full, band_keys(values), (values & 0xFFFF).reshape(len(full), -1).astype(np.int32)):
                 keys[i], lows[i] = row, low
         return {
-            "doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets],
+            "doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "n_shingles": [len(s) for s in sets],
             "digest": [_digest(s) for s in sets], "bands": keys, "low": lows,
         }
 
     return per_batch(
-        docs.select(F.col("doc_id").cast("long"), "text"), run,
-        "doc_id long, n_shingles long, digest string, bands array<long>, low array<int>", "words",
+        docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"), run,
+        "doc_id long, text_hash long, n_shingles long, digest string, bands array<long>, low array<int>", "words",
     )
 
 
@@ -241,26 +241,39 @@ def _block_links(rows: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (digest, id: smallest doc_id of that set) and confirmed links (a, b) between nodes.
+    """Nodes (digest, node, id, text_hash) and confirmed links (a, b) between nodes.
 
+    A node is a set of shingles: ``id`` is the smallest doc_id that has it, ``text_hash`` that of
+    one of its texts there. ``node`` is the id itself for the first digest of an id, and a 64-bit
+    hash of the digest for others, so different texts of one id are different nodes.
     The links span every component; they are not all links within it.
     """
     nodes = keep(
         found.where("digest IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low")),
+        .agg(
+            F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n"),
+            F.first("bands").alias("bands"), F.first("low").alias("low"),
+        )
+        .select("digest", F.col("least.doc_id").alias("id"), F.col("least.text_hash").alias("text_hash"), "n", "bands", "low"),
         "nodes",
+    )
+    repeated = keep(
+        nodes.groupBy("id").agg(F.min("digest").alias("_first"), F.count("*").alias("_digests")).where("_digests > 1").select("id", "_first"),
+        "repeated",
     )
-    rows = nodes.select("id", "n", F.explode("bands").alias("key"))
+    node = F.when(F.col("digest") != F.col("_first"), F.xxhash64("digest")).otherwise(F.col("id"))
+    nodes = nodes.join(repeated, "id", "left").withColumn("node", node).drop("_first")
+    rows = nodes.select(F.col("node").alias("id"), F.col("id").alias("least"), "n", F.explode("bands").alias("key"))
     buckets = (
         rows.groupBy("key")
-        .agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("members"))
+        .agg(F.min(F.struct("least", "id", "n")).alias("hub"), F.count("*").alias("members"))
         .where("members > 1")
         .select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
-    members = keep(rows.join(buckets, "key"), "members")
-    ids = members.select("id").distinct().join(nodes.select("id", "digest"), "id")
-    sets = keep(_sets(docs, ids), "sets")
+    members = keep(rows.drop("least").join(buckets, "key"), "members")
+    wanted = members.select(F.col("id").alias("node")).distinct().join(nodes.select("node", "id", "text_hash", "digest"), "node")
+    sets = keep(_sets(docs, wanted), "sets")
     first = members.where("id <> hub").where(_alike(F.col("n"), F.col("hub_n")))
     hubs = keep(_confirmed(first.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets), "hubs")
     so_far = components(hubs, "stars")
@@ -268,32 +281,42 @@ def links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = keep(_blocks(placed.select("key", "id", "n", "hub", "component")), "placed")
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = (
-        placed.join(nodes.select("id", "bands", "low"), "id").join(sets, "id")
+        placed.join(nodes.select(F.col("node").alias("id"), "bands", "low"), "id").join(sets, "id")
         .withColumn("other", pair)
         .select(
             "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
             "block", "id", "n", "hub", "component", "bands", "low", "shingles",
         )
     )
-    return nodes.select("digest", "id"), hubs.unionByName(keep(_block_links(rows), "more"))
+    return nodes.select("digest", "node", "id", "text_hash"), hubs.unionByName(keep(_block_links(rows), "more"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and whole shingle set of the documents in ``ids`` (id, digest)."""
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id (the node) and whole shingle set of ``nodes`` (node, id, text_hash, digest)."""
 
     def run(cols: dict) -> dict:
         out: dict = {"id": [], "shingles": []}
-        for doc_id, digest, text in zip(cols["id"], cols["digest"], cols["text"]):
+        for node, digest, text in zip(cols["node"], cols["digest"], cols["text"]):
             found = shingles(text)
-            if _digest(found) == digest:  # rows may share a doc_id and differ in text
-                out["id"].append(doc_id)
+            if _digest(found) == digest:
+                out["id"].append(node)
                 out["shingles"].append(found.tobytes())
         return out
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").select("id", "digest", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.join(nodes, ["id", "text_hash"]).select("node", "digest", "text")
     return per_batch(texts, run, "id long, shingles binary", "words").dropDuplicates(["id"])
 
 
+def _by_id(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``links`` (a, b) with the smallest doc_id of each node."""
+    others = keep(nodes.where("node <> id").select("node", "id"), "others")
+    for end in ("a", "b"):
+        named = others.select(F.col("node").alias(end), F.col("id").alias("_id"))
+        links = links.join(named, end, "left").withColumn(end, F.coalesce("_id", end)).drop("_id")
+    return links.select("a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -304,12 +327,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     found = keep(signatures(docs), "signatures")
     nodes, joined = links(docs, found)
-    # Rows of one doc_id with different texts are the same document.
+    # Links are confirmed between texts; from here on, rows of one doc_id are the same document.
     same = (
-        found.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest").join(nodes, "digest")
+        found.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest").join(nodes.select("digest", "id"), "digest")
         .where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     )
-    final = components(joined.unionByName(same), "components")
+    final = components(_by_id(joined, nodes).unionByName(same), "components")
     return (
         found.select("doc_id", "n_shingles")
         .join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
