@@ -172,6 +172,18 @@ def test_nearest(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = neighbours.nearest(frame).collect()
     unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(11)
+    hot = [(7, _prose(rng, 60), f"s{i}") for i in range(40)]
+    copies = [(100 + i, t + " tail", s) for i, (_, t, s) in enumerate(hot[:20])]
+    odd = [(7, "", "e"), (7, None, "n"), (None, hot[0][1], "x"), (5, hot[1][1] + " end", "five")]
+    rows = [*hot, *copies, *odd, (7, hot[2][1], "z"), (7, hot[2][1], "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [*odd, *(r for i, r in enumerate(hot) if i not in (1, 2)), (7, hot[2][1], "a")]
+    for part in (frame, frame.repartition(5)):
+        assert sorted(map(tuple, minmax.drop_near_duplicates(part).collect()), key=str) == sorted(want, key=str)
+
+
     hits = 0
     for q in range(0, 700, 50):
         scores = np.round(unit @ unit[q], 12)

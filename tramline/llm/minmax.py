@@ -346,15 +346,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest doc_id.
+    """``docs`` with one text of each group of near copies, that with the smallest doc_id.
 
-    Rows with a NULL doc_id stay; of several rows with one doc_id one stays.
+    Different texts under one doc_id are not copies of each other. Of rows with one doc_id and
+    one text, the smallest in the order of the columns stays. Rows with a NULL doc_id or an
+    empty set stay.
     """
-    result = keep(near_duplicates(docs).select(F.col("doc_id").alias("_doc_id"), "kept"), "kept")
-    gone = result.where(~F.col("kept")).select("_doc_id").distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_doc_id"], "left_anti")
-    repeats = result.where("_doc_id IS NOT NULL").groupBy("_doc_id").count().where("count > 1").limit(1).count()
-    if not repeats:
-        return left
-    known = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return known.unionByName(left.where("doc_id IS NULL"))
+    found = keep(signatures(docs), "signatures")
+    nodes, joined = links(docs, found)
+    linked = keep(nodes.join(components(joined, "components").withColumnRenamed("id", "node"), "node"), "linked")
+    # A node hashed from its digest may name a component: the text that stays is the one with the smallest id.
+    least = linked.groupBy("component").agg(F.min(F.struct("id", "node")).alias("least"))
+    others = linked.join(least, "component").where(F.col("node") != F.col("least.node")).select("node")
+    left = nodes.join(others, "node", "left_anti").select(F.col("id").alias("doc_id"), "text_hash")
+    counts = keep(
+        found.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+        .join(left.withColumn("stays", F.lit(True)), ["doc_id", "text_hash"], "left"),
+        "counts",
+    )
+
+    def of(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
+        same = (rows["doc_id"].cast("long") == some["_doc_id"]) & (F.xxhash64(rows["text"]) == some["_text_hash"])
+        return rows.join(some, same, how)
+
+    single = of(docs, counts.where("stays IS NULL OR n > 1"), "left_anti")
+    repeated = counts.where("stays AND n > 1")
+    if not repeated.limit(1).count():
+        return single
+    least = of(docs, repeated, "left_semi").groupBy(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    return single.unionByName(least.agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
