@@ -86,6 +86,23 @@ def test_edited_fingerprints(docs, texts):
     assert by_id[21].fingerprint == by_id[None].fingerprint if texts[7] == texts[8] else True
 
 
+def test_fingerprints_hold_all_anchors_of_long_texts(spark):
+    rng = random.Random(14)
+    words = _prose(rng, 4000).split()
+    other = _prose(rng, 4000).split()
+    other[1000:1060] = words[2000:2060]  # one passage in common
+    nearly = [*words[:30], "zzz", *words[31:]]
+    rows = [(3, " ".join(words)), (2, " ".join(nearly)), (1, " ".join(other))]
+    got = {r.doc_id: r for r in syncmers.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), blocks=1).collect()}
+    for doc_id, text in rows:
+        at, hashes = syncmers.anchors(text)
+        r = got[doc_id]
+        assert r.positions == at.tolist() == _brute_syncmers(text) and r.fingerprint == syncmers.as_text(hashes)
+        assert len(r.edited_fingerprint) == 8 * len(r.edited_positions)
+    assert 0.9 < got[3].near_next < 1
+    assert 0 < got[2].near_next < 0.05
+
+
 # --- op2 -------------------------------------------------------------------------------------
 
 

@@ -3,10 +3,9 @@
 A k-mer of code points is a *closed syncmer* when the smallest of its inner s-mers (by hash)
 lies at its left or right edge. Whether a k-mer is chosen depends on its own text alone, so
 an edit touches only the k-mers it overlaps, and equal passages keep their anchors wherever
-they stand. ``anchors`` gives (position, hash) for positional matching; a fingerprint is the
-bottom-m sketch of the distinct anchor hashes, which keeps a fixed size for any length of
-text and estimates the Jaccard likeness of two anchor sets without bias (exactly, when both
-have no more than m anchors).
+they stand. A fingerprint has the hashes of all anchors in the order of the text, with their
+positions beside it for positional matching, so it grows with the text; likeness is the exact
+Jaccard likeness of two texts' anchor hashes.
 """
 
 from __future__ import annotations
@@ -19,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import arrow_schema, mixed, per_batch, ship, tasks
+from tramline.llm.common import arrow_schema, mixed, parts, per_batch, ship, tasks
 
-K, S, SKETCH = 24, 8, 128
+K, S = 24, 8
 BASE = np.uint64(0x5851F42D4C957F2D)
 CHUNK = 1 << 20
 
@@ -75,18 +74,13 @@ def anchors(text: str | None, k: int = K, s: int = S, chunk: int = CHUNK) -> tup
     return np.concatenate(places), np.concatenate(hashes)
 
 
-def sketch(hashes: np.ndarray, m: int = SKETCH) -> np.ndarray:
-    """The m smallest distinct hashes, ascending."""
-    return np.unique(hashes)[:m]
-
-
-def likeness(a: np.ndarray, b: np.ndarray, m: int = SKETCH) -> float:
-    """Share of the m smallest hashes of the union that both have; 1 for two empty sketches."""
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two texts' anchor hashes; 1 for two texts without anchors."""
+    a, b = np.unique(a), np.unique(b)
     if np.array_equal(a, b):
         return 1.0
-    least = np.union1d(a, b)[:m]
-    both = np.isin(least, a, assume_unique=True) & np.isin(least, b, assume_unique=True)
-    return float(both.sum()) / len(least)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def as_text(found: np.ndarray) -> str:
@@ -108,13 +102,16 @@ def anchor_rows(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, position long, hash long")
 
 
-def fingerprints(docs: DataFrame, k: int = K, s: int = S, m: int = SKETCH) -> DataFrame:
-    """doc_id, fingerprint of every text; empty text where a text is NULL or empty."""
+def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
+    """doc_id, fingerprint and positions of every text; both empty where a text is NULL or empty."""
 
     def run(cols: dict) -> dict:
-        return {"doc_id": cols["doc_id"], "fingerprint": [as_text(sketch(anchors(t, k, s)[1], m)) for t in cols["text"]]}
+        found = [anchors(t, k, s) for t in cols["text"]]
+        return {"doc_id": cols["doc_id"], "fingerprint": [as_text(h) for _, h in found], "positions": [at for at, _ in found]}
 
-    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fingerprint string")
+    return per_batch(
+        docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fingerprint string, positions array<long>"
+    )
 
 
 # --- the edited text: every document beside the next one ------------------------------------
@@ -151,17 +148,18 @@ def _block(cuts: list[int]):
 
 OUT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, positions array<long>, edited_positions array<long>"
 )
 
 
-def edited_fingerprints(docs: DataFrame, k: int = K, s: int = S, m: int = SKETCH, blocks: int | None = None) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, k: int = K, s: int = S, blocks: int | None = None) -> DataFrame:
     """Fingerprint of every text and of its edited text, and how near they and the next text are.
 
     The next document follows in descending doc_id (NULL ids last, equal ids by text); after
     the last comes the first, so a lone document is its own next. The edited text has its last
     ⌊n/3⌋ code points replaced by the next text's first as many (all, if it has fewer).
     NULL texts count as empty: empty fingerprint, likeness 1 among themselves, else 0.
+    ``positions`` has the place of each anchor of the fingerprint, eight digits of it apiece.
 
     Texts are shuffled once: ids are cut into blocks by quantiles, a block is sorted and read
     as a stream, and its first row also travels to the block before it.
@@ -199,12 +197,12 @@ def edited_fingerprints(docs: DataFrame, k: int = K, s: int = S, m: int = SKETCH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, names = arrow_schema(OUT), arrow_schema(OUT).names
         last: tuple | None = None
-        for batch in batches:
+        for batch in (part for batch in batches for part in parts(batch)):
             out: list[tuple] = []
             for doc_id, text, block, tail in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                own = sketch(anchors(text, k, s)[1], m)
+                own = anchors(text, k, s)
                 if last is not None and last[0] == block and not last[1]:
-                    out.append(_finish(last[2], last[3], last[4], text, own, k, s, m))
+                    out.append(_finish(last[2], last[3], last[4], text, own, k, s))
                 last = (block, tail, doc_id, text, own)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for n, c in zip(names, zip(*out))], names)
@@ -212,11 +210,11 @@ def edited_fingerprints(docs: DataFrame, k: int = K, s: int = S, m: int = SKETCH
     return ordered.mapInArrow(run, OUT)
 
 
-def _finish(doc_id, text: str, own: np.ndarray, after: str, theirs: np.ndarray, k: int, s: int, m: int) -> tuple:
+def _finish(doc_id, text: str, own: tuple, after: str, theirs: tuple, k: int, s: int) -> tuple:
     part = len(text) // 3
     edited = text[: len(text) - part] + after[:part]
-    new = own if edited == text else sketch(anchors(edited, k, s)[1], m)
+    new = own if edited == text else anchors(edited, k, s)
     return (
-        doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own), as_text(new),
-        likeness(own, new, m), likeness(own, theirs, m),
+        doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own[1]), as_text(new[1]),
+        likeness(own[1], new[1]), likeness(own[1], theirs[1]), own[0], new[0],
     )
