@@ -294,6 +294,18 @@ def test_targets_and_takes(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_rare_source_of_short_texts_meets_its_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 10)
+    rng = random.Random(13)
+    rows = [(i, "big", _prose(rng, 40)) for i in range(4000)] + [(10_000 + i, "rare", _prose(rng, 20)) for i in range(200)]
+    rows += [(20_000 + i, "rare", None if i % 2 else " ") for i in range(30)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert len(got) == len(rows)
+    rare = [r for r in got if r.doc_id >= 10_000]
+    assert {r.target for r in rare} == {12_000.0}
+    assert sum(r.taken for r in rare) == pytest.approx(12_000, abs=3 * mixing.BLOCK)
+
+
 def test_apportion_is_sainte_lague(spark):
     votes = [53, 24, 23, 7, 0]
     frame = spark.createDataFrame([(0, i, float(v), 37) for i, v in enumerate(votes)], "g int, k int, share double, seats long")

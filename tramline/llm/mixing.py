@@ -20,7 +20,7 @@ from tramline.llm.common import keep, ship, words_in
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 32
-SHARD_DOCS = 10_000
+SHARD_DOCS, SHARD_BLOCKS = 10_000, 1_000
 SEED = 11
 # Primes above any number of blocks in a shard; a step by one visits each block once.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -98,12 +98,23 @@ def plan(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: int = SE
     """
     sized = keep(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_in(text).alias("size"))
-        .withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "source")),
+        .withColumn("order", F.when(F.col("size") > 0, F.xxhash64(F.lit(seed), "doc_id", "source")).otherwise(F.monotonically_increasing_id())),
         "sized",
     )
-    shards = F.greatest(F.lit(1), F.ceil(F.count("*") / SHARD_DOCS))
-    n_shards = sized.agg(shards).first()[0]
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.lit(n_shards)).cast("int"))
+    # A source's shards follow its own rows, and hold SHARD_BLOCKS blocks on average at least, so that
+    # rounding a shard up to whole blocks costs its quota little.
+    by_docs, by_words = F.ceil(F.count("*") / SHARD_DOCS), F.floor(F.sum("size") / (SHARD_BLOCKS * block))
+    shards = keep(
+        sized.groupBy(F.col("source").alias("_source"))
+        .agg(F.greatest(F.lit(1), by_docs).alias("_docs"), F.greatest(F.lit(1), F.least(by_docs, by_words)).alias("_shards")),
+        "shards",
+    )
+    # Rows without words take no place in a layout: they are dealt by number apart, below 0.
+    pick = F.xxhash64(F.lit(seed + 1), "doc_id", "size")
+    empty = -1 - F.pmod(F.xxhash64("order"), F.col("_docs"))
+    shard = F.when(F.col("size") > 0, F.pmod(pick, F.col("_shards"))).otherwise(empty)
+    sized = sized.join(shards, F.col("source").eqNullSafe(F.col("_source")), "left")
+    sized = sized.withColumn("shard", shard.cast("int")).drop("_source", "_docs", "_shards")
     parts = sized.groupBy("source", "shard").agg(F.sum("size").alias("part"))
     sources = targets(parts.groupBy("source").agg(F.sum("part").cast("long").alias("source_size")))
     # Blocks in all: as many as the corpus holds words for. No source gets more than MOST passes.
