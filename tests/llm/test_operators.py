@@ -402,6 +402,19 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_sample_of_a_language_is_ranked_in_two_steps(spark):
+    rows = [(i % 700, "de" if i % 3 else "fr") for i in range(3000)] + [(None, "de")] * 50 + [(7, "de")] * 900
+    frame = spark.createDataFrame(rows, "doc_id long, lang string").repartition(6)
+    got = languages._chosen(frame, 40)
+    hashed = frame.selectExpr("doc_id", "lang", "xxhash64(doc_id) AS h").collect()
+    want = set()
+    for lang in ("de", "fr"):
+        mine = sorted((r.h, r.doc_id is not None, r.doc_id or 0) for r in hashed if r.lang == lang)[:40]
+        want |= {(i if some else None, lang) for _, some, i in mine}
+    assert set(map(tuple, got.collect())) == want
+    assert "_bucket" in got._jdf.queryExecution().toString()
+
+
 def test_ngrams_do_not_depend_on_chunks(monkeypatch):
     text = _prose(random.Random(9), 400)
     whole = languages.ngrams(text)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.common import crc_of_id, per_batch
+from tramline.llm.common import crc_of_id, per_batch, tasks
 
 RANKS = 400
 SAMPLE = 2_000
@@ -67,6 +67,17 @@ def ranked(keys: np.ndarray, counts: np.ndarray, ranks: int = RANKS) -> np.ndarr
     return keys[np.lexsort((keys, -counts))][:ranks]
 
 
+def _chosen(rows: DataFrame, sample: int) -> DataFrame:
+    """_doc_id and _lang of the ``sample`` rows a language with the smallest hashes of their ids."""
+    ids = rows.select(F.col("doc_id").alias("_doc_id"), F.col("lang").alias("_lang")).withColumn("_hash", F.xxhash64("_doc_id"))
+    # First within buckets of a language, so that no task ranks all ids of a frequent one.
+    ids = ids.withColumn("_bucket", F.pmod(F.xxhash64("_hash", F.spark_partition_id()), F.lit(tasks(rows.sparkSession))))
+    for part in (["_lang", "_bucket"], ["_lang"]):
+        order = Window.partitionBy(*part).orderBy("_hash", "_doc_id")
+        ids = ids.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= sample).drop("_turn")
+    return ids.select("_doc_id", "_lang").distinct()
+
+
 def profiles(docs: DataFrame, sample: int = SAMPLE, ranks: int = RANKS, training=None) -> dict[str, list[int]]:
     """Profile of each language from rows (doc_id, text, lang) with a language.
 
@@ -75,9 +86,7 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, ranks: int = RANKS, training
     language.
     """
     rows = docs.where("lang IS NOT NULL").where(F.lit(True) if training is None else training)
-    ids = rows.select(F.col("doc_id").alias("_doc_id"), F.col("lang").alias("_lang")).withColumn("_hash", F.xxhash64("_doc_id"))
-    order = Window.partitionBy("_lang").orderBy("_hash", "_doc_id")
-    chosen = ids.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= sample).select("_doc_id", "_lang").distinct()
+    chosen = _chosen(rows, sample)
     texts = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_doc_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
 
     def run(cols: dict) -> dict:
