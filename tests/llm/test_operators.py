@@ -172,6 +172,18 @@ def test_texts_of_one_id_keep_their_own_links(spark):
     assert all(r.component_id == r.doc_id % 100 and r.kept == (r.doc_id < 100) for r in got)
 
 
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(11)
+    hot = [(7, _prose(rng, 60), f"s{i}") for i in range(40)]
+    copies = [(100 + i, t + " tail", s) for i, (_, t, s) in enumerate(hot[:20])]
+    odd = [(7, "", "e"), (7, None, "n"), (None, hot[0][1], "x"), (5, hot[1][1] + " end", "five")]
+    rows = [*hot, *copies, *odd, (7, hot[2][1], "z"), (7, hot[2][1], "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [*odd, *(r for i, r in enumerate(hot) if i not in (1, 2)), (7, hot[2][1], "a")]
+    for part in (frame, frame.repartition(5)):
+        assert sorted(map(tuple, minmax.drop_near_duplicates(part).collect()), key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (70, 71)], "a long, b long")
     assert {r.id: r.component for r in components(edges).collect()} == {**{i: 0 for i in range(61)}, 70: 70, 71: 70}
@@ -189,18 +201,6 @@ def test_nearest(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = neighbours.nearest(frame).collect()
     unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
-def test_near_dedup_keeps_different_texts_of_one_id(spark):
-    rng = random.Random(11)
-    hot = [(7, _prose(rng, 60), f"s{i}") for i in range(40)]
-    copies = [(100 + i, t + " tail", s) for i, (_, t, s) in enumerate(hot[:20])]
-    odd = [(7, "", "e"), (7, None, "n"), (None, hot[0][1], "x"), (5, hot[1][1] + " end", "five")]
-    rows = [*hot, *copies, *odd, (7, hot[2][1], "z"), (7, hot[2][1], "a")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    want = [*odd, *(r for i, r in enumerate(hot) if i not in (1, 2)), (7, hot[2][1], "a")]
-    for part in (frame, frame.repartition(5)):
-        assert sorted(map(tuple, minmax.drop_near_duplicates(part).collect()), key=str) == sorted(want, key=str)
-
-
     hits = 0
     for q in range(0, 700, 50):
         scores = np.round(unit @ unit[q], 12)
@@ -262,6 +262,22 @@ def test_repeated_mentions_are_added_and_masked(spark):
     assert masked[0].startswith("Call [PHONE] now") and masked[90] is None and masked[92] == "no data 12345"
 
 
+def test_learned_field_adds_mentions_however_grouped(spark):
+    again = ["499 555 6503", "(499) 555-6503", "4995556503", "0499 555 6503"]
+    rows = [(i, f"Call +1 (499) 555-6503 now, or {again[i % 4]} later. Order 361-2931 of 2024, {i} pieces") for i in range(40)]
+    rows += [(100, "Order 555 1111 and 2024"), (101, "Card 4111111111111111, order 4111, year 1111.")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in privacy.personal_data(frame).collect()}
+    assert all(got[i].n_added > 0 for i in range(40)) and got[100].n_added == got[101].n_added == 0
+    masked = {r.doc_id: r.text for r in privacy.mask_personal_data(frame).collect()}
+    for i in range(40):
+        assert masked[i] == f"Call [PHONE] now, or [PHONE] later. Order 361-2931 of 2024, {i} pieces"
+    text = "Call +1 (499) 555-6503 now, I repeat: 555-6503 please. Order 555-1111."
+    frame = spark.createDataFrame([(i, f"{text} {i}") for i in range(40)], "doc_id long, text string")
+    for r in privacy.mask_personal_data(frame).collect():
+        assert r.text == f"Call [PHONE] now, I repeat: [PHONE] please. Order 555-1111. {r.doc_id}"
+
+
 def test_field_spreads_a_known_label():
     # Repeated cores labelled alike in training; the second mention has no base span here.
     text = "x +1 (499) 555-6503 y +1 (499) 555-6503 z"

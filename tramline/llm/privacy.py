@@ -2,9 +2,12 @@
 
 Rules find base spans. A document's tokens with a digit or an at sign form a graph: neighbours
 in the text are linked, and so is each token with the one before it that repeats its core (the
-address, the last seven digits), however far away. A conditional random field over that graph
-labels tokens; tokens in base spans are known, and loopy message passing carries their labels
-to repeated mentions that no rule matches, such as a number without its prefix. All other
+address, the last seven digits), however far away. The core of a number is that of a whole run
+of adjacent tokens, so it does not matter how its digits are grouped. A conditional random field
+over that graph labels tokens; tokens in base spans are known, and loopy message passing carries
+their labels to repeated mentions that no rule matches, such as a number without its prefix.
+While the field is learned, such mentions are hidden: that no rule matches them says nothing. The
+field adds repeated mentions only, so a text without a base span gains none. All other
 tokens cannot carry a label, so they cut the chain and need not be visited.
 """
 
@@ -127,6 +130,56 @@ def _core(token: str) -> str | None:
     return digits[-7:] if len(digits) >= 4 else None
 
 
+_NUMBER = re.compile(r"[(+]*[0-9][0-9().-]*")
+_GAP = 3
+
+
+def _mentions(text: str, spans: list[tuple[int, int]], labels: list[int], base: list[tuple[int, int, int]]) -> dict[int, str]:
+    """Cores of the tokens of base phone and card numbers, and of runs of adjacent tokens that
+    repeat such a number's last seven digits and as many before them as the run has.
+
+    Blanks, brackets, dots and hyphens may group the digits; a zero may stand for the prefix.
+    """
+    found: dict[int, str] = {}
+    numbers: dict[str, list[str]] = {}
+    starts = [s for s, _ in spans]
+    for kind, s, e in base:
+        if KINDS[kind] in ("card", "phone"):
+            digits = _NOT_DIGIT.sub("", text[s:e])
+            numbers.setdefault(digits[-7:], []).append(digits)
+            for j in range(max(int(np.searchsorted(starts, s, "right")) - 1, 0), len(spans)):
+                if starts[j] >= e:
+                    break
+                if spans[j][1] > s and labels[j] == kind + 1:
+                    found[j] = digits[-7:]
+    if not numbers:
+        return found
+    words = [text[s:e].strip(",;:!?'\"[]") for s, e in spans]
+    part = [_NOT_DIGIT.sub("", w) if _NUMBER.fullmatch(w) else "" for w in words]
+    for j in range(len(spans) - 1, -1, -1):
+        if labels[j] or j in found or not part[j]:
+            continue
+        digits, best = "", None
+        for i in range(j, -1, -1):
+            if labels[i] or not part[i] or (i < j and not _adjacent(text, spans, i)):
+                break
+            digits = part[i] + digits
+            if len(digits) > 19:
+                break
+            if len(digits) >= 7 and any(n.endswith(digits) or n.endswith(digits[1:]) and digits[0] == "0" and len(digits) > 7 for n in numbers.get(digits[-7:], ())):
+                best = i
+        if best is not None:
+            core = "".join(part[best : j + 1])[-7:]
+            found.update((i, core) for i in range(best, j + 1))
+    return found
+
+
+def _adjacent(text: str, spans: list[tuple[int, int]], i: int) -> bool:
+    """Whether only a few blanks, brackets, dots or hyphens stand between token i and the next."""
+    between = text[spans[i][1] : spans[i + 1][0]]
+    return len(between) <= _GAP and not between.strip(" \t\u00a0().-")
+
+
 class Graph:
     """Tokens of a text with features, base labels (0 none, else kind + 1) and links."""
 
@@ -147,12 +200,20 @@ class Graph:
         near = [i > 0 and self.spans[i][0] - self.spans[i - 1][1] <= 3 for i in range(n)]
         self.chain = [i for i in range(1, n) if near[i]]
         self.skip: list[tuple[int, int]] = []
-        self.cores = [_core(w) for w in words]
+        found = _mentions(text, self.spans, self.labels, base)
+        self.cores = [found.get(i, _core(w)) for i, w in enumerate(words)]
+        held = {c for c, y in zip(self.cores, self.labels) if y and c is not None}
+        # Four to six digits may be any number: of those, the rules' silence is taken as an answer.
+        self.hidden = [not y and c in held and ("@" in c or len(c) > 6) for c, y in zip(self.cores, self.labels)]
+        # Every token of a run is linked with the last token of the mention before it.
         last: dict[str, int] = {}
+        before: dict[str, int] = {}
         for i, core in enumerate(self.cores):
             if core is not None:
-                if core in last and last[core] != i - 1:
-                    self.skip.append((last[core], i))
+                if core in last and not (last[core] == i - 1 and near[i] and self.labels[i] == self.labels[i - 1]):
+                    before[core] = last[core]
+                if core in before:
+                    self.skip.append((before[core], i))
                 last[core] = i
         self.features = [
             [
@@ -171,9 +232,12 @@ class Field:
 
     Learned by pseudo-likelihood (each token given its neighbours' labels), which is concave,
     by gradient ascent with a Gaussian prior around ``AGREE`` for the agreement and 0 else.
+    Hidden tokens have no label to learn from: they begin as their linked tokens and count, after
+    every ``ROUNDS_KNOWN`` rounds, as what the field makes of them (expectation-maximisation).
     """
 
     AGREE, PRIOR, ROUNDS, STEP = 2.0, 0.05, 150, 0.5
+    ROUNDS_KNOWN = 30
     CLASSES = len(KINDS) + 1
 
     def __init__(self):
@@ -182,8 +246,9 @@ class Field:
         self.pairs = np.zeros((self.CLASSES, self.CLASSES))
         self.agree = self.AGREE
 
-    def fit(self, features: list[list[str]], labels: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> Field:
-        """``chain``: tokens linked with the one before; ``skip``: pairs of linked tokens."""
+    def fit(self, features: list[list[str]], labels: np.ndarray, chain: np.ndarray, skip: np.ndarray, hidden: np.ndarray | None = None) -> Field:
+        """``chain``: tokens linked with the one before; ``skip``: pairs of linked tokens;
+        ``hidden``: whether a token's label is unknown."""
         n, c = len(features), self.CLASSES
         if n == 0:
             return self
@@ -192,18 +257,26 @@ class Field:
         owner = np.repeat(np.arange(n), [len(row) for row in features])
         self.weights = np.zeros((len(self.index), c))
         truth = np.eye(c)[labels]
-        partner = np.zeros((n, c))
-        if len(skip):
-            np.add.at(partner, skip[:, 0], truth[skip[:, 1]])
-            np.add.at(partner, skip[:, 1], truth[skip[:, 0]])
+        unknown = np.zeros(n, bool) if hidden is None else np.asarray(hidden, bool)
+        if unknown.any():  # at first, what their linked tokens are
+            truth[unknown] = 0
+            for one, two in ((skip[:, 0], skip[:, 1]), (skip[:, 1], skip[:, 0])):
+                use = unknown[one] & ~unknown[two]
+                np.add.at(truth, one[use], np.eye(c)[labels[two[use]]])
+            some = truth.sum(axis=1, keepdims=True)
+            truth = np.where(some > 0, truth / np.maximum(some, 1), 1 / c)
         after = chain - 1
         usual = np.bincount(flat, minlength=len(self.index))[:, None] + 1.0
-        for _ in range(self.ROUNDS):
+        for turn in range(self.ROUNDS):
+            partner = np.zeros((n, c))
+            if len(skip):
+                np.add.at(partner, skip[:, 0], truth[skip[:, 1]])
+                np.add.at(partner, skip[:, 1], truth[skip[:, 0]])
             score = np.zeros((n, c))
             np.add.at(score, owner, self.weights[flat])
             score += self.agree * partner
-            score[chain] += self.pairs[labels[after]]
-            score[after] += self.pairs[:, labels[chain]].T
+            score[chain] += truth[after] @ self.pairs
+            score[after] += truth[chain] @ self.pairs.T
             score -= score.max(axis=1, keepdims=True)
             p = np.exp(score)
             p /= p.sum(axis=1, keepdims=True)
@@ -211,13 +284,12 @@ class Field:
             grad = np.zeros_like(self.weights)
             np.add.at(grad, flat, off[owner])
             self.weights += self.STEP * (grad - self.PRIOR * self.weights) / usual
-            pairs = np.zeros((c, c))
-            np.add.at(pairs, labels[after], off[chain])
-            back = np.zeros((c, c))
-            np.add.at(back, labels[chain], off[after])
-            self.pairs += self.STEP * (pairs + back.T - self.PRIOR * self.pairs) / max(1, len(chain))
+            pairs = truth[after].T @ off[chain] + off[after].T @ truth[chain]
+            self.pairs += self.STEP * (pairs - self.PRIOR * self.pairs) / max(1, len(chain))
             if len(skip):
-                self.agree += self.STEP * ((off * partner).sum() - self.PRIOR * n * (self.agree - self.AGREE)) / n
+                self.agree += self.STEP * ((off * partner).sum() - self.PRIOR * (self.agree - self.AGREE)) / len(skip)
+            if turn % self.ROUNDS_KNOWN == self.ROUNDS_KNOWN - 1:
+                truth[unknown] = p[unknown]
         return self
 
     def beliefs(self, graphs: list[Graph], rounds: int = 12) -> np.ndarray:
@@ -278,6 +350,7 @@ class Field:
         at = 0
         for (k, held), g in zip(open_, chosen):
             covered = [(s, e) for _, s, e in base[k]]
+            run: tuple | None = None  # core, label and number of the token before, if a span was added there
             for i, (s, e) in enumerate(g.spans):
                 label = int(p[at + i].argmax())
                 if not label or g.labels[i] or p[at + i, label] < CERTAIN or (g.cores[i], label) not in held:
@@ -287,7 +360,10 @@ class Field:
                 while e > s and not texts[k][e - 1].isalnum():
                     e -= 1
                 if s < e and not any(a < e and s < b for a, b in covered):
+                    if run == (g.cores[i], label, i - 1) and _adjacent(texts[k], g.spans, i - 1):
+                        s = out[k].pop()[1]
                     out[k].append((label - 1, s, e))
+                    run = (g.cores[i], label, i)
             at += len(g.spans)
         return out
 
@@ -302,7 +378,7 @@ def learn(docs: DataFrame, docs_most: int = SAMPLE_DOCS, tokens_most: int = SAMP
     some = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_doc_id"), "left_semi").select(F.col("doc_id").cast("long"), "text")
 
     def run(cols: dict) -> dict:
-        out: dict = {n: [] for n in ("doc", "place", "features", "label", "near", "partner")}
+        out: dict = {n: [] for n in ("doc", "place", "features", "label", "near", "partner", "hidden")}
         for doc_id, text in zip(cols["doc_id"], cols["text"]):
             if not text:
                 continue
@@ -316,16 +392,17 @@ def learn(docs: DataFrame, docs_most: int = SAMPLE_DOCS, tokens_most: int = SAMP
                 out["label"].append(g.labels[i])
                 out["near"].append(i in near)
                 out["partner"].append(partner.get(i, -1))
+                out["hidden"].append(g.hidden[i])
         return out
 
-    schema = "doc string, place int, features array<string>, label int, near boolean, partner int"
+    schema = "doc string, place int, features array<string>, label int, near boolean, partner int, hidden boolean"
     rows = per_batch(some, run, schema).orderBy("doc", "place", "label").limit(tokens_most).collect()
     number = {(r["doc"], r["place"]): i for i, r in enumerate(rows)}
     chain = [i for i, r in enumerate(rows) if r["near"] and i and rows[i - 1]["doc"] == r["doc"]]
     skip = [(number[r["doc"], r["partner"]], i) for i, r in enumerate(rows) if r["partner"] >= 0 and (r["doc"], r["partner"]) in number]
     return Field().fit(
         [r["features"] for r in rows], np.array([r["label"] for r in rows], int),
-        np.array(chain, int), np.array(skip, int).reshape(-1, 2),
+        np.array(chain, int), np.array(skip, int).reshape(-1, 2), np.array([r["hidden"] for r in rows], bool),
     )
 
 
