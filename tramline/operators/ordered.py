@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.sources.store import materialise
+
 SLICE_ROWS = 2_000_000
 # Quantiles looked up per long key: a slice holds ``slice_rows`` rows, or a thousandth of its key if that is more.
 QUANTILES = 1000
@@ -143,6 +145,32 @@ def dense_ordinal(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number all rows 1, 2, 3 … by ``order``, without a window over all rows.
+
+    Rows are range-partitioned and written with their place in the partition; the numbers
+    before a partition come from one count per partition. Equal rows share a partition.
+    """
+    placed = materialise(
+        df.repartitionByRange(_parts(df), *order).sortWithinPartitions(*order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)),
+        "numbered",
+    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return (
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_offset") + F.col("_place") + 1)
+        .drop("_part", "_place", "_offset")
+    )
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first by ``order``.
 
