@@ -132,6 +132,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def with_totals(rows: DataFrame, totals: DataFrame, keys: str | list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of ``totals`` (one row per key, ``size`` rows of ``rows`` each), NULL keys alike.
+
+    Keys with more than a thousandth of all rows are fewer than a thousand: their totals are
+    broadcast and their rows stay where they are, so no task gets all rows of a key. ``totals``
+    must be cheap to read twice (a written table).
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    every = totals.agg(F.sum(size)).first()[0] or 0
+    often = F.col(size) * 1000 > every
+    marked = [F.struct(*(F.col(k) for k in keys)).alias("_key")]
+    rest = [c for c in totals.columns if c not in keys]
+    hot = totals.where(often).select(*marked, F.struct(*rest).alias("_hot"))
+    seldom = totals.where(~often).select(*(F.col(k).alias(f"_{k}") for k in keys), F.struct(*rest).alias("_total"))
+    found = rows.withColumn("_key", F.struct(*keys)).join(F.broadcast(hot), "_key", "left").drop("_key")
+    known = found.where("_hot IS NOT NULL").select(*rows.columns, "_hot.*")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    others = found.where("_hot IS NULL").drop("_hot").join(seldom, same).select(*rows.columns, "_total.*")
+    return known.unionByName(others)
+
+
 def odd_numbers(seed: int, n: int) -> np.ndarray:
     """``n`` fixed pseudo-random odd 64-bit multipliers."""
     with np.errstate(over="ignore"):

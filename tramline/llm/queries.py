@@ -1,7 +1,8 @@
 """The registered queries of these operators: (spark, folder of the tables) -> DataFrame.
 
-SQL stands beside a query where DuckDB can express its rows on whole tables in good time;
-the others are held against brute force, an exact round trip or held-out labels in tests/llm.
+``ORACLES`` has SQL where DuckDB can express a query's rows on whole tables in good time
+(exact duplicates); the others are held against brute force, an exact round trip or held-out
+labels in tests/llm.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tramline.llm import (
-    archives, languages, minmax, mixing, neighbours, packing, privacy, sharding, syncmers, toxicity,
+    archives, codes, exact, languages, minmax, mixing, neighbours, packing, privacy, resampling, sharding, syncmers,
+    toxicity,
 )
 from tramline.llm.common import read
 
@@ -56,6 +58,18 @@ def op10_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.languages(read(spark, sf_dir, "documents"))
 
 
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def op12_batch_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_skew_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,8 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_syncmers, op2_minmax, op3_hnsw, op4_skip_chain, op5_sainte_lague, op6_hypergeometric,
-        op7_weak_supervision, op8_gzip_normaliser, op9_sum_of_squares, op10_rank_order, pipeline,
+        op7_weak_supervision, op8_gzip_normaliser, op9_sum_of_squares, op10_rank_order,
+        op11_cover_tree, op12_batch_concatenation, op13_skew_safe, pipeline,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_skew_safe": exact.SQL}
