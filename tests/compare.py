@@ -8,7 +8,7 @@ import time
 
 import duckdb
 
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def connect(sf_dir: str):
