@@ -11,7 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tramline.llm import codes, exact, resampling
+from tests.compare import connect, difference
+from tests.test_oracle import SF_DIR
+from tramline.llm import codes, exact, queries, resampling
 
 ODD = "doc_id long, text string, digest string, salt int, place long, class string, _key string, rank int, facts map<string,int>"
 
@@ -38,6 +40,11 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "x", 1, 2, "y", "z", 3, {"a": 1}) for i, t in rows], ODD).repartition(6)
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_same_as_sql(spark, name):
+    assert difference(queries.QUERIES[name](spark, SF_DIR), connect(SF_DIR), queries.ORACLES[name]) is None
+
+
 # --- op13 ------------------------------------------------------------------------------------
 
 

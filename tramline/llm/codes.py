@@ -292,3 +292,50 @@ def vector_codes(vectors: DataFrame, rounds: int = ROUNDS, entries: int = ENTRIE
     return with_totals(out, totals, "label", "n").select(
         "vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256")
     )
+
+
+def _rounds() -> str:
+    """Assignment to entries (the least of distance and index as one number) and new means, round by round."""
+    steps = []
+    for turn in range(ROUNDS + 1):
+        steps.append(f"""
+near{turn} AS MATERIALIZED (
+    SELECT place, p.part, min({ENTRIES} * ((p.a - e.a) ** 2 + (p.b - e.b) ** 2 + (p.c - e.c) ** 2 + (p.d - e.d) ** 2)::BIGINT + entry) AS best
+    FROM piece p JOIN book{turn} e USING (part) GROUP BY ALL
+)""")
+        if turn < ROUNDS:
+            steps.append(f"""
+book{turn + 1} AS MATERIALIZED (
+    SELECT part, entry, coalesce(m.a, e.a) AS a, coalesce(m.b, e.b) AS b, coalesce(m.c, e.c) AS c, coalesce(m.d, e.d) AS d
+    FROM book{turn} e LEFT JOIN (
+        SELECT part, best % {ENTRIES} AS entry, floor(avg(a))::BIGINT AS a, floor(avg(b))::BIGINT AS b,
+               floor(avg(c))::BIGINT AS c, floor(avg(d))::BIGINT AS d
+        FROM near{turn} JOIN piece USING (place, part) GROUP BY ALL
+    ) m USING (part, entry)
+)""")
+    return ",".join(steps)
+
+
+# For vectors of 64 components, as the table has them: four to a part.
+SQL = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, vec_id, label,
+           list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS whole
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+piece AS MATERIALIZED (
+    SELECT place, part, whole[4 * part + 1] AS a, whole[4 * part + 2] AS b, whole[4 * part + 3] AS c, whole[4 * part + 4] AS d
+    FROM kept, range({PARTS}) AS parts(part)
+),
+book0 AS MATERIALIZED (SELECT part, place AS entry, a, b, c, d FROM piece WHERE place < {ENTRIES}),{_rounds()},
+coded AS MATERIALIZED (
+    SELECT vec_id, label, string_agg(printf('%02x', best % {ENTRIES}), '' ORDER BY part) AS code, sum(best // {ENTRIES})::BIGINT AS error
+    FROM near{ROUNDS} JOIN kept USING (place) GROUP BY place, vec_id, label
+),
+books AS (
+    SELECT sha256(string_agg(a || ',' || b || ',' || c || ',' || d, ',' ORDER BY part, entry)) AS sha FROM book{ROUNDS}
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256
+FROM coded, books
+"""

@@ -133,3 +133,47 @@ def resampled(
     out = ["doc_id", "n_features", "weight", "score"]
     rest = scored.where(F.col("n_words") < least_words).select(*out, F.lit(None).cast("long").alias("rank"))
     return ranked.select(*out, rank.alias("rank")).unionByName(rest)
+
+
+# CRC-32 of each distinct word, bit by bit.
+SQL = f"""
+WITH text AS (
+    SELECT 0 AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
+    UNION ALL
+    SELECT 1, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+),
+word AS MATERIALIZED (
+    SELECT kind, id, unnest(regexp_extract_all(body, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM text
+),
+crc AS MATERIALIZED (
+    SELECT w, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(strlen(w)), lambda i: ('0x' || hex(w)[2 * i + 1 : 2 * i + 2])::BIGINT)),
+        lambda state, byte: list_reduce(
+            list_prepend(xor(state, byte), range(8)),
+            lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+        )
+    ), 4294967295::BIGINT) % {BUCKETS} AS bucket
+    FROM (SELECT DISTINCT w FROM word)
+),
+feature AS MATERIALIZED (SELECT kind, id, bucket FROM word JOIN crc USING (w)),
+share AS (SELECT bucket, count_if(kind = 0) AS s, count_if(kind = 1) AS t FROM feature GROUP BY bucket),
+whole AS (SELECT count_if(kind = 0) AS s, count_if(kind = 1) AS t FROM feature),
+gain AS (
+    SELECT bucket, floor(1000 * ln(((share.t + 1) * (whole.s + {BUCKETS})::DOUBLE) / ((share.s + 1) * (whole.t + {BUCKETS})::DOUBLE)))::BIGINT AS gain
+    FROM share, whole
+),
+weighed AS (
+    SELECT id, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM feature JOIN gain USING (bucket) WHERE kind = 0 GROUP BY id
+),
+scored AS (
+    SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{SEED}:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM documents LEFT JOIN weighed ON id = doc_id
+),
+placed AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able
+    FROM scored WHERE n_features >= {LEAST_WORDS}
+)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN rank <= {PERCENT} * able // 100 THEN rank END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
