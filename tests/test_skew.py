@@ -27,16 +27,20 @@ def observations(spark):
 
 def test_change_detection_spreads_a_hot_train(spark):
     obs = observations(spark)
-    cut = ordered.sliced(obs, ["trip_id", "trip_start_date"], "poll_seq", "ordinal", 10_000)
-    sizes = cut.groupBy("trip_id", "_slice").count()
-    # The hot train's 200,000 rows fall into slices of about 10,000.
-    assert sizes.agg(F.max("count")).first()[0] <= 20_000
-    assert sizes.where("trip_id = 'hot'").count() >= 15
-    flags = lambda df: tuple(df.agg(*(F.count_if(c) for c in ("changed", "appeared", "arrived"))).first())
-    assert flags(changes.changes(obs, slice_rows=10_000)) == flags(changes.changes(obs))
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    try:
+        sizes = ordered.ranged(obs, ["trip_id", "trip_start_date"], ["poll_seq", "ordinal"]).groupBy("_part").count()
+        # The hot train's 200,000 rows lie in a third of the partitions, none of which is much larger than its share.
+        assert sizes.agg(F.max("count")).first()[0] <= 2 * ROWS / 24
+        flags = lambda df: tuple(df.agg(*(F.count_if(c) for c in ("changed", "appeared", "arrived"))).first())
+        many = flags(changes.changes(obs))
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        assert many == flags(changes.changes(obs))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
-def test_slices_are_even_where_rows_crowd(spark):
+def test_partitions_are_even_where_rows_crowd(spark):
     i = F.col("id")
     # 90 % of a key at one value, and a key whose values crowd at the start of their range.
     rows = spark.range(0, 100_000, 1, 8).select(
@@ -44,8 +48,8 @@ def test_slices_are_even_where_rows_crowd(spark):
         F.when(i % 2 == 1, F.pow(i / 100_000.0, 6) * 1e6).when(i % 20 < 18, 500.0).otherwise(i / 100.0).alias("lead"),
         i.alias("tie"),
     )
-    sizes = ordered.sliced(rows, ["k"], "lead", "tie", 1000).groupBy("k", "_slice").count()
-    assert sizes.agg(F.max("count"), F.sum("count")).first()[:] <= (2000, 100_000)
+    sizes = ordered.ranged(rows, ["k"], ["lead", "tie"]).groupBy("_part").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * 100_000 / 8
     assert sizes.agg(F.sum("count")).first()[0] == 100_000
 
 

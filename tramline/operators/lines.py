@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.functions import geo
-from tramline.operators.ordered import SLICE_ROWS, plain, sliced, with_previous, with_running
+from tramline.operators.ordered import PART, PLACE, plain, ranged, with_previous, with_running
 
 ORDER = ["seq", "ord"]
 BLOCK = 16  # consecutive sequence numbers per bounding box
@@ -23,16 +23,15 @@ BIN_CHUNK = 65_536  # bins one row lists at a time
 LOCAL_ROWS = 100_000  # vertices one task simplifies on its own
 
 
-def segments(vertices: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def segments(vertices: DataFrame) -> DataFrame:
     """One row per segment, at its end vertex.
 
     ``x1, y1, x2, y2``, planar ``len``, ``run`` (length before it), geodesic length ``nm``
     in whole nanometres, and per line the planar ``total`` and segment count ``n``.
     """
     key = ["shape_id"]
-    cut = sliced(vertices, key, "seq", "ord", slice_rows)
-    rows = with_previous(cut, key, ORDER, ["lon", "lat"]).where("previous is not null").select(
-        *key, *ORDER, "_slice", "_cut",
+    rows = with_previous(ranged(vertices, key, ORDER), key, ["lon", "lat"]).where("previous is not null").select(
+        *key, *ORDER, PART, PLACE,
         F.col("previous.lon").alias("x1"), F.col("previous.lat").alias("y1"),
         F.col("lon").alias("x2"), F.col("lat").alias("y2"),
     )
@@ -40,7 +39,7 @@ def segments(vertices: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     rows = rows.withColumn("len", geo.planar_length(*ends)).withColumn(
         "nm", F.round(geo.spheroid_m(*ends) * 1e9).cast("long")
     )
-    return plain(with_running(rows, key, ORDER, F.col("len"), "run", "total", "n"))
+    return plain(with_running(rows, key, F.col("len"), "run", "total", "n"))
 
 
 def length_m(segs: DataFrame) -> DataFrame:

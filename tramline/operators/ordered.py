@@ -1,12 +1,11 @@
-"""Ordered operators whose cost does not hang on the largest key.
-
-A plain window sorts each key's rows in one task, so a key with a third of all
-rows stalls the job. Here the few keys that are too long are cut into *slices*
-along the order; the window runs per (key, slice), and what has to cross a slice
-border travels in a small table with one row per slice.
-
-The order is a numeric ``lead`` column, and optionally a ``tie`` column: a row
-number telling rows with the same lead apart.
+"""Ordered operators whose cost does not hang on the largest key: scans over range partitions.
+
+A plain window sorts each key's rows in one task, so a key with a third of all rows stalls
+the job. Here rows are range-partitioned by (keys, order), which cuts long keys anywhere and
+leaves no partition larger than its share, and written with their partition and place in it
+(``ranged``). Windows then run within a partition; what crosses a border (the row before, the
+sum so far) is carried from partition to partition in a table of one or two rows for each,
+joined back by partition number. Every key is treated alike, whatever its length.
 """
 
 from __future__ import annotations
@@ -16,113 +15,101 @@ from pyspark.sql import functions as F
 
 from tramline.sources.store import materialise
 
-SLICE_ROWS = 2_000_000
-# Quantiles looked up per long key: a slice holds ``slice_rows`` rows, or a thousandth of its key if that is more.
-QUANTILES = 1000
-ACCURACY = 10_000
-
-
-def long_keys(df: DataFrame, keys: list[str], lead: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Keys with more than ``slice_rows`` rows, and ``_bounds``: distinct quantiles of ``lead``
-    with about ``slice_rows`` rows between them. Keys are never NULL here."""
-    long = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_rows)
-    shares = [i / QUANTILES for i in range(1, QUANTILES)]
-    slices = F.least(F.ceil(F.col("_n") / slice_rows), F.lit(QUANTILES)).cast("int")
-    chosen = F.transform(
-        F.sequence(F.lit(1), F.greatest(slices - 1, F.lit(1))),
-        lambda i: F.element_at("_all", F.round(i * QUANTILES / slices).cast("int")),
-    )
-    return (
-        df.select(*keys, lead).join(long, keys)
-        .groupBy(*keys)
-        .agg(F.percentile_approx(F.col(lead).cast("double"), shares, ACCURACY).alias("_all"), F.first("_n").alias("_n"))
-        .select(*keys, F.array_distinct(chosen).alias("_bounds"))
-    )
+PART, PLACE = "_part", "_place"
 
 
-def sliced(
-    df: DataFrame, keys: list[str], lead: str, tie: str | None = None, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """Add ``_slice``, which never falls along (lead, tie); one slice for ordinary keys.
+def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` written in range partitions of (keys, order), with ``_part`` and ``_place``: the
+    partition's number and the row's number in it. Rows equal in both come in any order."""
+    return _placed(df, [F.col(c) for c in [*keys, *order]], "ranged")
 
-    A long key is cut at quantiles of ``lead``, so slices stay even where its rows crowd. The
-    rows at a bound are a slice of their own: if that one value is too long by itself, it is
-    cut by ``tie``. ``lead`` must be exact as a double.
-    """
-    at = F.col(lead).cast("double")
-    on_bound = F.coalesce(F.array_contains("_bounds", at), F.lit(False))
-    below = F.coalesce(F.size(F.filter("_bounds", lambda b: b < at)), F.lit(0))
-    inner = F.floor(F.col(tie) / slice_rows) if tie else F.lit(0).cast("long")
-    zero = F.lit(0).cast("long")
-    cut = F.col("_bounds").isNotNull()
-    where = F.struct(
-        F.when(cut, 2 * below + on_bound.cast("int")).otherwise(zero).cast("long").alias("outer"),
-        F.when(on_bound, inner).otherwise(zero).alias("inner"),
-    )
-    return (
-        df.join(long_keys(df, keys, lead, slice_rows), keys, "left")
-        .withColumn("_slice", where)
-        .withColumn("_cut", cut)
-        .drop("_bounds")
+
+def _placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.spark_partition_id()
+    return materialise(
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        .withColumn(PART, part)
+        .withColumn(PLACE, F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)),
+        name,
     )
 
 
-def _rows(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys, "_slice").orderBy(*order)
+def _last_rows(rows: DataFrame, cols: list[Column]) -> DataFrame:
+    """``cols`` of the last row of every partition: as many rows as partitions."""
+    last = rows.groupBy(PART).agg(F.max(PLACE).alias(PLACE))
+    return rows.join(F.broadcast(last), [PART, PLACE]).select(PART, *cols)
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str], name: str = "previous") -> DataFrame:
-    """``name``: struct of ``cols`` of the row before, NULL on a key's first row. Needs ``_slice``."""
-    value = F.struct(*cols)
-    last = (
-        df.where("_cut").groupBy(*keys, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+def with_previous(rows: DataFrame, keys: list[str], cols: list[str], name: str = "previous") -> DataFrame:
+    """``name``: struct of ``cols`` of the row before, NULL on a key's first row. ``rows`` come from ``ranged``."""
+    value, key = F.struct(*cols), F.struct(*keys)
+    after = Window.orderBy(PART)
+    carried = _last_rows(rows, [key.alias("_key"), value.alias("_carried")]).select(
+        F.lead(PART).over(after).alias(PART), F.lit(0).cast("long").alias(PLACE), "_key", "_carried"
     )
-    carried = last.select(
-        *keys,
-        F.lead("_slice").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_slice"),
-        F.col("_last").alias("_carried"),
-    ).where(F.col("_slice").isNotNull())
+    here = Window.partitionBy(PART, *keys).orderBy(PLACE)
+    before = F.when(F.col("_key").eqNullSafe(key), F.col("_carried"))
     return (
-        df.withColumn(name, F.lag(value).over(_rows(keys, order)))
-        .join(carried, [*keys, "_slice"], "left")
-        # A struct is never NULL itself, so lag is NULL on a slice's first row only.
-        .withColumn(name, F.coalesce(name, "_carried"))
-        .drop("_carried")
+        rows.withColumn(name, F.lag(value).over(here))
+        .join(F.broadcast(carried.where(F.col(PART).isNotNull())), [PART, PLACE], "left")
+        # A struct is never NULL itself, so lag is NULL on a key's first row in the partition only.
+        .withColumn(name, F.coalesce(name, before))
+        .drop("_key", "_carried")
     )
 
 
-def with_running(df: DataFrame, keys: list[str], order: list[str], value: Column, before: str, total: str, count: str) -> DataFrame:
-    """Sum of ``value`` before each row, and its total and row count per key. Needs ``_slice``."""
-    df = df.withColumn("_value", value)
-    per_slice = df.where("_cut").groupBy(*keys, "_slice").agg(
-        F.sum("_value").alias("_sum"), F.count("*").alias("_count")
+def with_running(rows: DataFrame, keys: list[str], value: Column, before: str, total: str, count: str) -> DataFrame:
+    """Sum of ``value`` before each row, and its total and row count per key. ``rows`` come from
+    ``ranged``, some perhaps left out; they are written with what their partition knows."""
+    whole = Window.partitionBy(PART, *keys)
+    so_far = whole.orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    inner = materialise(
+        rows.withColumn("_value", value)
+        .withColumn(before, F.coalesce(F.sum("_value").over(so_far), F.lit(0.0)))
+        .withColumn(total, F.sum("_value").over(whole))
+        .withColumn(count, F.count("*").over(whole))
+        .drop("_value"),
+        "running",
     )
+    # Only a partition's first and last key can go on beyond it.
+    ends = inner.groupBy(PART).agg(F.min(PLACE).alias("_low"), F.max(PLACE).alias("_high"))
+    border = inner.join(F.broadcast(ends), PART).where(f"{PLACE} = _low or {PLACE} = _high")
+    held = border.select(PART, *keys, F.col(total).alias("_sum"), F.col(count).alias("_count")).distinct()
     by_key = Window.partitionBy(*keys)
-    so_far = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        *keys,
-        "_slice",
-        F.coalesce(F.sum("_sum").over(so_far), F.lit(0.0)).alias("_offset"),
+    earlier = by_key.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select(
+        F.struct(PART, *keys).alias("_at"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_offset"),
         F.sum("_sum").over(by_key).alias("_total"),
         F.sum("_count").over(by_key).alias("_rows"),
-    )
-    rows = _rows(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys, "_slice")
+        F.count("*").over(by_key).alias("_parts"),
+    ).where("_parts > 1").drop("_parts")
     return (
-        df.withColumn(before, F.coalesce(F.sum("_value").over(rows), F.lit(0.0)))
-        .withColumn(total, F.sum("_value").over(whole))
-        .withColumn(count, F.count("*").over(whole))
-        .join(offsets, [*keys, "_slice"], "left")
+        inner.withColumn("_at", F.struct(PART, *keys))
+        .join(F.broadcast(carried), "_at", "left")
         .withColumn(before, F.col(before) + F.coalesce("_offset", F.lit(0.0)))
         .withColumn(total, F.coalesce("_total", total))
         .withColumn(count, F.coalesce("_rows", count))
-        .drop("_value", "_offset", "_total", "_rows")
+        .drop("_at", "_offset", "_total", "_rows")
     )
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Drop the slice columns."""
-    return df.drop("_slice", "_cut")
+    """Drop the columns of ``ranged``."""
+    return df.drop(PART, PLACE)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number all rows 1, 2, 3 … by ``order``, without a window over all rows: places in range
+    partitions, and one row per partition with the number of rows before it."""
+    rows = _placed(df, order, "numbered")
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(PART).agg(F.count("*").alias("_n"))
+    offsets = counts.select(PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return plain(
+        rows.join(F.broadcast(offsets), PART).withColumn(name, F.col("_offset") + F.col(PLACE) + 1).drop("_offset")
+    )
 
 
 def dense_ordinal(df: DataFrame, name: str) -> DataFrame:
@@ -145,32 +132,6 @@ def dense_ordinal(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Number all rows 1, 2, 3 … by ``order``, without a window over all rows.
-
-    Rows are range-partitioned and written with their place in the partition; the numbers
-    before a partition come from one count per partition. Equal rows share a partition.
-    """
-    placed = materialise(
-        df.repartitionByRange(_parts(df), *order).sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)),
-        "numbered",
-    )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_place") + 1)
-        .drop("_part", "_place", "_offset")
-    )
-
-
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first by ``order``.
 

@@ -19,7 +19,7 @@ from tramline.functions import geo
 from tramline.functions.scalars import (
     blank_to_null, clock_seconds, lenient_double, lenient_int, lenient_smallint, location_type,
 )
-from tramline.operators.ordered import SLICE_ROWS, first_per_key, plain, sliced, with_previous
+from tramline.operators.ordered import first_per_key, plain, ranged, with_previous
 from tramline.schemas import BBOX, FEED_FILES, ROUTE_TYPES
 
 EXAMPLES = 3
@@ -205,25 +205,22 @@ def drawable_shapes(points: DataFrame) -> DataFrame:
     return points.groupBy("shape_id").agg(spread.alias("drawable"), F.min("ord").alias("ord"))
 
 
-def dedupe_vertices(points: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def dedupe_vertices(points: DataFrame) -> DataFrame:
     """Drop vertices equal to the one before them in (seq, ord) order."""
-    order = ["seq", "ord"]
-    rows = with_previous(sliced(points, ["shape_id"], "seq", "ord", slice_rows), ["shape_id"], order, ["lon", "lat"])
+    rows = with_previous(ranged(points, ["shape_id"], ["seq", "ord"]), ["shape_id"], ["lon", "lat"])
     before = F.col("previous")
     fresh = before.isNull() | (before["lon"] != F.col("lon")) | (before["lat"] != F.col("lat"))
     return plain(rows.where(fresh).drop("previous"))
 
 
-def clean_shapes(raw: DataFrame, bbox=BBOX, slice_rows: int = SLICE_ROWS, stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
+def clean_shapes(raw: DataFrame, bbox=BBOX, stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
     """Shapes as one row per vertex (``shape_id, seq, ord, lon, lat``), so that no line
     has to fit one row."""
     judged = judge_points(raw, bbox).staged(stage)
     points = judged.good.select("shape_id", "seq", "ord", "lon", "lat")
     lines = drawable_shapes(points)
     short = judge(lines, "shapes", [Rule(~F.col("drawable"), "fewer than 2 distinct points", F.col("shape_id"))])
-    vertices = dedupe_vertices(
-        points.join(lines.where("drawable").select("shape_id"), "shape_id", "left_semi"), slice_rows
-    )
+    vertices = dedupe_vertices(points.join(lines.where("drawable").select("shape_id"), "shape_id", "left_semi"))
     return vertices, judged.log.unionByName(short.log)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import geo
 from tramline.operators.lines import interpolate, locate
-from tramline.operators.ordered import SLICE_ROWS, plain, sliced, with_previous
+from tramline.operators.ordered import plain, ranged, with_previous
 from tramline.sources.store import materialise
 
 
@@ -31,10 +31,10 @@ def shape_stop_positions(stop_times: DataFrame, trips: DataFrame, stops: DataFra
     return locate(materialise(pairs, "pairs"), segs)
 
 
-def consecutive(positions: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def consecutive(positions: DataFrame) -> DataFrame:
     """``shape_id, prev_stop, next_stop, prev_fraction, next_fraction`` of neighbours on a line."""
-    key, order = ["shape_id"], ["fraction", "stop_id"]
-    rows = with_previous(sliced(positions, key, "fraction", slice_rows=slice_rows), key, order, ["stop_id", "fraction"])
+    key = ["shape_id"]
+    rows = with_previous(ranged(positions, key, ["fraction", "stop_id"]), key, ["stop_id", "fraction"])
     return plain(rows.where("previous is not null")).select(
         "shape_id", F.col("previous.stop_id").alias("prev_stop"), F.col("stop_id").alias("next_stop"),
         F.col("previous.fraction").alias("prev_fraction"), F.col("fraction").alias("next_fraction"),

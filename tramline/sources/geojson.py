@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tramline.functions import geo
-from tramline.operators.ordered import sliced
+from tramline.operators.ordered import PART, PLACE, ranged
 
 PIECE_ROWS = 50_000
 
@@ -52,7 +52,8 @@ def write_lines(lines: DataFrame, vertices: DataFrame, properties: list[str], pa
 
     A shape without vertices becomes a feature without geometry.
     """
-    cut = sliced(vertices, ["shape_id"], "seq", "ord", piece_rows)
+    cut = ranged(vertices.select("shape_id", "seq", "ord", "lon", "lat"), ["shape_id"], ["seq", "ord"])
+    cut = cut.withColumn("_slice", F.struct(PART, F.floor(F.col(PLACE) / piece_rows).alias("block")))
     pair = F.to_json(F.array(F.round("lon", 6), F.round("lat", 6)))
     texts = cut.withColumn("pair", pair).groupBy("shape_id", "_slice").agg(
         F.array_sort(F.collect_list(F.struct("seq", "ord", "pair"))).alias("v")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.functions.scalars import service_date, status_text
-from tramline.operators.ordered import SLICE_ROWS, plain, sliced, with_previous
+from tramline.operators.ordered import plain, ranged, with_previous
 from tramline.operators.tracking import RUN
 from tramline.schemas import STOPPED_AT, UNKNOWN_ROUTE
 
@@ -36,15 +36,13 @@ def normalize(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def changes(obs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def changes(obs: DataFrame) -> DataFrame:
     """Add ``changed, appeared, arrived`` to every observation.
 
     A run's last state counts only if the run was in the poll before (or earlier in the
     same poll): a run missing from one poll is forgotten and appears anew.
     """
-    rows = with_previous(
-        sliced(obs, RUN, "poll_seq", "ordinal", slice_rows), RUN, ORDER, ["stop_id", "current_status", "poll_seq"]
-    )
+    rows = with_previous(ranged(obs, RUN, ORDER), RUN, ["stop_id", "current_status", "poll_seq"])
     before = F.col("previous")
     known = F.coalesce(before["poll_seq"] >= F.col("poll_seq") - 1, F.lit(False))
     same = before["stop_id"].eqNullSafe(F.col("stop_id")) & before["current_status"].eqNullSafe(F.col("current_status"))

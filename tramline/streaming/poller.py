@@ -1,7 +1,7 @@
 """The realtime job: landed snapshots in, positions, stop events and figures out.
 
 Every micro-batch runs the batch operators of ``changes`` on whole polls, so a train
-with very many records is sliced the same way as in batch. What has to be remembered
+with very many records is spread the same way as in batch. What has to be remembered
 between micro-batches, the last state of each run seen in the two newest polls, is a
 small table in the output folder. All writes replace what the same micro-batch wrote
 before, so a batch repeated after a failure changes nothing.
