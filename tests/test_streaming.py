@@ -44,7 +44,7 @@ def land(folder, polls):
 
 
 def outputs(spark, root):
-    read = lambda name: spark.read.parquet(f"{root}/{name}").drop("batch")
+    read = lambda name: poller.read(spark, root, name)
     return {
         "positions": sorted((tuple(r) for r in read("positions").select("trip_id", "stop_id", "current_status", "poll_seq").collect()), key=repr),
         "events": sorted((tuple(r) for r in read("stop_events").select("trip_id", "stop_id", "poll_seq").collect()), key=repr),

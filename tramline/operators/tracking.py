@@ -15,6 +15,8 @@ from tramline.functions.scalars import rt_trip_id
 from tramline.schemas import STOPPED_AT
 
 RUN = ["trip_id", "trip_start_date"]
+_HALT = "struct<observed_at:timestamp,poll_seq:bigint,ordinal:bigint,stop_id:string>"
+HALTS = f"trip_id string, trip_start_date date, halt {_HALT}, other {_HALT}"
 
 
 def as_of_log(log: DataFrame, as_of: datetime) -> DataFrame:
@@ -87,3 +89,34 @@ def previous_stop(latest: DataFrame, log: DataFrame, max_lookback_days: int | No
         .select(*RUN, F.col("_found._stop").alias("prev_stop_id"), F.col("_found._at.observed_at").alias("prev_at"))
     )
     return latest.join(found, RUN, "left")
+
+
+def last_halts(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``trip_id, trip_start_date, halt, other``: each run's newest halt, and its newest at a
+    different stop, as structs with ``stop_id``; those two suffice for the stop before any stop.
+
+    ``before`` are the same of an older part of the log: the two combine like sums, so the
+    table is kept up to date from new rows alone.
+    """
+    at = F.struct("observed_at", "poll_seq", "ordinal", "stop_id")
+    halts = log.where(F.col("current_status") == STOPPED_AT).select(*RUN, at.alias("at"))
+    if before is not None:
+        kept = before.select(*RUN, F.explode(F.array("halt", "other")).alias("at")).where("at is not null")
+        halts = halts.unionByName(kept)
+    # The newest per stop first: a run stops at few places, however often it is seen there.
+    per_stop = halts.groupBy(*RUN, F.col("at.stop_id").alias("stop_id")).agg(F.max("at").alias("at"))
+    newest_two = F.slice(F.sort_array(F.collect_list("at"), asc=False), 1, 2)
+    return (
+        per_stop.groupBy(*RUN).agg(newest_two.alias("_two"))
+        .select(*RUN, F.get("_two", F.lit(0)).alias("halt"), F.get("_two", F.lit(1)).alias("other"))
+    )
+
+
+def previous_of(latest: DataFrame, halts: DataFrame) -> DataFrame:
+    """The same as ``previous_stop`` from the table of ``last_halts``, without the log."""
+    found = latest.join(halts, RUN, "left")
+    elsewhere = ~F.col("halt.stop_id").eqNullSafe(F.col("stop_id"))
+    before = F.when(F.col("halt").isNull(), None).when(elsewhere, F.col("halt")).otherwise(F.col("other"))
+    return found.withColumn("_before", before).select(
+        *latest.columns, F.col("_before.stop_id").alias("prev_stop_id"), F.col("_before.observed_at").alias("prev_at")
+    )

@@ -1,13 +1,19 @@
-"""Parquet tables: versioned replacement, day-partitioned append, retention."""
+"""Parquet tables: versions committed together, day-partitioned append, retention, scratch."""
 
 from __future__ import annotations
 
 import tempfile
+import threading
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tramline.sources import manifest
+from tramline.sources.manifest import delete, exists, listed, modified
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,74 +39,90 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tramline/{spark.sparkContext.applicationId}"
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Remove what this thread materialises inside, on leaving: results must be written by then."""
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _open.paths = _open.paths, outer
+        for spark, path in paths:
+            delete(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; survives lost executors."""
-    path = f"{_scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, name: str | None = None) -> int:
     """Remove what this application materialised, all of it or under one name; returns how
     many folders. Call it once results built on them are written."""
     folder = _scratch(spark)
-    if not exists(spark, folder):
-        return 0
-    target, files = _file_system(spark, folder)
-    found = [status.getPath().getName() for status in files.listStatus(target)]
-    chosen = [entry for entry in found if name is None or entry.rsplit("-", 1)[0] == name]
+    chosen = [entry for entry in listed(spark, folder) if name is None or entry.rsplit("-", 1)[0] == name]
     return sum(delete(spark, f"{folder}/{entry}") for entry in chosen)
 
 
 # --- versioned tables ---------------------------------------------------------------------
 
 
-def write_version(df: DataFrame, root: str, table: str) -> str:
-    """Write a new version next to the old one, then make it current.
-
-    Readers see the old version until the new one is complete: the pointer is one small
-    file that Spark's committer moves into place.
-    """
-    spark = df.sparkSession
+def stage_version(df: DataFrame, root: str, table: str) -> str:
+    """Write a new version of a table beside the others; nobody reads it before it is committed."""
     version = uuid.uuid4().hex
     df.write.parquet(f"{root}/{table}/version={version}")
-    number = _latest(spark, root, table)[0] + 1
-    spark.range(1).select(F.lit(number).alias("number"), F.lit(version).alias("version")).coalesce(1).write.mode(
-        "append"
-    ).json(f"{root}/{table}/_pointers")
     return version
 
 
-def _file_system(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
+def commit_versions(spark: SparkSession, root: str, versions: dict[str, str], base: int) -> int:
+    """Make versions of any number of tables current, all at once. ``base`` is the number of the
+    manifest they were worked out from; raises ``manifest.Conflict`` if it is not the newest."""
+    number, content = manifest.latest(spark, root)
+    if number != base:
+        raise manifest.Conflict(f"{root} went from manifest {base} to {number}")
+    return manifest.commit(spark, root, base, {"tables": {**content.get("tables", {}), **versions}})
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target, files = _file_system(spark, path)
-    return files.exists(target)
 
-
-def delete(spark: SparkSession, path: str) -> bool:
-    """Remove a folder; False when there is none."""
-    target, files = _file_system(spark, path)
-    return files.delete(target, True)
+def write_version(df: DataFrame, root: str, table: str) -> str:
+    """Write a new version of one table and make it current."""
+    spark = df.sparkSession
+    base = manifest.latest(spark, root)[0]
+    version = stage_version(df, root, table)
+    commit_versions(spark, root, {table: version}, base)
+    return version
 
 
-def _latest(spark: SparkSession, root: str, table: str) -> tuple[int, str | None]:
-    path = f"{root}/{table}/_pointers"
-    if not exists(spark, path):
-        return 0, None
-    row = spark.read.schema("number int, version string").json(path).agg(F.max(F.struct("number", "version"))).first()
-    return (row[0]["number"], row[0]["version"]) if row and row[0] else (0, None)
+def read_versions(spark: SparkSession, root: str) -> tuple[int, dict[str, DataFrame]]:
+    """Number of the newest manifest, and the tables it names: one state of all of them."""
+    number, content = manifest.latest(spark, root)
+    tables = content.get("tables", {})
+    return number, {t: spark.read.parquet(f"{root}/{t}/version={v}") for t, v in tables.items()}
 
 
 def read_version(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     """The current version of a table, None before the first."""
-    version = _latest(spark, root, table)[1]
+    version = manifest.latest(spark, root)[1].get("tables", {}).get(table)
     return None if version is None else spark.read.parquet(f"{root}/{table}/version={version}")
 
 
+def remove_versions(spark: SparkSession, root: str, keep: int = 2, older_than_hours: float = 24) -> int:
+    """Remove versions that none of the newest ``keep`` manifests names, unless they are younger
+    than ``older_than_hours`` (a refresh may be writing them); returns how many."""
+    named = {f"{t}/version={v}" for content in manifest.history(spark, root, keep) for t, v in content.get("tables", {}).items()}
+    old = time.time() - 3600 * older_than_hours
+    found = [f"{t}/{v}" for t in listed(spark, root) if not t.startswith("_") for v in listed(spark, f"{root}/{t}") if v.startswith("version=")]
+    gone = [path for path in found if path not in named and modified(spark, f"{root}/{path}") <= old]
+    return sum(delete(spark, f"{root}/{path}") for path in gone)
+
+
 # --- day partitions -----------------------------------------------------------------------
 
 
@@ -111,10 +133,7 @@ def append_days(df: DataFrame, path: str, day: str = "observed_date") -> None:
 
 def existing_days(spark: SparkSession, path: str, day: str = "observed_date") -> DataFrame:
     """``day`` of every partition folder, from the file listing alone."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], "day date")
-    target, files = _file_system(spark, path)
-    names = [status.getPath().getName() for status in files.listStatus(target)]
+    names = listed(spark, path)
     days = [(date.fromisoformat(n.split("=", 1)[1]),) for n in names if n.startswith(day + "=") and "HIVE" not in n]
     return spark.createDataFrame(days, "day date")
 
