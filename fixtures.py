@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators.lines import segments
 from tramline.operators.tables import insert_if_absent
+from tramline.operators.tracking import last_halts
 from tramline.plans import load
 from tramline.plans.headway import scheduled
 from tramline.plans.positions import shape_stop_positions
@@ -135,14 +136,19 @@ class Tables(dict):
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
         self.spark, self.sf_dir = spark, sf_dir
-        self._staged = None
+        self._feed = self._judged = None
+
+    def judged(self) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        """Valid rows and log of every feed table; the judged rows are written when first asked for."""
+        if self._judged is None:
+            self._judged = load.clean(raw(self.spark, self.sf_dir), ORDER, stage=materialise)
+        return self._judged
 
     def feed(self) -> dict[str, DataFrame]:
-        """The cleaned feed tables; the judged rows are written when first asked for."""
-        if self._staged is None:
-            staged, self._logs = load.clean(raw(self.spark, self.sf_dir), ORDER, stage=materialise)
-            self._staged = load.collapse(staged, ORDER)
-        return self._staged
+        """The cleaned feed tables."""
+        if self._feed is None:
+            self._feed = load.collapse(self.judged()[0], ORDER)
+        return self._feed
 
     def _build(self, name: str) -> DataFrame:
         if name in load.TABLES:
@@ -157,6 +163,8 @@ class Tables(dict):
             return changes.changes(changes.normalize(snapshots(self.spark, self.sf_dir)))
         if name == "vehicle_positions":
             return changes.positions(self["changes"])
+        if name == "halts":
+            return last_halts(self["vehicle_positions"])
         if name == "stop_events":
             return insert_if_absent(None, changes.arrivals(self["changes"]), KEYS["stop_events"], changes.ORDER)
         raise KeyError(name)
@@ -167,7 +175,7 @@ class Tables(dict):
 
     def __contains__(self, name) -> bool:
         return name in [
-            *load.TABLES, "segments", "shape_stop_positions", "scheduled_headway", "vehicle_positions", "stop_events",
+            *load.TABLES, "segments", "shape_stop_positions", "scheduled_headway", "vehicle_positions", "stop_events", "halts",
         ]
 
 

@@ -36,25 +36,25 @@ def seconds(c: str) -> str:
     )
 
 
-def coordinate(lon_raw: str, lat_raw: str, prefix: str = "") -> str:
+def coordinate(lon_raw: str, lat_raw: str) -> str:
     return (
-        f"WHEN {lon_raw} IS NULL OR {lat_raw} IS NULL THEN '{prefix}missing lat/lon' "
-        f"WHEN lon IS NULL OR lat IS NULL THEN '{prefix}unparseable lat/lon (''' || {lat_raw} || ''', ''' || {lon_raw} || ''')' "
+        f"WHEN {lon_raw} IS NULL OR {lat_raw} IS NULL THEN 'no_position' "
+        f"WHEN lon IS NULL OR lat IS NULL THEN 'position_text:' || {lat_raw} || ',' || {lon_raw} "
         f"WHEN NOT (lon BETWEEN -74.4 AND -73.6 AND lat BETWEEN 40.4 AND 41.0) "
-        f"THEN '{prefix}coordinate outside box (' || CAST(lat AS VARCHAR) || ', ' || CAST(lon AS VARCHAR) || ')'"
+        f"THEN 'position_outside:' || CAST(lat AS VARCHAR) || ',' || CAST(lon AS VARCHAR)"
     )
 
 
 CTES: dict[str, str] = {
     **VIEWS,
     "n_routes": f"SELECT {blank('route_id', 'route_type', 'route_short_name', 'route_long_name', 'route_color', 'route_text_color')} FROM fx_routes",
-    "j_routes": f"""SELECT *, CASE WHEN route_id IS NULL THEN 'missing route_id'
+    "j_routes": f"""SELECT *, CASE WHEN route_id IS NULL THEN 'required:route_id'
         WHEN ({integer('route_type')}) IS DISTINCT FROM 1
-        THEN 'route_type not wanted: ' || coalesce(CAST({integer('route_type')} AS VARCHAR), 'none') END AS reason FROM n_routes""",
+        THEN 'unwanted_route_type:' || coalesce(CAST({integer('route_type')} AS VARCHAR), 'none') END AS reason FROM n_routes""",
     "c_routes": """SELECT route_id, coalesce(route_short_name, route_id) AS route_short_name, route_long_name, route_color, route_text_color
         FROM j_routes WHERE reason IS NULL""",
     "n_stops": f"SELECT {blank('stop_id', 'stop_name', 'stop_lon', 'stop_lat', 'parent_station', 'location_type')} FROM fx_stops",
-    "j_stops": f"""SELECT *, CASE WHEN stop_id IS NULL THEN 'missing stop_id' WHEN stop_name IS NULL THEN 'missing stop_name'
+    "j_stops": f"""SELECT *, CASE WHEN stop_id IS NULL THEN 'required:stop_id' WHEN stop_name IS NULL THEN 'required:stop_name'
         {coordinate('stop_lon', 'stop_lat')} END AS reason
         FROM (SELECT *, TRY_CAST(stop_lon AS DOUBLE) AS lon, TRY_CAST(stop_lat AS DOUBLE) AS lat FROM n_stops) v""",
     "s_stops": "SELECT * FROM j_stops WHERE reason IS NULL",
@@ -62,25 +62,25 @@ CTES: dict[str, str] = {
         CASE WHEN parent_station <> stop_id AND parent_station IN (SELECT stop_id FROM s_stops) THEN parent_station END AS parent_station,
         CAST(coalesce({integer('location_type')}, 0) AS SMALLINT) AS location_type, lon, lat FROM s_stops""",
     "n_points": f"SELECT {blank('shape_id', 'shape_pt_sequence', 'shape_pt_lon', 'shape_pt_lat')} FROM fx_shape_points",
-    "j_points": f"""SELECT *, CASE WHEN shape_id IS NULL THEN 'missing shape_id'
-        WHEN seq IS NULL THEN 'missing or unparseable shape_pt_sequence' {coordinate('shape_pt_lon', 'shape_pt_lat', 'point rejected: ')} END AS reason
+    "j_points": f"""SELECT *, CASE WHEN shape_id IS NULL THEN 'required:shape_id'
+        WHEN seq IS NULL THEN 'no_order:shape_pt_sequence' {coordinate('shape_pt_lon', 'shape_pt_lat')} END AS reason
         FROM (SELECT *, {integer('shape_pt_sequence')} AS seq, TRY_CAST(shape_pt_lon AS DOUBLE) AS lon, TRY_CAST(shape_pt_lat AS DOUBLE) AS lat FROM n_points) v""",
     "c_points": "SELECT shape_id, seq, lon, lat FROM j_points WHERE reason IS NULL",
     "d_points": """SELECT shape_id, seq, lon, lat FROM (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM c_points
         WINDOW w AS (PARTITION BY shape_id ORDER BY seq)) v WHERE plon IS NULL OR plon <> lon OR plat <> lat""",
     "c_shapes": "SELECT * FROM d_points WHERE shape_id IN (SELECT shape_id FROM d_points GROUP BY shape_id HAVING count(*) >= 2)",
     "n_trips": f"SELECT {blank('trip_id', 'route_id', 'service_id', 'shape_id', 'direction_id')} FROM fx_trips",
-    "j_trips": f"""SELECT *, CASE WHEN trip_id IS NULL THEN 'missing trip_id'
-        WHEN route_id IS NULL OR route_id NOT IN (SELECT route_id FROM c_routes) THEN 'route_id not loaded'
-        WHEN service_id IS NULL THEN 'missing service_id' END AS reason,
+    "j_trips": f"""SELECT *, CASE WHEN trip_id IS NULL THEN 'required:trip_id'
+        WHEN route_id IS NULL OR route_id NOT IN (SELECT route_id FROM c_routes) THEN 'unknown_route'
+        WHEN service_id IS NULL THEN 'required:service_id' END AS reason,
         CASE WHEN shape_id IN (SELECT shape_id FROM c_shapes) THEN shape_id END AS shape_kept,
         CAST({integer('direction_id')} AS SMALLINT) AS direction FROM n_trips""",
     "c_trips": """SELECT trip_id, route_id, service_id, shape_kept AS shape_id, direction AS direction_id,
         substring(trip_id, position('_' IN trip_id) + 1) AS rt_trip_id FROM j_trips WHERE reason IS NULL""",
     "n_stop_times": f"SELECT {blank('trip_id', 'stop_sequence', 'stop_id', 'arrival_time', 'departure_time')}, tb1, tb2, tb3 FROM fx_stop_times",
     "j_stop_times": f"""SELECT s.*, {integer('stop_sequence')} AS seq, {seconds('arrival_time')} AS arrival_sec, {seconds('departure_time')} AS departure_sec,
-        CASE WHEN t.trip_id IS NULL THEN 'trip_id not loaded' WHEN p.stop_id IS NULL THEN 'stop_id not in feed'
-        WHEN ({integer('stop_sequence')}) IS NULL THEN 'missing or unparseable stop_sequence' END AS reason
+        CASE WHEN t.trip_id IS NULL THEN 'unknown_trip' WHEN p.stop_id IS NULL THEN 'unknown_stop'
+        WHEN ({integer('stop_sequence')}) IS NULL THEN 'no_order:stop_sequence' END AS reason
         FROM n_stop_times s LEFT JOIN c_trips t ON t.trip_id = s.trip_id LEFT JOIN c_stops p ON p.stop_id = s.stop_id""",
     "g_stop_times": "SELECT trip_id, seq AS stop_sequence, stop_id, arrival_sec, departure_sec, tb1, tb2, tb3 FROM j_stop_times WHERE reason IS NULL",
     "c_stop_times": """SELECT trip_id, stop_sequence, stop_id, arrival_sec, departure_sec FROM (SELECT *, row_number() OVER

@@ -394,26 +394,35 @@ def _(spark, d):
 _COUNTED = ["routes", "stops", "shapes", "trips", "stop_times", "shape_stop_positions"]
 
 
-@query("row_counts", sql("""SELECT 'routes' AS table_name, count(*) AS rows FROM c_routes UNION ALL SELECT 'stops', count(*) FROM c_stops UNION ALL SELECT 'shapes', count(DISTINCT shape_id) FROM c_shapes
-    UNION ALL SELECT 'trips', count(*) FROM c_trips UNION ALL SELECT 'stop_times', count(*) FROM c_stop_times UNION ALL SELECT 'shape_stop_positions', count(*) FROM o_positions"""))
+def _counts_sql() -> str:
+    """One count per table side by side, turned into rows."""
+    what = {"shapes": "DISTINCT shape_id", "shape_stop_positions": "*"}
+    source = lambda t: "o_positions" if t == "shape_stop_positions" else f"c_{t}"
+    sides = ", ".join(f"(SELECT count({what.get(t, '*')}) AS {t} FROM {source(t)})" for t in _COUNTED)
+    return sql(f"SELECT table_name, rows FROM (SELECT * FROM {sides}) UNPIVOT (rows FOR table_name IN ({', '.join(_COUNTED)}))")
+
+
+@query("row_counts", _counts_sql())
 def _(spark, d):
     return audit.row_counts(tables(spark, d), _COUNTED)
 
 
-@query("past_midnight", sql("""SELECT printf('%02d:%02d:%02d', max(arrival_sec) // 3600, max(arrival_sec) % 3600 // 60, max(arrival_sec) % 60) AS max_arrival,
-    count(*) FILTER (arrival_sec >= 86400) AS past_midnight, count(*) FILTER (arrival_sec >= 100800) AS past_28h FROM c_stop_times"""))
+@query("past_midnight", sql("""SELECT printf('%02d:%02d:%02d', max(latest) // 3600, max(latest) // 60 % 60, max(latest) % 60) AS max_arrival,
+    coalesce(sum(n * (hour > 23)::INT), 0)::BIGINT AS past_midnight, coalesce(sum(n * (hour > 27)::INT), 0)::BIGINT AS past_28h
+    FROM (SELECT arrival_sec // 3600 AS hour, count(arrival_sec) AS n, max(arrival_sec) AS latest FROM c_stop_times GROUP BY hour) by_hour"""))
 def _(spark, d):
     return audit.past_midnight(tables(spark, d)["stop_times"])
 
 
-@query("station_structure", sql("""SELECT count(*) FILTER (location_type = 1) AS stations, count(*) FILTER (parent_station IS NOT NULL) AS platforms,
-    count(*) FILTER (parent_station IS NOT NULL AND parent_station NOT IN (SELECT stop_id FROM c_stops)) AS orphan_parents FROM c_stops"""))
+@query("station_structure", sql("""SELECT sum((child.location_type IS NOT DISTINCT FROM 1)::INT)::BIGINT AS stations, count(child.parent_station) AS platforms,
+    count(child.parent_station) - count(parent.stop_id) AS orphan_parents FROM c_stops child LEFT JOIN c_stops parent ON child.parent_station = parent.stop_id"""))
 def _(spark, d):
     return audit.station_structure(tables(spark, d)["stops"])
 
 
-@query("platform_vs_station", sql("""SELECT count(*) FILTER (stop_id = 'ST5') AS by_station_id_alone, count(*) FILTER (stop_id = 'ST5P1') AS first_platform, count(*) FILTER (stop_id = 'ST5P2') AS second_platform,
-    (SELECT count(*) FROM c_stop_times JOIN c_stops s USING (stop_id) WHERE s.parent_station = 'ST5' OR s.stop_id = 'ST5') AS rolled_up_through_parent FROM c_stop_times"""))
+@query("platform_vs_station", sql("""SELECT coalesce(max(n) FILTER (stop_id = 'ST5'), 0) AS by_station_id_alone, coalesce(max(n) FILTER (stop_id = 'ST5P1'), 0) AS first_platform,
+    coalesce(max(n) FILTER (stop_id = 'ST5P2'), 0) AS second_platform, coalesce(sum(n) FILTER (place = 'ST5'), 0)::BIGINT AS rolled_up_through_parent
+    FROM (SELECT stop_id, coalesce(parent_station, stop_id) AS place, count(*) AS n FROM c_stop_times JOIN c_stops USING (stop_id) GROUP BY ALL) per_stop"""))
 def _(spark, d):
     t = tables(spark, d)
     return audit.platform_vs_station(t["stop_times"], t["stops"], "ST5", ("ST5P1", "ST5P2"))
@@ -449,9 +458,11 @@ def _(spark, d):
     )
 
 
-@query("position_sanity", sql("""SELECT count(*) AS rows, count(DISTINCT shape_id) AS shapes, count(DISTINCT stop_id) AS stops, count(*) FILTER (fraction < 0 OR fraction > 1) AS out_of_range,
-    count(*) FILTER (fraction IN (0, 1)) AS endpoint_pinned, round(avg(fraction), 4) AS avg_fraction, round(min(fraction), 6) AS min_fraction, round(max(fraction), 6) AS max_fraction
-    FROM (SELECT shape_id, stop_id, round(fraction, 9) AS fraction FROM o_positions) v"""))
+@query("position_sanity", sql("""SELECT sum(n)::BIGINT AS rows, count(*) AS shapes, len(list_distinct(flatten(list(stops)))) AS stops, sum(outside)::BIGINT AS out_of_range,
+    sum(pinned)::BIGINT AS endpoint_pinned, round(sum(total) / sum(n), 4) AS avg_fraction, round(min(low), 6) AS min_fraction, round(max(high), 6) AS max_fraction
+    FROM (SELECT shape_id, count(*) AS n, list(stop_id) AS stops, sum((f NOT BETWEEN 0 AND 1)::INT) AS outside, sum((f = 0 OR f = 1)::INT) AS pinned,
+          sum(f) AS total, min(f) AS low, max(f) AS high
+          FROM (SELECT shape_id, stop_id, round(fraction, 9) AS f FROM o_positions) r GROUP BY shape_id) per_shape"""))
 def _(spark, d):
     return positions.sanity(tables(spark, d)["shape_stop_positions"].withColumn("fraction", F.round("fraction", 9)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tramline.functions import scalars
 from tramline.operators import quality
 from tramline.plans import audit, headway, load
-from tramline.sources import feed, store
+from tramline.sources import feed, manifest, store
 
 ROUTES = """﻿route_id,route_type,route_short_name,route_color
 R1,1,1,EE352E
@@ -97,19 +97,19 @@ def test_ledger(cleaned):
     staged, logs = cleaned
     copies = quality.duplicate_log(staged["stop_times"], "stop_times", ["trip_id", "stop_sequence"])
     got = {(r["table"], r["kind"], r["reason"]): (r["n"], r["examples"]) for r in quality.ledger(*logs.values(), copies).collect()}
-    assert got[("routes", "skipped", "route_type not wanted: 2")] == (1, ["R3"])
-    assert got[("routes", "skipped", "route_type not wanted: none")] == (1, ["R4"])
-    assert got[("routes", "skipped", "missing route_id")] == (1, [])
-    assert got[("stops", "skipped", "missing lat/lon")] == (1, ["H"])
-    assert got[("stops", "skipped", "unparseable lat/lon ('40.7', '-73.9x')")] == (1, ["G"])
-    assert got[("stops", "skipped", "coordinate outside box (-73.95, 40.75)")] == (1, ["F"])
-    assert got[("stops", "repaired", "parent_station not in feed, nulled")] == (2, ["B1->LOST", "C1->C"])
-    assert got[("stops", "repaired", "stop is its own parent, nulled")] == (1, ["B"])
-    assert got[("shapes", "skipped", "fewer than 2 distinct points")] == (1, ["S2"])
-    assert got[("trips", "skipped", "route_id not loaded")] == (1, ["X_t3 (R3)"])
-    assert got[("trips", "repaired", "shape_id not in feed, nulled")] == (1, ["X_t2 (S2)"])
-    assert got[("stop_times", "repaired", "malformed departure_time, nulled")] == (1, ["X_t1 7:1:2"])
-    assert got[("stop_times", "skipped", "duplicate (trip_id, stop_sequence)")] == (1, ["X_t1 #2"])
+    assert got[("routes", "skipped", "unwanted_route_type:2")] == (1, ["R3"])
+    assert got[("routes", "skipped", "unwanted_route_type:none")] == (1, ["R4"])
+    assert got[("routes", "skipped", "required:route_id")] == (1, [])
+    assert got[("stops", "skipped", "no_position")] == (1, ["H"])
+    assert got[("stops", "skipped", "position_text:40.7,-73.9x")] == (1, ["G"])
+    assert got[("stops", "skipped", "position_outside:-73.95,40.75")] == (1, ["F"])
+    assert got[("stops", "repaired", "unknown_parent")] == (2, ["B1->LOST", "C1->C"])
+    assert got[("stops", "repaired", "parent_of_itself")] == (1, ["B"])
+    assert got[("shapes", "skipped", "line_of_one_place")] == (1, ["S2"])
+    assert got[("trips", "skipped", "unknown_route")] == (1, ["X_t3 (R3)"])
+    assert got[("trips", "repaired", "unknown_shape")] == (1, ["X_t2 (S2)"])
+    assert got[("stop_times", "repaired", "bad_clock:departure_time")] == (1, ["X_t1 7:1:2"])
+    assert got[("stop_times", "skipped", "repeated_key:trip_id,stop_sequence")] == (1, ["X_t1 #2"])
     assert sum(n for (_, kind, _), (n, _) in got.items() if kind == "skipped") == 3 + 5 + 2 + 2 + 4
 
 
@@ -124,7 +124,7 @@ def test_report(cleaned):
 def test_refresh(spark, folder, tmp_path, mode, keep_absent):
     raw, root = feed.read_feed(spark, folder), str(tmp_path / "tables")
     found = load.refresh(spark, raw, root, mode)["ledger"].collect()
-    assert ("stop_times", "duplicate (trip_id, stop_sequence)", 1) in {(r["table"], r["reason"], r["n"]) for r in found}
+    assert ("stop_times", "repeated_key:trip_id,stop_sequence", 1) in {(r["table"], r["reason"], r["n"]) for r in found}
     assert [r["n"] for r in found] == sorted((r["n"] for r in found), reverse=True)
     load.build_derived(spark, root)
     first = load.read_tables(spark, root)
@@ -146,10 +146,74 @@ def test_refresh(spark, folder, tmp_path, mode, keep_absent):
     assert t["shape_stop_positions"].count() == (2 if keep_absent else 1)
     pruned = {r["table"]: r["pruned"] for r in result["report"].collect()}
     assert pruned["stops"] == (0 if keep_absent else 1) and pruned["trips"] == (0 if keep_absent else 1)
+    # Stop positions of the lost stop are accounted for too.
+    assert pruned.get("shape_stop_positions") == (None if keep_absent else 1)
     with pytest.raises(ValueError):
         load.refresh(spark, raw, root, "merge")
 
 
+def test_a_failed_refresh_leaves_the_old_tables(spark, folder, tmp_path, monkeypatch):
+    raw, root = feed.read_feed(spark, folder), str(tmp_path / "tables")
+    load.refresh(spark, raw, root)
+    before = {name: rows(df) for name, df in load.read_tables(spark, root).items()}
+    newer = {**raw, "routes": raw["routes"].where("route_id <> 'R2'"), "stops": raw["stops"].where("stop_id <> 'E'")}
+    whole = load.stage_version
+
+    def failing(df, where, table):
+        if table == "trips":
+            raise OSError("no space left")
+        return whole(df, where, table)
+
+    monkeypatch.setattr(load, "stage_version", failing)
+    with pytest.raises(OSError):
+        load.refresh(spark, newer, root)
+    # Routes and stops were written by then, but no reader sees them.
+    assert {name: rows(df) for name, df in load.read_tables(spark, root).items()} == before
+    monkeypatch.setattr(load, "stage_version", whole)
+
+    # Another refresh commits while this one is being worked out: the later one loses.
+    def overtaken(*args):
+        monkeypatch.setattr(load, "report", plain_report)
+        load.refresh(spark, raw, root)
+        return plain_report(*args)
+
+    plain_report = load.report
+    monkeypatch.setattr(load, "report", overtaken)
+    with pytest.raises(manifest.Conflict):
+        load.refresh(spark, newer, root)
+    assert {name: rows(df) for name, df in load.read_tables(spark, root).items()} == before
+    # Versions of the failed, overtaken and earlier refreshes can go.
+    assert store.remove_versions(spark, root, keep=1, older_than_hours=1) == 0
+    assert store.remove_versions(spark, root, keep=1, older_than_hours=0) >= 2 + 5 + 5
+    assert {name: rows(df) for name, df in load.read_tables(spark, root).items()} == before
+
+
+def test_scratch_folders_go(spark, folder, tmp_path):
+    store.discard(spark)
+    load.refresh(spark, feed.read_feed(spark, folder), str(tmp_path / "tables"))
+    assert store.discard(spark) == 0
+
+
+def test_scattered_trips_are_in_the_ledger(spark):
+    trips = ["a", "a", "b", "a", "c", "b", "c"]
+    df = spark.createDataFrame([(t, i + 5, i * 10) for i, t in enumerate(trips)], "trip_id string, n int, ord long")
+    found = quality.ledger(quality.reentry_log(df, "stop_times", "trip_id")).collect()
+    # One row of b stands between rows of a, and so on: a, b and c start again once each.
+    assert [tuple(r) for r in found] == [("stop_times", "repaired", "scattered:trip_id", 3, ["a", "b", "c"])]
+    unordered = df.withColumn("ord", F.lit(0).cast("long"))
+    assert quality.reentry_log(unordered, "stop_times", "trip_id").isEmpty()
+
+
+def test_accounts_scan_little(spark, cleaned):
+    """The accounts read the judged rows a few times each, without nested loops."""
+    staged, logs = cleaned
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    report, entries = plan(load.report(*cleaned)), plan(load.ledger(*cleaned, reentries=False))
+    gathered = plan(quality.log_rows(*logs.values(), quality.duplicate_log(staged["stop_times"], "stop_times", ["trip_id", "stop_sequence"])))
+    assert report.count("FileScan") <= 15 and entries.count("FileScan") + gathered.count("FileScan") <= 15
+    assert not any(loop in text for text in (report, entries, gathered) for loop in ("NestedLoop", "CartesianProduct"))
+
+
 def test_constraint_audit_finds_violations(spark):
     t = {
         "routes": spark.createDataFrame([("R", "r"), ("R", None)], "route_id string, route_short_name string"),

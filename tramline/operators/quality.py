@@ -2,7 +2,8 @@
 
 Each ``clean_*`` returns ``(good, log)``. A row is skipped by the first rule it
 breaks; repairs keep the row, and several can hit one row. ``log`` has one row
-per skip or repair: ``table, kind, reason, example, ord``. ``keep`` names extra
+per skip or repair: ``table, kind, reason, example, ord``; reasons are codes, some with a
+field or value behind a colon. ``keep`` names extra
 input columns to carry through, such as those giving the file order.
 """
 
@@ -19,7 +20,7 @@ from tramline.functions import geo
 from tramline.functions.scalars import (
     blank_to_null, clock_seconds, lenient_double, lenient_int, lenient_smallint, location_type,
 )
-from tramline.operators.ordered import first_per_key, plain, ranged, with_previous
+from tramline.operators.ordered import first_per_key, numbered, plain, ranged, with_previous
 from tramline.schemas import BBOX, FEED_FILES, ROUTE_TYPES
 
 EXAMPLES = 3
@@ -102,21 +103,17 @@ def judge(df: DataFrame, table: str, skips: list[Rule], repairs: list[Rule] = ()
 
 def _missing(field: str, example: Column | None = None) -> Rule:
     example = F.lit(None).cast("string") if example is None else example
-    return Rule(F.col(field).isNull(), f"missing {field}", example)
+    return Rule(F.col(field).isNull(), f"required:{field}", example)
 
 
-def _coordinate_rules(lon_raw: str, lat_raw: str, box, example: Column, prefix: str = "") -> list[Rule]:
-    """Missing, not a number, outside the box: the first that holds."""
+def _coordinate_rules(lon_raw: str, lat_raw: str, box, example: Column) -> list[Rule]:
+    """Absent, text, outside the box: the first that holds."""
     lon, lat = F.col("lon"), F.col("lat")
-    pair = lambda a, b, q: F.concat(F.lit(q), a.cast("string"), F.lit(f"{q}, {q}"), b.cast("string"), F.lit(q))
-    reason = lambda text, a, b, q: F.concat(F.lit(f"{prefix}{text} ("), pair(a, b, q), F.lit(")"))
+    told = lambda code, a, b: F.concat(F.lit(f"{code}:"), a.cast("string"), F.lit(","), b.cast("string"))
     return [
-        Rule(F.col(lon_raw).isNull() | F.col(lat_raw).isNull(), f"{prefix}missing lat/lon", example),
-        Rule(
-            lon.isNull() | lat.isNull(),
-            reason("unparseable lat/lon", F.col(lat_raw), F.col(lon_raw), "'"), example,
-        ),
-        Rule(~geo.in_box(lon, lat, box), reason("coordinate outside box", lat, lon, ""), example),
+        Rule(F.col(lon_raw).isNull() | F.col(lat_raw).isNull(), "no_position", example),
+        Rule(lon.isNull() | lat.isNull(), told("position_text", F.col(lat_raw), F.col(lon_raw)), example),
+        Rule(~geo.in_box(lon, lat, box), told("position_outside", lat, lon), example),
     ]
 
 
@@ -128,9 +125,9 @@ def judge_routes(raw: DataFrame, route_types=ROUTE_TYPES, keep=()) -> Judged:
         df, "routes",
         [
             _missing("route_id"),
-            Rule(~wanted, F.concat(F.lit("route_type not wanted: "), type_text), F.col("route_id")),
+            Rule(~wanted, F.concat(F.lit("unwanted_route_type:"), type_text), F.col("route_id")),
         ],
-        [Rule(F.col("route_short_name").isNull(), "blank route_short_name, used route_id", F.col("route_id"))],
+        [Rule(F.col("route_short_name").isNull(), "name_from_id", F.col("route_id"))],
     )
 
 
@@ -169,8 +166,8 @@ def judge_parents(survivors: DataFrame) -> Judged:
         "parent_kept", F.when(~dangling & ~own, parent)
     )
     return judge(df, "stops", [], [
-        Rule(dangling, "parent_station not in feed, nulled", F.concat(stop, F.lit("->"), parent)),
-        Rule(own, "stop is its own parent, nulled", stop),
+        Rule(dangling, "unknown_parent", F.concat(stop, F.lit("->"), parent)),
+        Rule(own, "parent_of_itself", stop),
     ])
 
 
@@ -193,8 +190,8 @@ def judge_points(raw: DataFrame, bbox=BBOX) -> Judged:
     )
     return judge(df, "shapes", [
         _missing("shape_id"),
-        Rule(F.col("seq").isNull(), "missing or unparseable shape_pt_sequence", shape),
-        *_coordinate_rules("shape_pt_lon", "shape_pt_lat", bbox, shape, "point rejected: "),
+        Rule(F.col("seq").isNull(), "no_order:shape_pt_sequence", shape),
+        *_coordinate_rules("shape_pt_lon", "shape_pt_lat", bbox, shape),
     ])
 
 
@@ -219,7 +216,7 @@ def clean_shapes(raw: DataFrame, bbox=BBOX, stage: Stage | None = None) -> tuple
     judged = judge_points(raw, bbox).staged(stage)
     points = judged.good.select("shape_id", "seq", "ord", "lon", "lat")
     lines = drawable_shapes(points)
-    short = judge(lines, "shapes", [Rule(~F.col("drawable"), "fewer than 2 distinct points", F.col("shape_id"))])
+    short = judge(lines, "shapes", [Rule(~F.col("drawable"), "line_of_one_place", F.col("shape_id"))])
     vertices = dedupe_vertices(points.join(lines.where("drawable").select("shape_id"), "shape_id", "left_semi"))
     return vertices, judged.log.unionByName(short.log)
 
@@ -245,10 +242,10 @@ def judge_trips(raw: DataFrame, routes: DataFrame, shapes: DataFrame, keep=()) -
         df, "trips",
         [
             _missing("trip_id"),
-            Rule(F.col("_route").isNull(), "route_id not loaded", with_id(route)),
+            Rule(F.col("_route").isNull(), "unknown_route", with_id(route)),
             _missing("service_id", trip),
         ],
-        [Rule(lost, "shape_id not in feed, nulled", with_id(shape))],
+        [Rule(lost, "unknown_shape", with_id(shape))],
     )
 
 
@@ -276,14 +273,14 @@ def judge_stop_times(raw: DataFrame, trips: DataFrame, stops: DataFrame, keep=()
 
     def malformed(field: str, parsed: str) -> Rule:
         broken = F.col(field).isNotNull() & F.col(parsed).isNull()
-        return Rule(broken, f"malformed {field}, nulled", F.concat(shown(trip), F.lit(" "), F.col(field)))
+        return Rule(broken, f"bad_clock:{field}", F.concat(shown(trip), F.lit(" "), F.col(field)))
 
     return judge(
         df, "stop_times",
         [
-            Rule(F.col("_trip").isNull(), "trip_id not loaded", shown(trip)),
-            Rule(F.col("_stop").isNull(), "stop_id not in feed", shown(stop)),
-            Rule(F.col("seq").isNull(), "missing or unparseable stop_sequence", trip),
+            Rule(F.col("_trip").isNull(), "unknown_trip", shown(trip)),
+            Rule(F.col("_stop").isNull(), "unknown_stop", shown(stop)),
+            Rule(F.col("seq").isNull(), "no_order:stop_sequence", trip),
         ],
         [malformed("arrival_time", "arrival_sec"), malformed("departure_time", "departure_sec")],
     )
@@ -322,13 +319,28 @@ def duplicate_log(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
     return per_key.withColumn("_at", F.explode(shown)).select(
         F.lit(table).alias("table"),
         F.lit("skipped").alias("kind"),
-        F.lit(f"duplicate ({', '.join(keys)})").alias("reason"),
+        F.lit(f"repeated_key:{','.join(keys)}").alias("reason"),
         F.concat(F.col(first).cast("string"), F.lit(" #"), F.col(second).cast("string")).alias("example"),
         "ord",
         F.when(F.col("_at") == 1, F.col("n") - 1).otherwise(0).alias("rows"),
     )
 
 
+def reentry_log(df: DataFrame, table: str, key: str) -> DataFrame:
+    """Log rows for keys whose rows start again after another key's, by file order (``ord``).
+
+    Nothing is repaired: later steps sort. Rows are numbered densely in their order of ``ord``,
+    skipped rows left out; without a file order (all ``ord`` equal) there is none to judge.
+    """
+    numbers = numbered(df.select(key, "ord"), [F.col("ord")], "_at")
+    apart = noncontiguous(numbers, key, "_at").join(numbers.groupBy(key).agg(F.min("ord").alias("ord"), F.max("ord").alias("_last")), key)
+    ordered_file = F.col("ord") < F.col("_last")
+    return apart.where(ordered_file).select(
+        F.lit(table).alias("table"), F.lit("repaired").alias("kind"), F.lit(f"scattered:{key}").alias("reason"),
+        F.col(key).cast("string").alias("example"), "ord", F.col("reentries").alias("rows"),
+    )
+
+
 def noncontiguous(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     """``key, reentries``: how often a key's rows start again after another key's rows.
 
@@ -343,6 +355,14 @@ def noncontiguous(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     )
 
 
+def log_rows(*logs: DataFrame) -> DataFrame:
+    """Logs below each other, with ``rows``: how many rows a log row stands for."""
+    return reduce(
+        DataFrame.unionByName,
+        (part if "rows" in part.columns else part.withColumn("rows", F.lit(1).cast("long")) for part in logs),
+    )
+
+
 def ledger(*logs: DataFrame) -> DataFrame:
     """``table, kind, reason, n, examples``: counts per reason and the first three examples.
 
@@ -350,10 +370,7 @@ def ledger(*logs: DataFrame) -> DataFrame:
     filter that Spark pushes below the shuffle.
     """
     keys = ["table", "kind", "reason"]
-    log = reduce(
-        DataFrame.unionByName,
-        (part if "rows" in part.columns else part.withColumn("rows", F.lit(1).cast("long")) for part in logs),
-    )
+    log = log_rows(*logs)
     counts = log.groupBy(*keys).agg(F.sum("rows").alias("n"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ord", "example"))
     examples = (

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from tramline.functions.scalars import rt_trip_id
 from tramline.operators import quality
 from tramline.operators.lines import segments
-from tramline.operators.tables import prune, pruned, prune_orphans, upsert
+from tramline.operators.tables import pruned, prune_orphans, upsert
 from tramline.plans.headway import scheduled
 from tramline.plans.positions import shape_stop_positions
 from tramline.schemas import BBOX, KEYS, ROUTE_TYPES
-from tramline.sources.store import materialise, read_version, write_version
+from tramline.sources.store import commit_versions, materialise, read_versions, scratch, stage_version
 
 TABLES = ["routes", "stops", "shapes", "trips", "stop_times"]
-# Children before the parents they reference.
-PRUNE_ORDER = ["stop_times", "trips", "shapes", "stops", "routes"]
 
 
 def clean(
@@ -29,7 +27,7 @@ def clean(
 
     ``order`` names columns that decide, per table, which of several rows with one key
     is the first; default: file order. ``stage`` writes the judged rows of a table and
-    reads them back; without it everything stays one lazy plan.
+    reads them back; without it they are worked out again for every use.
     """
     order = order or {}
     keep = {table: tuple(c for c in order.get(table, []) if c not in _OWN[table]) for table in TABLES}
@@ -90,28 +88,41 @@ def derive(tables: dict) -> dict:
 
 
 def report(staged: dict, logs: dict, removed: dict[str, DataFrame] | None = None) -> DataFrame:
-    """``table, loaded, duplicates, skipped, pruned`` per table."""
-    removed = removed or {}
+    """``table, loaded, duplicates, skipped, pruned`` per table of ``removed`` or of the feed.
 
-    def row(table: str) -> DataFrame:
+    Every figure is a row of (table, what, n); they are added up per table at the end.
+    """
+
+    def figure(df: DataFrame, table: str, what: str) -> DataFrame:
+        return df.select(F.lit(table).alias("table"), F.lit(what).alias("what"), F.col(df.columns[0]).alias("n"))
+
+    rows = []
+    for table in TABLES:
         if table == "shapes":
-            counts = staged[table].agg(F.count_distinct("shape_id").alias("loaded")).withColumn(
-                "duplicates", F.lit(0).cast("long")
-            )
+            rows.append(figure(staged[table].agg(F.count_distinct("shape_id").alias("n")), table, "loaded"))
         else:
-            counts = quality.surplus_count(staged[table], KEYS[table]).select(F.col("kept").alias("loaded"), "duplicates")
-        skipped = logs[table].where("kind = 'skipped'").agg(F.count("*").alias("skipped"))
-        gone = (
-            removed[table].agg(F.count("*").alias("pruned")) if table in removed
-            else staged[table].sparkSession.range(1).select(F.lit(0).cast("long").alias("pruned"))
-        )
-        # Three one-row frames side by side.
-        name = F.lit(table).alias("table")
-        return (
-            counts.select(name, "*").join(skipped.select(name, "*"), "table").join(gone.select(name, "*"), "table")
-        )
+            counts = quality.surplus_count(staged[table], KEYS[table])
+            rows.append(counts.select(F.lit(table).alias("table"), F.inline(F.array(
+                F.struct(F.lit("loaded").alias("what"), F.col("kept").alias("n")),
+                F.struct(F.lit("duplicates").alias("what"), F.col("duplicates").alias("n")),
+            ))))
+        rows.append(figure(logs[table].where("kind = 'skipped'").agg(F.count("*").alias("n")), table, "skipped"))
+    for table, gone in (removed or {}).items():
+        rows.append(figure(gone.agg(F.count("*").alias("n")), table, "pruned"))
+    amount = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).alias(what)
+    return reduce(DataFrame.unionByName, rows).groupBy("table").agg(
+        *(amount(what) for what in ("loaded", "duplicates", "skipped", "pruned"))
+    )
+
 
-    return reduce(DataFrame.unionByName, (row(table) for table in TABLES))
+def ledger(staged: dict, logs: dict, reentries: bool = True) -> DataFrame:
+    """The accounts of a load: skips, repairs, repeated stop times and, with ``reentries``, trips
+    whose stop times start again after another trip's. The log rows are gathered and written
+    first, in one pass over the judged tables."""
+    parts = [*logs.values(), quality.duplicate_log(staged["stop_times"], "stop_times", KEYS["stop_times"])]
+    if reentries:
+        parts.append(quality.reentry_log(staged["stop_times"], "stop_times", "trip_id"))
+    return quality.ledger(materialise(quality.log_rows(*parts), "log"))
 
 
 def refresh(
@@ -119,60 +130,73 @@ def refresh(
     order: dict[str, list[str]] | None = None,
 ) -> dict[str, DataFrame]:
     """Load a feed into versioned tables under ``root`` and return ``report`` and ``ledger``
-    (repeated stop times included, most common reasons first).
+    (repeated and scattered stop times included, most common reasons first).
 
     ``upsert`` merges into the current tables and, unless ``keep_absent``, drops rows the
     feed no longer has. ``replace`` does the same for the small tables and overwrites
-    stop_times, also with ``keep_absent``. Each table is swapped once it is fully written.
+    stop_times, also with ``keep_absent``. All tables, stop positions that lost their line or
+    stop included, become current by one commit once they are fully written: a failure before
+    leaves the old set, and of two refreshes at once the later commit raises
+    ``manifest.Conflict``. ``store.remove_versions`` removes what no recent commit names.
     """
     if mode not in ("upsert", "replace"):
         raise ValueError(f"unknown refresh mode {mode!r}")
     order = order or {}
-    staged, logs = clean(raw, order, stage=materialise)
-    feed = collapse(staged, order)
-    copies = quality.duplicate_log(staged["stop_times"], "stop_times", KEYS["stop_times"])
-    removed, versions = {}, {}
-    for table in TABLES:
-        old = read_version(spark, root, table)
-        if old is None or (mode == "replace" and table == "stop_times"):
-            new = feed[table]
-        elif table == "shapes":
-            # A line is replaced as a whole: its vertices have no life of their own.
-            ids = feed[table].select("shape_id").distinct()
-            new = old.join(ids, "shape_id", "left_anti").unionByName(feed[table]) if keep_absent else feed[table]
-            if not keep_absent:
-                removed[table] = pruned(old.select("shape_id").distinct(), ids, ["shape_id"])
-        else:
-            new = upsert(old, feed[table], KEYS[table], KEYS[table])
-            if not keep_absent:
-                new = prune(new, feed[table], KEYS[table])
-                removed[table] = pruned(old, feed[table], KEYS[table])
-        versions[table] = new
-    result = {"report": report(staged, logs, removed), "ledger": quality.ledger(*logs.values(), copies).orderBy(F.desc("n"), "table", "kind", "reason")}
-    # The report reads the old versions, so it is computed before they stop being current.
-    result = {name: df.checkpoint() for name, df in result.items()}
-    positions = read_version(spark, root, "shape_stop_positions")
-    for table in reversed(PRUNE_ORDER):
-        write_version(versions[table], root, table)
-    if positions is not None and not keep_absent:
-        left = prune_orphans(positions, feed["shapes"].select("shape_id").distinct(), feed["stops"])
-        write_version(left, root, "shape_stop_positions")
+    with scratch():
+        base, current = read_versions(spark, root)
+        staged, logs = clean(raw, order, stage=materialise)
+        removed, versions, loaded = {}, {}, {}
+        for table, df in collapse(staged, order).items():
+            old, merged = current.get(table), keep_absent and not (mode == "replace" and table == "stop_times")
+            if old is not None and merged:
+                # Written before it is merged, so that the feed is worked out once.
+                loaded[table] = materialise(df, f"feed_{table}")
+                versions[table] = stage_version(_merged(table, old, loaded[table]), root, table)
+                continue
+            # Upserting and then dropping what the feed lacks leaves the feed.
+            versions[table] = stage_version(df, root, table)
+            loaded[table] = spark.read.schema(df.schema).parquet(f"{root}/{table}/version={versions[table]}")
+            if old is not None and not keep_absent:
+                key = ["shape_id"] if table == "shapes" else KEYS[table]
+                removed[table] = pruned(old.select(*key).distinct() if table == "shapes" else old, loaded[table], key)
+        positions = current.get("shape_stop_positions")
+        if positions is not None and not keep_absent:
+            shapes = loaded["shapes"].select("shape_id").distinct()
+            left = prune_orphans(positions, shapes, loaded["stops"])
+            versions["shape_stop_positions"] = stage_version(left, root, "shape_stop_positions")
+            left = spark.read.schema(left.schema).parquet(f"{root}/shape_stop_positions/version={versions['shape_stop_positions']}")
+            removed["shape_stop_positions"] = pruned(positions, left, KEYS["shape_stop_positions"])
+        result = {
+            "report": report(staged, logs, removed),
+            "ledger": ledger(staged, logs).orderBy(F.desc("n"), "table", "kind", "reason"),
+        }
+        # Worked out while the old versions are still the current ones.
+        result = {name: df.checkpoint() for name, df in result.items()}
+        commit_versions(spark, root, versions, base)
     return result
 
 
+def _merged(table: str, old: DataFrame, feed: DataFrame) -> DataFrame:
+    """``old`` with the feed's rows inserted or replacing; a line is replaced as a whole, since
+    its vertices have no life of their own."""
+    if table != "shapes":
+        return upsert(old, feed, KEYS[table], KEYS[table])
+    return old.join(feed.select("shape_id").distinct(), "shape_id", "left_anti").unionByName(feed)
+
+
 def build_derived(spark: SparkSession, root: str) -> None:
-    """Rebuild the computed tables from the current feed tables."""
-    tables = {table: read_version(spark, root, table) for table in TABLES}
-    segs = segments(tables["shapes"])
-    write_version(segs, root, "segments")
-    tables["segments"] = read_version(spark, root, "segments")
-    spots = shape_stop_positions(tables["stop_times"], tables["trips"], tables["stops"], tables["segments"])
-    write_version(spots, root, "shape_stop_positions")
-    write_version(scheduled(tables["stop_times"], tables["trips"]), root, "scheduled_headway")
+    """Rebuild the computed tables from the current feed tables and commit them together."""
+    with scratch():
+        base, tables = read_versions(spark, root)
+        versions = {"segments": stage_version(segments(tables["shapes"]), root, "segments")}
+        segs = spark.read.parquet(f"{root}/segments/version={versions['segments']}")
+        spots = shape_stop_positions(tables["stop_times"], tables["trips"], tables["stops"], segs)
+        versions["shape_stop_positions"] = stage_version(spots, root, "shape_stop_positions")
+        headway = scheduled(tables["stop_times"], tables["trips"])
+        versions["scheduled_headway"] = stage_version(headway, root, "scheduled_headway")
+        commit_versions(spark, root, versions, base)
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """All current tables under ``root``."""
-    names = [*TABLES, "segments", "shape_stop_positions", "scheduled_headway"]
-    found = {name: read_version(spark, root, name) for name in names}
-    return {name: df for name, df in found.items() if df is not None}
+    """All current tables under ``root``, as one commit left them."""
+    return read_versions(spark, root)[1]
