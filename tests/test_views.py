@@ -1,12 +1,14 @@
 """Live positions, table maintenance and GeoJSON output on hand-made tables."""
 
 import json
+import re
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tramline.operators import tables
+from tramline.operators import tracking
 from tramline.operators.lines import length_m, segments
 from tramline.plans import views
 from tramline.sources import geojson, store
@@ -69,6 +71,26 @@ def test_vehicle_positions(t):
     assert got["t2"]["observed_at"] == "2024-01-02T11:59:30Z" and got["t2"]["route_color"] == "#EE352E"
 
 
+def test_live_positions_without_history(spark, t, tmp_path):
+    """With the table of last halts, one lazy plan reads the day partitions of fresh rows only."""
+    path = str(tmp_path / "positions")
+    t["vehicle_positions"].withColumn("observed_date", F.to_date("observed_at")).write.partitionBy("observed_date").parquet(path)
+    log = spark.read.parquet(path)
+    halts = tracking.last_halts(t["vehicle_positions"]).checkpoint()
+    found = views.vehicle_positions({**t, "vehicle_positions": log, "halts": halts}, NOW)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    reads = [line for line in plan.splitlines() if "FileScan" in line and "observed_date" in line]
+    assert len(reads) == 1 and "PartitionFilters: [isnotnull(observed_date" in reads[0]
+    text = lambda df: sorted(map(str, df.collect()))
+    assert text(found) == text(views.vehicle_positions(t, NOW))
+    # A replay looks through the days since the runs asked for began.
+    earlier = datetime(2024, 1, 2, 11, 58, 30)
+    old = views.located({**t, "vehicle_positions": log}, earlier, replay=True)
+    plan = old._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*\(observed_date#\d+ >= 2024-01-01\)", plan)
+    assert text(views.vehicle_positions({**t, "vehicle_positions": log}, earlier, replay=True)) == text(views.vehicle_positions(t, earlier, replay=True))
+
+
 def test_replay_ignores_later_rows(t):
     earlier = datetime(2024, 1, 2, 11, 58, 30)
     assert {r["trip_id"] for r in views.vehicle_positions(t, earlier, replay=True).collect()} == {"t2", "t3"}

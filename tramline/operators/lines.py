@@ -138,43 +138,63 @@ def measures(segs: DataFrame) -> DataFrame:
     return segs.groupBy("shape_id").agg(F.max("total").alias("total"), F.max("n").alias("n"))
 
 
-def interpolate(targets: DataFrame, segs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, lon, lat``: the point at ``fraction`` of the line ``shape_id``.
+def extents(segs: DataFrame) -> DataFrame:
+    """``shape_id, meters, total, n`` per line: geodesic and planar length, segment count."""
+    return segs.groupBy("shape_id").agg(
+        (F.sum("nm") / 1e9).alias("meters"), F.max("total").alias("total"), F.max("n").alias("n")
+    )
 
-    ``targets`` holds ``keys, shape_id, fraction``. A line of n segments is cut into n
-    equal bins; the join is on (line, bin), and a line's segments cover at most twice as
-    many bins.
-    """
-    total, n = F.col("total"), F.col("n")
-    bin_of = lambda at: F.greatest(F.lit(0).cast("long"), F.least(F.floor(at * n), n - 1))
+
+def _bin_of(at: Column) -> Column:
+    n = F.col("n")
+    return F.greatest(F.lit(0).cast("long"), F.least(F.floor(at * n), n - 1))
+
+
+def _binned(segs: DataFrame) -> DataFrame:
+    """Segments by ``_bin``: a line of n segments is cut into n equal bins, of which its segments
+    cover at most twice as many. A long segment covers many bins: chunks first, so that no row
+    lists them all."""
+    total = F.col("total")
     slack = total * 1e-12
-    start, end = F.col("run") - slack, F.col("run") + F.col("len") + slack
-    share_of = lambda at: bin_of(at / F.nullif(total, F.lit(0.0)))
-    # A long segment covers many bins: chunks first, so that no row lists them all.
-    binned = (
-        segs.withColumn("_last", share_of(end))
-        .withColumn("_from", F.explode(F.sequence(share_of(start), F.col("_last"), F.lit(BIN_CHUNK).cast("long"))))
+    share_of = lambda at: _bin_of(at / F.nullif(total, F.lit(0.0)))
+    start, end = share_of(F.col("run") - slack), share_of(F.col("run") + F.col("len") + slack)
+    return (
+        segs.withColumn("_last", end)
+        .withColumn("_from", F.explode(F.sequence(start, F.col("_last"), F.lit(BIN_CHUNK).cast("long"))))
         .withColumn("_bin", F.explode(F.sequence("_from", F.least(F.col("_from") + (BIN_CHUNK - 1), F.col("_last")))))
-        .drop("_from", "_last")
+        .select("shape_id", "_bin", *ORDER, "x1", "y1", "x2", "y2", "run", "len", slack.alias("_slack"))
     )
+
+
+def place_on_line(rows: DataFrame, segs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, line_lon, line_lat``: every row with its point at ``fraction`` of the line
+    ``shape_id``, NULL where either is NULL. ``rows`` hold ``keys, shape_id, fraction`` and the
+    line's ``total`` and ``n``; no two may be equal in ``keys``. The join is on (line, bin)."""
     at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction")))
-    wanted = targets.join(measures(segs), "shape_id").select(
-        *keys, "shape_id", (at * total).alias("_at"), bin_of(at).alias("_bin")
-    )
+    wanted = rows.select(*keys, "shape_id", (at * F.col("total")).alias("_at"), F.when(F.col("fraction").isNotNull(), _bin_of(at)).alias("_bin"))
+    start, end = F.col("run") - F.col("_slack"), F.col("run") + F.col("len") + F.col("_slack")
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("_at") - F.col("run")) / F.nullif(F.col("len"), F.lit(0.0))))
     place = F.struct(
         (F.col("x1") + F.coalesce(share, F.lit(0.0)) * (F.col("x2") - F.col("x1"))).alias("lon"),
         (F.col("y1") + F.coalesce(share, F.lit(0.0)) * (F.col("y2") - F.col("y1"))).alias("lat"),
     )
+    here = (F.col("_at") >= start) & (F.col("_at") <= end)
+    best = F.min_by(F.when(here, place), F.when(here, F.struct("seq", "ord")))
     return (
-        wanted.join(binned, ["shape_id", "_bin"])
-        .where((F.col("_at") >= start) & (F.col("_at") <= end))
-        .groupBy(*keys)
-        .agg(F.min_by(place, F.struct("seq", "ord")).alias("_place"))
-        .select(*keys, "_place.lon", "_place.lat")
+        wanted.join(_binned(segs), ["shape_id", "_bin"], "left")
+        .groupBy(*keys).agg(best.alias("_place"))
+        .select(*keys, F.col("_place.lon").alias("line_lon"), F.col("_place.lat").alias("line_lat"))
     )
 
 
+def interpolate(targets: DataFrame, segs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, lon, lat``: the point at ``fraction`` of the line ``shape_id``; targets without a
+    line or fraction drop out. ``targets`` holds ``keys, shape_id, fraction``."""
+    rows = targets.join(measures(segs), "shape_id")
+    found = place_on_line(rows, segs, keys)
+    return found.where("line_lon is not null").select(*keys, F.col("line_lon").alias("lon"), F.col("line_lat").alias("lat"))
+
+
 # --- simplification (Douglas and Peucker, 1973) -----------------------------------------
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tramline.functions import geo
 from tramline.functions.scalars import clamped_progress, epoch_seconds, hex_color, iso_utc
-from tramline.operators.lines import interpolate, length_m, points_array, simplify
-from tramline.operators.tracking import RUN, as_of_log, latest_positions, match_shapes, previous_stop
+from tramline.operators.lines import extents, length_m, place_on_line, points_array, simplify
+from tramline.operators.tracking import RUN, as_of_log, latest_positions, match_shapes, previous_of, previous_stop
 from tramline.schemas import DEFAULT_ROUTE_COLOR, DEFAULT_TEXT_COLOR, STOPPED_AT
 from tramline.sources.store import materialise
 
@@ -121,21 +121,28 @@ def located(
     t: dict, as_of: datetime, speed_mps: float = RUNNING_SPEED_MPS, freshness_min: float = FRESHNESS_MIN,
     replay: bool = False,
 ) -> DataFrame:
-    """Fresh runs with ``fraction`` along their line where known, and ``position_source``.
+    """Fresh runs with ``fraction`` along their line where known, the line's ``total`` and ``n``,
+    and ``position_source``.
 
-    The fresh rows, one per run, are written out: they cut the log to the runs asked for
-    and are joined several times.
+    The stop before comes from ``t["halts"]``, a row per live run that the stream keeps up, so
+    that only the day partitions of fresh rows are read. A replay, or tables without halts,
+    look through the history, cut to the runs asked for.
     """
+    known = "halts" in t and not replay
     log = as_of_log(t["vehicle_positions"], as_of) if replay else t["vehicle_positions"]
-    latest = materialise(match_shapes(latest_positions(log, as_of, freshness_min), t["trips"]), "latest")
+    latest = match_shapes(latest_positions(log, as_of, freshness_min), t["trips"])
+    if known:
+        runs = previous_of(latest, t["halts"])
+    else:
+        latest = materialise(latest, "latest")
+        runs = previous_stop(latest, _of_live_runs(log, latest, replay))
     spots = t["shape_stop_positions"]
     following = spots.select("shape_id", "stop_id", F.col("fraction").alias("next_fraction"))
     passed = spots.select("shape_id", F.col("stop_id").alias("prev_stop_id"), F.col("fraction").alias("prev_fraction"))
     rows = (
-        previous_stop(latest, log)
-        .join(following, ["shape_id", "stop_id"], "left")
+        runs.join(following, ["shape_id", "stop_id"], "left")
         .join(passed, ["shape_id", "prev_stop_id"], "left")
-        .join(length_m(t["segments"]).drop("n"), "shape_id", "left")
+        .join(extents(t["segments"]), "shape_id", "left")
     )
     ahead, behind = F.col("next_fraction"), F.col("prev_fraction")
     needed = F.abs(ahead - behind) * F.col("meters") / speed_mps
@@ -148,24 +155,29 @@ def located(
     ).withColumn("fraction", F.when(standing, ahead).when(between, behind + (ahead - behind) * progress))
 
 
+def _of_live_runs(log: DataFrame, latest: DataFrame, replay: bool) -> DataFrame:
+    """In a replay, the days from the eve of the first service day asked for: a run has no rows before."""
+    if not replay or "observed_date" not in log.columns:
+        return log
+    first = latest.agg(F.date_sub(F.min("trip_start_date"), 1)).first()[0]
+    return log if first is None else log.where(F.col("observed_date") >= F.lit(first))
+
+
 def vehicle_positions(
     t: dict, as_of: datetime, speed_mps: float = RUNNING_SPEED_MPS, freshness_min: float = FRESHNESS_MIN,
     replay: bool = False,
 ) -> DataFrame:
     """One feature per fresh train: ``lon, lat`` and properties; trains without a place drop out.
 
-    ``replay`` ignores rows observed after ``as_of``.
+    ``replay`` ignores rows observed after ``as_of``. With ``t["halts"]`` this is one lazy plan.
     """
-    runs = materialise(located(t, as_of, speed_mps, freshness_min, replay), "located")
-    targets = runs.where("fraction is not null").select(*RUN, "shape_id", "fraction")
-    on_line = interpolate(targets, t["segments"], RUN).select(
-        *RUN, F.col("lon").alias("line_lon"), F.col("lat").alias("line_lat")
-    )
+    columns = [*RUN, "route_id", "stop_id", "current_status", "observed_at", "position_source", "shape_id", "fraction", "total", "n"]
+    runs = located(t, as_of, speed_mps, freshness_min, replay).select(*columns)
+    placed = place_on_line(runs, t["segments"], [*RUN, "route_id", "stop_id", "current_status", "observed_at", "position_source"])
     stops = t["stops"].select("stop_id", "stop_name", F.col("lon").alias("stop_lon"), F.col("lat").alias("stop_lat"))
     at_stop = F.col("position_source") == "station_fallback"
     return (
-        runs.join(on_line, RUN, "left")
-        .join(stops, "stop_id", "left")
+        placed.join(stops, "stop_id", "left")
         .join(t["routes"].select("route_id", "route_color"), "route_id", "left")
         .withColumn("lon", F.when(at_stop, F.col("stop_lon")).otherwise(F.col("line_lon")))
         .withColumn("lat", F.when(at_stop, F.col("stop_lat")).otherwise(F.col("line_lat")))
