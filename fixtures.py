@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators.lines import segments
+from tramline.operators.lines import extents, segments
 from tramline.operators.tables import insert_if_absent
 from tramline.operators.tracking import last_halts
 from tramline.plans import load
 from tramline.plans.headway import scheduled
 from tramline.plans.positions import shape_stop_positions
+from tramline.plans.views import route_shapes, stop_routes
 from tramline.schemas import KEYS
 from tramline.sources.store import materialise, shared_folder
 from tramline.streaming import changes
@@ -163,6 +164,12 @@ class Tables(dict):
             return changes.changes(changes.normalize(snapshots(self.spark, self.sf_dir)))
         if name == "vehicle_positions":
             return changes.positions(self["changes"])
+        if name == "extents":
+            return extents(self["segments"])
+        if name == "stop_routes":
+            return stop_routes(self["stop_times"], self["trips"])
+        if name == "route_shapes":
+            return route_shapes(self["trips"])
         if name == "halts":
             return last_halts(self["vehicle_positions"])
         if name == "stop_events":
@@ -176,6 +183,7 @@ class Tables(dict):
     def __contains__(self, name) -> bool:
         return name in [
             *load.TABLES, "segments", "shape_stop_positions", "scheduled_headway", "vehicle_positions", "stop_events", "halts",
+            "extents", "stop_routes", "route_shapes",
         ]
 
 

@@ -221,7 +221,7 @@ def _(spark, d):
 @query("top1_per_group", sql("SELECT * FROM o_representative"))
 def _(spark, d):
     t = tables(spark, d)
-    return views.representative_shapes(t["trips"], t["segments"]).select("route_id", "direction_id", "shape_id")
+    return views.representative_shapes(t["route_shapes"], t["extents"]).select("route_id", "direction_id", "shape_id")
 
 
 @query("departure_gaps", sql("SELECT service_id, stop_id, route_id, departure_sec, gap AS gap_seconds, count(*) AS n FROM o_gaps GROUP BY ALL"))

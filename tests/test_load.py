@@ -1,13 +1,14 @@
 """Feed files to tables: rules, repairs, refreshes, reports."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions import scalars
 from tramline.operators import quality
-from tramline.plans import audit, headway, load
+from tramline.plans import audit, headway, load, views
 from tramline.sources import feed, manifest, store
 
 ROUTES = """﻿route_id,route_type,route_short_name,route_color
@@ -188,10 +189,29 @@ def test_a_failed_refresh_leaves_the_old_tables(spark, folder, tmp_path, monkeyp
     assert {name: rows(df) for name, df in load.read_tables(spark, root).items()} == before
 
 
+def test_served_pairs_follow_every_refresh(spark, folder, tmp_path):
+    """Stations and route lines read pairs kept by the load; they equal the full computation."""
+    raw, root, rng = feed.read_feed(spark, folder), str(tmp_path / "tables"), random.Random(4)
+    for turn in range(3):
+        some = lambda key: F.xxhash64(F.lit(rng.random()), key) % 4 != 0
+        part = raw if turn == 0 else {**raw, "trips": raw["trips"].where(some("trip_id")), "stop_times": raw["stop_times"].where(some("stop_id"))}
+        load.refresh(spark, part, root, keep_absent=turn == 2)
+        if turn == 0:
+            load.build_derived(spark, root)
+        t = load.read_tables(spark, root)
+        bare = {name: df for name, df in t.items() if name not in ("stop_routes", "route_shapes", "extents")}
+        assert {"stop_routes", "route_shapes", "extents"} <= set(t)
+        assert rows(views.stations(t)) == rows(views.stations(bare)) and rows(views.route_lines(t)) == rows(views.route_lines(bare))
+        plan = views.stations(t)._jdf.queryExecution().executedPlan().toString()
+        assert "stop_times" not in plan and "trips/" not in plan
+
+
 def test_scratch_folders_go(spark, folder, tmp_path):
-    store.discard(spark)
+    there = lambda: manifest.listed(spark, store._scratch(spark))
+    before = there()
     load.refresh(spark, feed.read_feed(spark, folder), str(tmp_path / "tables"))
-    assert store.discard(spark) == 0
+    load.build_derived(spark, str(tmp_path / "tables"))
+    assert there() == before
 
 
 def test_scattered_trips_are_in_the_ledger(spark):

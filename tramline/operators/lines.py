@@ -6,10 +6,12 @@ row or one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,17 +226,44 @@ _VERTEX = "shape_id string, seq int, ord long, lon double, lat double"
 
 
 def _simplify_whole(vertices: DataFrame, tolerance: float) -> DataFrame:
-    """Lines of at most LOCAL_ROWS vertices, one line per call."""
+    """Lines of at most LOCAL_ROWS vertices: many to an Arrow batch, in order, one at a time."""
 
-    def thin(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("seq", "ascending"), ("ord", "ascending")])
-        x, y = table["lon"].to_numpy(), table["lat"].to_numpy()
+    def kept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         keep = _kept(x, y, tolerance)
         if keep.sum() == 2 and x[0] == x[-1] and y[0] == y[-1]:
             keep[:] = False  # collapsed
-        return table.filter(pa.array(keep))
+        return keep
 
-    return vertices.select("shape_id", *ORDER, "lon", "lat").groupBy("shape_id").applyInArrow(thin, _VERTEX)
+    def thin(table: pa.Table) -> list[pa.RecordBatch]:
+        """Whole lines, one after the other."""
+        x, y = table["lon"].to_numpy(), table["lat"].to_numpy()
+        edges = _starts(table)
+        keep = np.concatenate([kept(x[a:b], y[a:b]) for a, b in zip(edges, [*edges[1:], len(x)])])
+        return table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_line: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*open_line, batch])
+            last = _starts(table)[-1]
+            # The last line may go on in the next batch.
+            open_line = table.slice(last).to_batches()
+            if last:
+                yield from thin(table.slice(0, last))
+        if open_line:
+            yield from thin(pa.Table.from_batches(open_line))
+
+    rows = vertices.select("shape_id", *ORDER, "lon", "lat")
+    return rows.repartition("shape_id").sortWithinPartitions("shape_id", *ORDER).mapInArrow(run, _VERTEX)
+
+
+def _starts(table: pa.Table) -> list[int]:
+    """Row numbers at which another line begins; the first is 0."""
+    ids = table["shape_id"].combine_chunks()
+    other = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(other) + 1).tolist()]
 
 
 def _gap2(x: Column, y: Column, a: str, b: str) -> Column:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tramline.functions.scalars import rt_trip_id
 from tramline.operators import quality
-from tramline.operators.lines import segments
+from tramline.operators.lines import extents, segments
 from tramline.operators.tables import pruned, prune_orphans, upsert
 from tramline.plans.headway import scheduled
 from tramline.plans.positions import shape_stop_positions
+from tramline.plans.views import route_shapes, stop_routes
 from tramline.schemas import BBOX, KEYS, ROUTE_TYPES
 from tramline.sources.store import commit_versions, materialise, read_versions, scratch, stage_version
 
@@ -146,7 +147,8 @@ def refresh(
         base, current = read_versions(spark, root)
         staged, logs = clean(raw, order, stage=materialise)
         removed, versions, loaded = {}, {}, {}
-        for table, df in collapse(staged, order).items():
+        collapsed = collapse(staged, order)
+        for table, df in collapsed.items():
             old, merged = current.get(table), keep_absent and not (mode == "replace" and table == "stop_times")
             if old is not None and merged:
                 # Written before it is merged, so that the feed is worked out once.
@@ -159,6 +161,10 @@ def refresh(
             if old is not None and not keep_absent:
                 key = ["shape_id"] if table == "shapes" else KEYS[table]
                 removed[table] = pruned(old.select(*key).distinct() if table == "shapes" else old, loaded[table], key)
+        # The pairs that the served queries read: of the tables as they will be.
+        after = {t: spark.read.schema(collapsed[t].schema).parquet(f"{root}/{t}/version={versions[t]}") for t in ("trips", "stop_times")}
+        versions["stop_routes"] = stage_version(stop_routes(after["stop_times"], after["trips"]), root, "stop_routes")
+        versions["route_shapes"] = stage_version(route_shapes(after["trips"]), root, "route_shapes")
         positions = current.get("shape_stop_positions")
         if positions is not None and not keep_absent:
             shapes = loaded["shapes"].select("shape_id").distinct()
@@ -190,6 +196,7 @@ def build_derived(spark: SparkSession, root: str) -> None:
         base, tables = read_versions(spark, root)
         versions = {"segments": stage_version(segments(tables["shapes"]), root, "segments")}
         segs = spark.read.parquet(f"{root}/segments/version={versions['segments']}")
+        versions["extents"] = stage_version(extents(segs), root, "extents")
         spots = shape_stop_positions(tables["stop_times"], tables["trips"], tables["stops"], segs)
         versions["shape_stop_positions"] = stage_version(spots, root, "shape_stop_positions")
         headway = scheduled(tables["stop_times"], tables["trips"])

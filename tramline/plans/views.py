@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import geo
 from tramline.functions.scalars import clamped_progress, epoch_seconds, hex_color, iso_utc
-from tramline.operators.lines import extents, length_m, place_on_line, points_array, simplify
+from tramline.operators.lines import extents, place_on_line, points_array, simplify
 from tramline.operators.tracking import RUN, as_of_log, latest_positions, match_shapes, previous_of, previous_stop
 from tramline.schemas import DEFAULT_ROUTE_COLOR, DEFAULT_TEXT_COLOR, STOPPED_AT
 from tramline.sources.store import materialise
@@ -25,23 +25,43 @@ RUNNING_SPEED_MPS = 11
 FRESHNESS_MIN = 10
 
 
-def representative_shapes(trips: DataFrame, segs: DataFrame) -> DataFrame:
-    """``route_id, direction_id, shape_id, n``: the longest line per route and direction,
-    with its segment count.
+def stop_routes(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
+    """``stop_id, route_id, n``: which routes serve a stop, with the number of stop times."""
+    return (
+        stop_times.select("trip_id", "stop_id").join(trips.select("trip_id", "route_id"), "trip_id")
+        .groupBy("stop_id", "route_id").agg(F.count("*").alias("n"))
+    )
+
+
+def route_shapes(trips: DataFrame) -> DataFrame:
+    """``route_id, direction_id, shape_id, n``: the lines of a route and direction, with the number of trips."""
+    return trips.where("shape_id is not null").groupBy("route_id", "direction_id", "shape_id").agg(F.count("*").alias("n"))
+
 
-    Trips collapse to distinct triples first and lengths are computed once per line. No
-    direction is a direction of its own; ties go to the smallest shape id.
+def representative_shapes(drawn: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``route_id, direction_id, shape_id``: the longest line per route and direction.
+
+    ``drawn`` holds distinct triples (``route_shapes``), ``lengths`` a row per line
+    (``extents``). No direction is a direction of its own; ties go to the smallest shape id.
     """
-    triples = trips.where("shape_id is not null").select("route_id", "direction_id", "shape_id").distinct()
-    longest = F.min(F.struct((-F.col("meters")).alias("m"), "shape_id", "n"))
+    longest = F.min(F.struct((-F.col("meters")).alias("m"), "shape_id"))
     return (
-        triples.join(length_m(segs), "shape_id")
+        drawn.select("route_id", "direction_id", "shape_id").join(lengths.select("shape_id", "meters"), "shape_id")
         .groupBy("route_id", "direction_id")
         .agg(longest.alias("best"))
-        .select("route_id", "direction_id", "best.shape_id", "best.n")
+        .select("route_id", "direction_id", "best.shape_id")
     )
 
 
+def _pairs(t: dict, name: str) -> DataFrame:
+    """A small table that the load keeps; worked out here where the tables come without it."""
+    if name in t:
+        return t[name]
+    if name == "stop_routes":
+        return stop_routes(t["stop_times"], t["trips"])
+    return route_shapes(t["trips"]) if name == "route_shapes" else extents(t["segments"])
+
+
 def _check_tolerance(tolerance: float) -> float:
     tolerance = float(tolerance)
     if not math.isfinite(tolerance) or not 0 <= tolerance <= MAX_TOLERANCE_DEG:
@@ -50,12 +70,13 @@ def _check_tolerance(tolerance: float) -> float:
 
 
 def _drawn(t: dict, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """The representative shapes and their simplified vertices."""
-    # One row per route and direction, used in several places below: worked out once.
-    chosen = representative_shapes(t["trips"], t["segments"]).checkpoint()
-    longest = chosen.agg(F.max("n")).first()[0] or 0
+    """The representative shapes and their simplified vertices. Whether some line is too long for
+    one task is looked up in the lengths, a row per line."""
+    lengths = _pairs(t, "extents")
+    chosen = representative_shapes(_pairs(t, "route_shapes"), lengths)
+    longest = lengths.agg(F.max("n")).first()[0] or 0
     vertices = t["shapes"].join(chosen.select("shape_id").distinct(), "shape_id", "left_semi")
-    return chosen.drop("n"), simplify(vertices, tolerance, longest=longest + 1)
+    return chosen, simplify(vertices, tolerance, longest=longest + 1)
 
 
 def route_line_vertices(t: dict, tolerance: float = TOLERANCE_DEG) -> DataFrame:
@@ -83,17 +104,10 @@ def route_lines(t: dict, tolerance: float = TOLERANCE_DEG) -> DataFrame:
 def station_routes(t: dict) -> DataFrame:
     """``station_id, routes``: sorted distinct short names, platforms rolled up to stations.
 
-    The large join is reduced to distinct (stop, route) at once; what is collected per
-    station are distinct route names.
+    What is collected per station are distinct route names of the (stop, route) pairs.
     """
-    served = (
-        t["stop_times"].select("trip_id", "stop_id")
-        .join(t["trips"].select("trip_id", "route_id"), "trip_id")
-        .select("stop_id", "route_id")
-        .distinct()
-    )
     return (
-        served.join(t["stops"].select("stop_id", "parent_station"), "stop_id")
+        _pairs(t, "stop_routes").join(t["stops"].select("stop_id", "parent_station"), "stop_id")
         .join(t["routes"].select("route_id", "route_short_name"), "route_id")
         .groupBy(F.coalesce("parent_station", "stop_id").alias("station_id"))
         .agg(F.array_sort(F.collect_set("route_short_name")).alias("routes"))
@@ -142,7 +156,7 @@ def located(
     rows = (
         runs.join(following, ["shape_id", "stop_id"], "left")
         .join(passed, ["shape_id", "prev_stop_id"], "left")
-        .join(extents(t["segments"]), "shape_id", "left")
+        .join(_pairs(t, "extents"), "shape_id", "left")
     )
     ahead, behind = F.col("next_fraction"), F.col("prev_fraction")
     needed = F.abs(ahead - behind) * F.col("meters") / speed_mps
