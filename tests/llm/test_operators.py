@@ -322,6 +322,80 @@ def test_rare_source_of_short_texts_meets_its_target(spark, monkeypatch):
     assert sum(r.taken for r in rare) == pytest.approx(12_000, abs=3 * mixing.BLOCK)
 
 
+def _levelled(sizes, weights=(5, 2, 1), most=3):
+    """Targets by resharing in a plain loop."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, left, free = {}, float(sum(sizes.values())), set(order)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if weight[s] * level > most * sizes[s]]
+        if not over:
+            target |= {s: weight[s] * level for s in free}
+            break
+        for s in over:
+            target[s] = float(most * sizes[s])
+            left -= target[s]
+            free.remove(s)
+    return target
+
+
+def test_small_sources_meet_their_targets(spark):
+    """Sources of 1 to 40 words beside large ones: each takes its target to within a block of its own."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i)), f"s{i:02d}") for i in range(1, 41)]
+    rows += [(100 + i, " ".join(f"v{j}" for j in range(300)), None if i % 2 else "zz") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    sizes, taken = {}, {}
+    for (doc_id, _, source), r in zip(rows, sorted(got, key=lambda r: r.doc_id)):
+        assert r.doc_id == doc_id and r.taken <= 3 * r.size
+        sizes[source] = sizes.get(source, 0) + r.size
+        taken[source] = taken.get(source, 0) + r.taken
+    want = _levelled(sizes)
+    for (_, _, source), r in zip(rows, sorted(got, key=lambda r: r.doc_id)):
+        assert r.target == pytest.approx(want[source])
+    for source, words in taken.items():
+        assert abs(words - want[source]) <= (1 if sizes[source] < 2048 else 33), source
+    texts = mixing.mixed_documents(docs).collect()
+    for source in sizes:
+        assert sum(len(r.text.split()) for r in texts if r.source == source) == taken[source]
+
+
+CLASHING = (
+    "doc_id long, text string, lang string, source string, n_chars int, _doc_id int, _lang string, _row string, _words int, _passes int, "
+    "_number int, _turn int, _id long, _text string, _text_hash long, digest string, component long, facts map<string,int>"
+)
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Columns named like helpers, a map, repeated rows."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        text = _prose(rng, 40) if i % 3 else f"call me at +1 (499) 555-650{i % 10} or write to a{i}@b.org today"
+        rows.append((i, text, "en", "ab"[i % 2], len(text), 1, "x", "r", 2, 3, 4, 5, 6, "t", 7, "d", 8, {"a": 1, "b": 2}))
+    return spark.createDataFrame([*rows, rows[3], rows[3], rows[4]], CLASHING).repartition(3)
+
+
+def test_columns_named_like_helpers(spark, clashing):
+    none = clashing.limit(0)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    stages = {
+        "toxicity": lambda d: toxicity.drop_toxic(d, labels), "near": minmax.drop_near_duplicates,
+        "pii": privacy.mask_personal_data, "mixing": mixing.mixed_documents,
+    }
+    for name, stage in stages.items():
+        out = stage(clashing)
+        assert out.columns == clashing.columns, name
+        assert all(r.facts == {"a": 1, "b": 2} and r._lang == "x" for r in out.collect()), name
+        assert stage(none).collect() == [], name
+    assert minmax.drop_near_duplicates(clashing).count() == 60
+    for query in (privacy.personal_data, languages.languages, packing.packed, mixing.mix, syncmers.edited_fingerprints):
+        assert query(clashing).count() >= 60
+        assert query(none).collect() == []
+
+
 def test_apportion_is_sainte_lague(spark):
     votes = [53, 24, 23, 7, 0]
     frame = spark.createDataFrame([(0, i, float(v), 37) for i, v in enumerate(votes)], "g int, k int, share double, seats long")
@@ -459,6 +533,31 @@ def test_archives_round_trip(spark):
 # --- op9 -------------------------------------------------------------------------------------
 
 
+def test_encoder_forgets_rare_parts_only():
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY), remembered=40)
+    rng, often = random.Random(2), "the same words again and"
+    for _ in range(30):
+        text = f"{often} {_prose(rng, 15)}\n  x\t y"
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode([text]) == [np.array(want, "<u4").tobytes()]
+        assert len(encoder.young) + len(encoder.old) < 40 + 2 * 25
+    assert all(f" {word}" in encoder.young or f" {word}" in encoder.old for word in often.split()[1:])
+
+
+def test_pieces_hash_the_tokenizer_ids_of_whole_texts(docs):
+    import public_tokenizers
+
+    plain = packing.Encoder(public_tokenizers.path(packing.VOCABULARY)).tokenizer
+    want = set()
+    for r in docs.collect():
+        ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 0]
+        for piece, (start, n) in enumerate(packing.cuts(len(ids))):
+            want.add((r.doc_id, piece, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes())))
+    assert {(r.doc_id, r.piece, r.ids_crc32) for r in packing.pieces(docs).collect()} == want
+
+
 def test_encoder_gives_the_tokenizer_its_ids():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -85,7 +85,7 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, ranks: int = RANKS, training
     their ids (and from rows where ``training`` holds). The result has ``ranks`` numbers a
     language.
     """
-    rows = docs.where("lang IS NOT NULL").where(F.lit(True) if training is None else training)
+    rows = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL").where(F.lit(True) if training is None else training)
     chosen = _chosen(rows, sample)
     texts = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_doc_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
 

@@ -349,7 +349,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one text of each group of near copies, that with the smallest doc_id.
 
     Different texts under one doc_id are not copies of each other. Of rows with one doc_id and
-    one text, the smallest in the order of the columns stays. Rows with a NULL doc_id or an
+    one text, the one that comes first as JSON stays. Rows with a NULL doc_id or an
     empty set stay.
     """
     found = keep(signatures(docs), "signatures")
@@ -375,4 +375,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     if not repeated.limit(1).count():
         return single
     least = of(docs, repeated, "left_semi").groupBy(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    return single.unionByName(least.agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    # By the row as JSON: a map among the columns has no order of its own.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return single.unionByName(least.agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*"))

@@ -1,9 +1,11 @@
 """Mixing sources to target weights: Sainte-Laguë apportionment of equal-token blocks.
 
 The words of each source are laid out shard by shard in a seeded order and cut into blocks
-of ``BLOCK`` words. The mix takes as many blocks as the corpus holds; sources get whole
+of ``BLOCK`` words, those of sources below ``SMALL`` blocks into blocks of one word. The mix
+takes as many blocks of either kind as the targets of its sources hold; sources get whole
 numbers of them by the highest quotients target / (2q + 1), and the shards of a source share
-its quota by the same rule over their sizes. A shard's quota is met by whole passes over its
+its quota by the same rule over their sizes. So a source takes its target to within a block,
+which is one word for a small one. A shard's quota is met by whole passes over its
 blocks and one seeded choice among them for the rest.
 """
 
@@ -19,7 +21,7 @@ from tramline.llm.common import keep, ship, words_in
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BLOCK = 32
+BLOCK, SMALL = 32, 64
 SHARD_DOCS, SHARD_BLOCKS = 10_000, 1_000
 SEED = 11
 # Primes above any number of blocks in a shard; a step by one visits each block once.
@@ -91,7 +93,7 @@ def plan(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: int = SE
 
     Columns: doc_id, source, size, source_size, target, passes (whole repeats), start (its
     first word's place in the shard's layout), blocks, rest (blocks of the last, partial
-    pass), step and shift (which blocks those are), taken.
+    pass), step and shift (which blocks those are), unit (words of a block), taken.
 
     NULL text or source: size 0, a source of its own. Rows of size 0 take 0. Repeated rows
     count each. An empty table gives an empty one.
@@ -117,15 +119,16 @@ def plan(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: int = SE
     sized = sized.withColumn("shard", shard.cast("int")).drop("_source", "_docs", "_shards")
     parts = sized.groupBy("source", "shard").agg(F.sum("size").alias("part"))
     sources = targets(parts.groupBy("source").agg(F.sum("part").cast("long").alias("source_size")))
-    # Blocks in all: as many as the corpus holds words for. No source gets more than MOST passes.
-    seats = F.round(F.sum("source_size").over(Window.partitionBy()) / block).cast("long")
-    quotas = apportion(sources.withColumn("_seats", seats).withColumn("_all", F.lit(0)), ["_all"], ["source"], "target", "_seats", "quota")
-    quotas = keep(quotas.select("source", "source_size", "target", "quota"), "quotas")
+    # Blocks in all, of either size: as many as the targets hold words for. No source gets more than MOST passes.
+    sources = sources.withColumn("unit", F.when(F.col("source_size") < SMALL * block, 1).otherwise(block))
+    seats = F.round(F.sum("target").over(Window.partitionBy("unit")) / F.col("unit")).cast("long")
+    quotas = apportion(sources.withColumn("_seats", seats), ["unit"], ["source"], "target", "_seats", "quota")
+    quotas = keep(quotas.select("source", "source_size", "target", "quota", "unit"), "quotas")
     parts = parts.withColumnRenamed("source", "_source")
     parts = (
         parts.join(quotas, F.col("_source").eqNullSafe(F.col("source")))
-        .select("source", "shard", "source_size", "target", "quota", "part")
-        .withColumn("blocks", F.ceil(F.col("part") / block).cast("long"))
+        .select("source", "shard", "source_size", "target", "quota", "part", "unit")
+        .withColumn("blocks", F.ceil(F.col("part") / F.col("unit")).cast("long"))
     )
     most = F.sum("blocks").over(Window.partitionBy("source")) * MOST
     parts = apportion(
@@ -134,7 +137,7 @@ def plan(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: int = SE
     pick = F.xxhash64(F.lit(seed + 2), "source", "shard")
     parts = keep(
         parts.select(
-            F.col("source").alias("_source"), F.col("shard").alias("_shard"), "source_size", "target", "blocks",
+            F.col("source").alias("_source"), F.col("shard").alias("_shard"), "source_size", "target", "blocks", "unit",
             F.when(F.col("blocks") > 0, F.floor(F.col("own") / F.col("blocks"))).otherwise(0).cast("long").alias("passes"),
             F.when(F.col("blocks") > 0, F.col("own") % F.col("blocks")).otherwise(0).cast("long").alias("rest"),
             F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), (F.pmod(pick, F.lit(len(PRIMES))) + 1).cast("int")).alias("step"),
@@ -148,13 +151,14 @@ def plan(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: int = SE
     )
     rows = placed.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", "passes", "start", "blocks", "rest", "step", "shift",
-        (F.col("passes") * F.col("size") + _partly(block)).cast("long").alias("taken"),
+        "doc_id", "source", "size", "source_size", "target", "passes", "start", "blocks", "rest", "step", "shift", "unit",
+        (F.col("passes") * F.col("size") + _partly()).cast("long").alias("taken"),
     )
 
 
-def _partly(block: int) -> Column:
+def _partly() -> Column:
     """Words of a row that lie in the blocks chosen for the last pass."""
+    block = F.col("unit")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
 
     def words(b: Column) -> Column:
@@ -186,42 +190,46 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     same = Window.partitionBy("doc_id", "source", "size").orderBy("start")
     takes = keep(
         takes.withColumn("_turn", F.row_number().over(same)).select(
-            F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_turn",
+            F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("size").alias("_size"), "_turn",
             F.col("passes").alias("_passes"), F.col("start").alias("_start"), F.col("blocks").alias("_blocks"),
-            F.col("rest").alias("_rest"), F.col("step").alias("_step"), F.col("shift").alias("_shift"),
+            F.col("rest").alias("_rest"), F.col("step").alias("_step"), F.col("shift").alias("_shift"), F.col("unit").alias("_unit"),
             (F.col("taken") - F.col("passes") * F.col("size")).alias("_part"),
         ),
         "takes",
     )
     repeated = takes.where("_turn > 1").limit(1).count() > 0
-    rows = docs.withColumn("_words", words_in())
+    # The columns of docs stay together in one, so that none can clash with a name used here.
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_doc"),
+        F.col("source").alias("_source"), F.col("text").alias("_body"), words_in().alias("_words"),
+    )
     if repeated:
-        order = Window.partitionBy(F.col("doc_id").cast("long"), "source", "_words").orderBy(F.xxhash64("text"))
+        order = Window.partitionBy("_doc", "_source", "_words").orderBy(F.xxhash64("_body"))
         rows = rows.withColumn("_number", F.row_number().over(order))
     else:
         rows = rows.withColumn("_number", F.lit(1))
     rows = rows.join(
         takes,
-        docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id"))
-        & docs["source"].eqNullSafe(F.col("_source"))
-        & (F.col("_words") == F.col("_size"))
-        & (F.col("_number") == F.col("_turn")),
-    )
+        F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_source").eqNullSafe(F.col("_from"))
+        & (F.col("_words") == F.col("_size")) & (F.col("_number") == F.col("_turn")),
+    )
     ship(docs.sparkSession)
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, start: pd.Series, blocks: pd.Series, rest: pd.Series, step: pd.Series, shift: pd.Series) -> pd.Series:
-        return pd.Series([_cut(*row, block) for row in zip(text, start, blocks, rest, step, shift)])
+    def cut(
+        text: pd.Series, start: pd.Series, blocks: pd.Series, rest: pd.Series, step: pd.Series, shift: pd.Series, unit: pd.Series
+    ) -> pd.Series:
+        return pd.Series([_cut(*row) for row in zip(text, start, blocks, rest, step, shift, unit)], dtype=object)
 
-    whole = F.array_repeat(F.col("text"), F.col("_passes").cast("int"))
-    part = F.when(F.col("_part") > 0, F.array(cut("text", "_start", "_blocks", "_rest", "_step", "_shift")))
+    whole = F.array_repeat(F.col("_body"), F.col("_passes").cast("int"))
+    part = F.when(F.col("_part") > 0, F.array(cut("_body", "_start", "_blocks", "_rest", "_step", "_shift", "_unit")))
     texts = F.concat(whole, F.coalesce(part, F.array().cast("array<string>")))
-    out = rows.withColumn("_texts", texts).withColumn("_text", F.explode("_texts"))
+    out = rows.withColumn("_text", F.explode(texts))
     return out.select(
         *(
             F.col("_text").alias(c) if c == "text"
             else F.char_length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-            else docs[c]
+            else F.col("_row").getField(c).alias(c)
             for c in docs.columns
         )
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,39 +23,72 @@ from tramline.llm.common import cache, keep, per_batch, ship
 LENGTH, END = 2048, 0
 BIN_PIECES = 100_000
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 # A cut before a blank that follows a visible character is always a cut between pre-tokens.
 _BLANK_AFTER_BLANK = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes; the parts between blanks are remembered.
+    """Token ids of texts as little-endian 32-bit bytes; parts between blanks are remembered.
 
     The pre-tokeniser starts a new token at a blank that follows a visible character, and each
-    pre-token is encoded on its own, so a text's ids are its parts' ids in a row. Encoding each
-    distinct part once saves most of the work on prose.
+    pre-token is encoded on its own, so a text's ids are its parts' ids in a row. Parts are kept
+    in two generations: when the young one is full it becomes the old one, and what the old one
+    held and nobody asked for since is forgotten. Frequent parts so stay, rare ones go.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.most = remembered // 2
+        # Bytes of each token: a character of its name stands for one.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for name, number in vocabulary.items():
+            self.sizes[number] = len(name)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._parts(text) for text in texts]
-        known = self.known
-        fresh = list({part for parts in cut for part in parts if part not in known})
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = list({part for parts in cut for part in parts})
+        young, old = self.young, self.old
+        fresh = []
+        for part in {part for parts in cut for part in parts}:
+            if part not in young:
+                known = old.get(part)
+                if known is None:
+                    fresh.append(part)
+                else:
+                    young[part] = known
         for start in range(0, len(fresh), 4096):
-            some = fresh[start : start + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[part] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+            self._learn(fresh[start : start + 4096])
+        out = [b"".join([young[part] for part in parts]) for parts in cut]
+        if len(young) > self.most:
+            self.old, self.young = young, {}
+        return out
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode new parts: those between a blank and a visible character in one text, whose ids
+        are told apart by the bytes they stand for; the others one by one."""
+        joined = [part for part in parts if part[0] == " " and not part[-1].isspace()]
+        ids = np.array(self._ids(["".join(joined)])[0], np.uint32)
+        ends = np.cumsum([len(part.encode("utf-8", "surrogatepass")) for part in joined])
+        at = np.cumsum(self.sizes[ids])
+        upto = np.searchsorted(at, ends)
+        if len(joined) and upto[-1] < len(at) and (at[upto] == ends).all():
+            body, low = ids.astype("<u4").tobytes(), 0
+            for part, high in zip(joined, (4 * (upto + 1)).tolist()):
+                self.young[part] = body[low:high]
+                low = high
+        rest = [part for part in parts if part not in self.young]
+        for part, found in zip(rest, self._ids(rest)):
+            self.young[part] = array("I", found).tobytes()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _parts(text: str) -> list[str]:

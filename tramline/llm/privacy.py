@@ -371,6 +371,7 @@ class Field:
 def learn(docs: DataFrame, docs_most: int = SAMPLE_DOCS, tokens_most: int = SAMPLE_TOKENS) -> Field:
     """A field learned from base labels of at most ``docs_most`` documents with digits or at signs
     (smallest hashes of the id) and at most ``tokens_most`` of their tokens."""
+    docs = docs.select("doc_id", "text")
     ids = (
         docs.where(F.col("text").rlike("[0-9@]")).select(F.col("doc_id").alias("_doc_id"))
         .orderBy(F.xxhash64(F.lit(SEED), "_doc_id"), "_doc_id").limit(docs_most).distinct()
