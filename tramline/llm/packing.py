@@ -12,6 +12,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,15 +28,18 @@ REMEMBERED = 400_000
 # A cut before a blank that follows a visible character is always a cut between pre-tokens.
 _BLANK_AFTER_BLANK = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+# Marks that are common behind words, and the character below which a letter is Latin.
+MARKS, LATIN = ",.;:!?", "\u0250"
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes; parts between blanks are remembered.
+    """Token ids of texts as little-endian 32-bit bytes; words behind blanks are remembered.
 
     The pre-tokeniser starts a new token at a blank that follows a visible character, and each
-    pre-token is encoded on its own, so a text's ids are its parts' ids in a row. Parts are kept
-    in two generations: when the young one is full it becomes the old one, and what the old one
-    held and nobody asked for since is forgotten. Frequent parts so stay, rare ones go.
+    pre-token is encoded on its own, so a text's ids are those of its first word and of every
+    blank with the word behind it, in a row. Words are kept in two generations: when the young
+    one is full it becomes the old one, and what the old one held and nobody asked for since is
+    forgotten. Frequent words so stay, rare ones go.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -51,53 +55,67 @@ class Encoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for name, number in vocabulary.items():
             self.sizes[number] = len(name)
+        self.marks = dict(zip(MARKS, self._each(list(MARKS))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._parts(text) for text in texts]
+        cut = [self._words(text) for text in texts]
         young, old = self.young, self.old
         fresh = []
-        for part in {part for parts in cut for part in parts}:
-            if part not in young:
-                known = old.get(part)
-                if known is None:
-                    fresh.append(part)
-                else:
-                    young[part] = known
+        for word in set(chain.from_iterable(cut)).difference(young):
+            known = old.get(word)
+            if known is None:
+                fresh.append(word)
+            else:
+                young[word] = known
         for start in range(0, len(fresh), 4096):
             self._learn(fresh[start : start + 4096])
-        out = [b"".join([young[part] for part in parts]) for parts in cut]
+        first = self._each([text[: len(text) - sum(map(len, words)) - len(words)] for text, words in zip(texts, cut)])
+        out = [b"".join([head, *map(young.__getitem__, words)]) for head, words in zip(first, cut)]
         if len(young) > self.most:
             self.old, self.young = young, {}
         return out
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode new parts: those between a blank and a visible character in one text, whose ids
-        are told apart by the bytes they stand for; the others one by one."""
-        joined = [part for part in parts if part[0] == " " and not part[-1].isspace()]
-        ids = np.array(self._ids(["".join(joined)])[0], np.uint32)
-        ends = np.cumsum([len(part.encode("utf-8", "surrogatepass")) for part in joined])
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """What stands behind the blanks at which ``text`` is cut."""
+        if _BLANK_AFTER_BLANK.search(text) or text[:1] == " ":
+            parts = _CUT.split(text)
+            return [part[1:] for part in parts[parts[0][:1] != " " :]]
+        words = text.split(" ")
+        del words[0]
+        return words
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words. A mark behind a letter is a pre-token of its own; words that end in
+        a visible character are encoded in one text, whose ids are told apart by the bytes they
+        stand for; others one by one."""
+        young = self.young
+        marked = [w for w in words if w[-1:] in self.marks and w[-2:-1].isalpha() and w[-2] < LATIN]
+        # One at a time: with several, Python walks the whole of the later ones.
+        bare = {w[:-1] for w in marked}.union(words).difference(marked).difference(young)
+        for word in [w for w in bare if w in self.old]:
+            young[word] = self.old[word]
+            bare.remove(word)
+        joined = [w for w in bare if w and not w[-1].isspace()]
+        ids = np.array(self._ids(["".join([" " + w for w in joined])])[0], np.uint32)
+        ends = np.cumsum([1 + len(w.encode("utf-8", "surrogatepass")) for w in joined], dtype=np.int64)
         at = np.cumsum(self.sizes[ids])
         upto = np.searchsorted(at, ends)
         if len(joined) and upto[-1] < len(at) and (at[upto] == ends).all():
             body, low = ids.astype("<u4").tobytes(), 0
-            for part, high in zip(joined, (4 * (upto + 1)).tolist()):
-                self.young[part] = body[low:high]
+            for word, high in zip(joined, (4 * (upto + 1)).tolist()):
+                young[word] = body[low:high]
                 low = high
-        rest = [part for part in parts if part not in self.young]
-        for part, found in zip(rest, self._ids(rest)):
-            self.young[part] = array("I", found).tobytes()
+        rest = [w for w in bare if w not in young]
+        young.update(zip(rest, self._each([" " + w for w in rest])))
+        for word in marked:
+            young[word] = young[word[:-1]] + self.marks[word[-1]]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        if not text:
-            return []
-        if _BLANK_AFTER_BLANK.search(text) or text[0] == " ":
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + part for part in rest)]
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [array("I", found).tobytes() for found in self._ids(texts)]
 
 
 _encoders: dict[str, Encoder] = {}
