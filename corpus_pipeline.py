@@ -45,8 +45,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# Signatures, the random field, the tokenizer and the packer are beyond SQL; tests/llm holds
-# run() against a plain Python version of each stage.
+# Signatures, the random field, the tokenizer and the packer are beyond SQL; tests/llm tests
+# the operator of each stage, not run() as a whole.
 ORACLE_SQL = None
 
 
