@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as sf
 
 from tramline.llm import archives, languages, minmax, mixing, neighbours, packing, privacy, sharding, syncmers, toxicity
 from tramline.llm.graph import components
@@ -213,6 +214,34 @@ def test_nearest(spark):
     assert neighbours.nearest(frame.where("vec_id < 0")).count() == 0
 
 
+def test_nearest_over_shards(spark):
+    """Ties over several shards and splits, repeated vec_ids, clashing names, any order of rows."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(400, 8))
+    vectors[1::40] = vectors[0] * np.arange(2, 12)[:, None]  # the same direction, different nodes
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(50, vectors[300].tolist()), (50, vectors[301].tolist()), (7, vectors[300].tolist())]
+
+    def run(rows):
+        frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, shard int, links string")
+        kept = neighbours.usable(frame)
+        index = neighbours.build_index(kept, 5, shard=60)
+        assert index.count() >= 6
+        asking = kept.where("vec_id % 50 = 0").groupBy(sf.col("vec_id").alias("query_id")).agg(sf.min("embedding").alias("query"))
+        got = neighbours.search(index, asking, 5, block=2).orderBy("query_id", "rank").collect()
+        return [(r.query_id, r["rank"], r.vec_id, r.score) for r in got]
+
+    got = run(rows)
+    assert got == run(rows[::-1])
+    own = {q: min(v for i, v in rows if i == q) for q in range(0, 400, 50)}
+    want = []
+    for q, query in own.items():
+        scores = neighbours.cosines(np.array(query), np.array([v for _, v in rows]))
+        best = sorted((-s, i) for s, (i, _) in zip(scores.tolist(), rows) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert [r[:3] for r in got] == [r[:3] for r in want]  # shards of 60 are searched whole
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-12)
+
+
 # --- op4 -------------------------------------------------------------------------------------
 
 PATTERNS = {
