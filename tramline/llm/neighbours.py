@@ -259,129 +259,6 @@ def search(index: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) ->
     return merged.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(self, query: np.ndarray, most: int = SEARCH) -> list[int]:
-        if not len(self.vectors):
-            return []
-        at = self.entry
-        for level in range(len(self.links) - 1, 0, -1):
-            at = self._search(query, [at], level, 1)[0][1]
-        return [i for _, i in self._search(query, [at], 0, most)]
-
-
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    # Scaled by the largest component first, so that no square over- or underflows.
-    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return (vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))).astype(np.float32)
-
-
-def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Cosines in double precision of one vector with each row."""
-    query, vectors = query.astype(np.float64), vectors.astype(np.float64)
-    big, each = np.abs(query).max(), np.abs(vectors).max(axis=1)
-    query, vectors = query / big, vectors / each[:, None]
-    return (vectors * query).sum(axis=1) / (np.sqrt((query * query).sum()) * np.sqrt((vectors * vectors).sum(axis=1)))
-
-
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding: array<double>) of vectors without NULL or non-finite components, not zero."""
-    part = F.col("embedding").cast("array<double>")
-    finite = F.forall(part, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), part.alias("embedding"))
-    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(
-        finite & F.exists("embedding", lambda x: x != 0)
-    )
-
-
-INDEX = "shard int, dims int, vectors binary, members binary, offsets binary, entry int, levels int, links binary"
-
-
-def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
-    """One row per shard: unit vectors' originals, member ids, and the graph's flat arrays.
-
-    Equal vectors (and dimensions) share a node that lists its k + 1 smallest ids: more can
-    never be among k nearest, as all score the same. Every vector is in the index.
-    """
-    key = F.xxhash64("embedding")
-    place = F.row_number().over(Window.partitionBy("_key", "embedding").orderBy("vec_id"))
-    members = rows.select("vec_id", "embedding").distinct().withColumn("_key", key).withColumn("_place", place)
-    nodes = keep(
-        members.where(F.col("_place") <= k + 1).groupBy("_key", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")),
-        "vectors",
-    )
-    shards = max(1, -(-nodes.count() // shard))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "_key"), F.lit(shards)).cast("int")).withColumn("dims", F.size("embedding"))
-    ship(rows.sparkSession)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_key", kind="stable")
-        vectors = np.stack(group["embedding"].to_list()).astype(np.float64)
-        graph = Graph.build(_unit(vectors))
-        ids = group["ids"].to_list()
-        return pd.DataFrame({
-            "shard": [int(group["shard"].iloc[0])], "dims": [vectors.shape[1]], "vectors": [vectors.tobytes()],
-            "members": [np.concatenate(ids).astype(np.int64).tobytes()],
-            "offsets": [np.cumsum([0, *map(len, ids)]).astype(np.int64).tobytes()],
-            "entry": [graph.entry], "levels": [len(graph.links)],
-            "links": [b"".join(table.tobytes() for table in graph.links)],
-        })
-
-    spread = dealt.repartition(shards, "shard", "dims")
-    return keep(spread.groupBy("shard", "dims").applyInPandas(run, INDEX), "graphs")
-
-
-def _loaded(row: pd.Series) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dims"])
-    n, flat = len(vectors), np.frombuffer(row["links"], np.int32)
-    links, at = [], 0
-    for level in range(row["levels"]):
-        width = LINKS * (2 if level == 0 else 1)
-        links.append(flat[at : at + n * width].reshape(n, width))
-        at += n * width
-    return (
-        Graph(_unit(vectors), links, row["entry"]), vectors,
-        np.frombuffer(row["members"], np.int64), np.frombuffer(row["offsets"], np.int64),
-    )
-
-
-def search(index: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's ``k`` nearest found, itself excluded.
-
-    Every shard answers every block of queries of its dimension; a task holds one graph and
-    one block.
-    """
-    blocks = max(1, -(-queries.count() // block))
-    number = F.pmod(F.xxhash64(F.lit(SEED), "query_id"), F.lit(blocks)).cast("int")
-    asked = queries.select("query_id", "query", F.size("query").alias("_size"), number.alias("_block"))
-    shards = index.select(F.col("shard").alias("_shard"), F.col("dims").alias("_dims"))
-    everywhere = asked.join(shards, F.col("_size") == F.col("_dims")).select("query_id", "query", "_shard", "_dims", "_block")
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    ship(index.sparkSession)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            graph, vectors, members, offsets = _loaded(left.iloc[0])
-            asked = np.stack(right["query"].to_list()).astype(np.float64)
-            for query_id, query, unit in zip(right["query_id"].tolist(), asked, _unit(asked)):
-                near = np.array(graph.nearest(unit))
-                scores = cosines(query, vectors[near])
-                found = [
-                    (-score, vec_id)
-                    for node, score in zip(near.tolist(), scores.tolist())
-                    for vec_id in members[offsets[node] : offsets[node + 1]].tolist()
-                    if vec_id != query_id
-                ]
-                out += [(query_id, vec_id, -d) for d, vec_id in heapq.nsmallest(k, found)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    n = max(1, index.count() * blocks)
-    keys, other = ["shard", "dims", "block"], ["_shard", "_dims", "_block"]
-    found = graphs.repartition(n, *keys).groupBy(*keys).cogroup(everywhere.repartition(n, *other).groupBy(*other))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    merged = found.applyInPandas(run, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(order).cast("int"))
-    return merged.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The ``k`` nearest of every row whose vec_id is divisible by ``every``, by cosine.
 
