@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -498,6 +499,94 @@ def test_toxicity_of_planted_words(spark, empty):
     assert toxicity.toxicity(empty, marks).count() == 0
 
 
+def test_levels_of_entries(spark):
+    entries = ["bad", "ugly*%1", "worse%3"]
+    texts = [
+        None, "", "Bad!", "uglyness " + "so " * 98, "uglyness " + "so " * 100, "worse", "worse worse " + "so " * 198,
+        "worse worse " + "so " * 199, "ugly, BAD uglyish worse worse", "nothing bade",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.hits, r.n_hits) for r in toxicity.hits(docs, entries).collect()}
+    want = [([], 0), ([], 0), ([0], 1), ([1], 1), ([], 0), ([], 0), ([2], 2), ([], 0), ([0, 1, 2], 5), ([], 0)]
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_label_model_counts_like_a_plain_loop(spark):
+    rng = random.Random(8)
+    n, docs = 3, []
+    for _ in range(400):
+        toxic = rng.random() < 0.2
+        first = rng.random() < (0.8 if toxic else 0.03)
+        docs.append([v for v, on in enumerate([
+            first, first and rng.random() < 0.9, rng.random() < (0.6 if toxic else 0.02),
+            rng.random() < (0.7 if toxic else 0.1), False, rng.random() < 0.3, rng.random() < (0.3 if toxic else 0.2),
+        ]) if on])
+    known, size = [0.05, 0.9], n + toxicity.PATTERNS
+    table = spark.createDataFrame([(d, 1) for d in docs], "votes array<int>, n long")
+    model = toxicity.LabelModel(table.groupBy("votes").agg(sf.sum("n").alias("n")), n, known, rounds=6)
+
+    x = np.array([[float(v in d) for v in range(size)] for d in docs])
+    seen = x[:, :n].any(axis=1)
+    post = np.where(seen, 0.95, 0.02)
+    for _ in range(6):
+        share = [1 - post, post]
+        rates = np.array([[(sum(s * x[:, v]) + 0.1) / (sum(s) + 0.2) for v in range(size)] for s in share])
+        prior = (sum(post) + 1) / (len(docs) + 2)
+        weights = []
+        for a in range(size):
+            total = 0.0
+            for b in range(size):
+                most = 0.0
+                for s in share:
+                    ma, mb = sum(s * x[:, a]) / sum(s), sum(s * x[:, b]) / sum(s)
+                    cov = sum(s * (x[:, a] - ma) * (x[:, b] - mb)) / sum(s)
+                    spread = math.sqrt(max(ma * (1 - ma), 1e-9) * max(mb * (1 - mb), 1e-9))
+                    most = max(most, abs(cov / spread)) if spread > 1e-6 else most
+                total += 1.0 if a == b else most**2
+            weights.append(1 / total)
+        spoke = x @ (np.log(rates[1] / rates[0]) * weights)
+        quiet = (1 - x) @ (np.log((1 - rates[1]) / (1 - rates[0])) * weights)
+        anchor = np.where(seen, math.log(known[1] / known[0]), math.log((1 - known[1]) / (1 - known[0])))
+        score = spoke + quiet + math.log(prior / (1 - prior)) + anchor
+        post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    assert np.allclose(model.rates, rates, atol=1e-6) and np.allclose(model.weights, weights, atol=1e-6)
+    assert np.allclose(model.posterior(docs), post, atol=1e-6)
+    assert model.weights[0] < model.weights[2]
+
+
+def test_lexicon_takes_every_entry_that_passes_and_none_by_chance(spark):
+    rng = random.Random(9)
+    bad = ["".join(rng.choices("bcdfghklmnprstvwz", k=7)) for _ in range(200)]
+    rows = [(i, _prose(rng, 60) + (" " + " ".join(rng.sample(bad, 40)) if i % 5 == 0 else "")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    found = {e.rstrip("%0123456789").rstrip("*") for e in toxicity.lexicon(docs, marks)[0]}
+    assert all(any(b.startswith(e) for e in found) for b in bad)
+    assert all(any(b.startswith(e) for b in bad) for e in found)
+    shuffled = spark.createDataFrame([(i, int(rng.random() < 0.2)) for i in range(3000)], "doc_id long, toxic int")
+    assert toxicity.lexicon(docs, shuffled)[0] == []
+
+
+def test_toxicity_of_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("_doc_id", sf.lit(1)).withColumn("toxic", sf.lit(2))
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id")
+    n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) >= 0.97
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9
+
+
+def test_toxicity_of_very_long_texts(spark):
+    rng = random.Random(10)
+    rows = [(i, _prose(rng, 40) + (" zzscum zzloser" if i % 6 == 0 else "")) for i in range(300)]
+    long_one = _prose(rng, 200_000)
+    rows += [(1000, long_one), (1001, long_one + " zzscum, zzloser! " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, marks).collect()}
+    assert got[1000].predicted == 0 and got[1001].score > got[1000].score
+
+
 def test_rows_of_one_id_are_judged_on_their_own_texts(spark):
     rng = random.Random(4)
     rows = [(i, _prose(rng, 40) + (" zzscum zzloser" if i % 6 == 0 else "")) for i in range(300)]

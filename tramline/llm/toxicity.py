@@ -1,15 +1,17 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
-A lexicon of words and word beginnings is mined from labelled training documents. Its entries
-and some patterns of use vote on every document; a voter that stays silent is evidence too.
-A generative model with a hidden label estimates each voter's rates, and the correlation of
-voters given the label, from the votes on all documents, without labels. Its posteriors are
-the labels a logistic regression learns.
+A lexicon of words and word beginnings, some as such and some only where they are frequent in
+a text, is mined from labelled training documents. Each entry and some patterns of use vote on
+every document; a voter that stays silent is evidence too. A generative model with a hidden
+label estimates each voter's rates, and the correlations of voters given the label, from the
+votes on all documents, without labels. Its posteriors are the labels a logistic regression
+learns.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,22 +20,37 @@ from pyspark.sql import functions as F
 from tramline.llm.common import crc_of_id, keep, per_batch
 
 SAMPLE = 20_000
-ENTRIES, GROUPS, EVIDENCE, ALWAYS, PRECISION = 160, 12, 10.0, 0.9, 0.92
+ALWAYS, PRECISION, DISCOVERY = 0.9, 0.92, 0.05
 BEGINNINGS = (4, 5, 6)
+# What an entry asks of a text: the word so often at least, and among so many words once at least (0: any).
+LEVELS = ((1, 0), (1, 100), (2, 200), (2, 100))
 THRESHOLD = 0.7
 SEED = 5
 _WORD = re.compile(r"[^\W\d_]+")
 # Numbers of a document besides its entries: distinct entries, share of its words, log of their count.
 EXTRA = 3
+# Voters besides the entries.
+PATTERNS = 4
+
+
+def _units(words: list[str]) -> Counter:
+    """How often lower-case words, and beginnings of words marked by a star, occur."""
+    found: Counter = Counter()
+    for word, n in Counter(words).items():
+        found[word] += n
+        for length in BEGINNINGS:
+            if len(word) >= length:
+                found[word[:length] + "*"] += n
+    return found
 
 
-def _units(text: str | None) -> set[str]:
-    """Distinct lower-case words, and their beginnings marked by a star."""
-    words = set(_WORD.findall((text or "").lower()))
-    found = set(words)
-    for n in BEGINNINGS:
-        found.update(w[:n] + "*" for w in words if len(w) >= n)
-    return found
+def _asks(level: int, n: int, words: int) -> bool:
+    least, per = LEVELS[level]
+    return n >= least and (n * per >= words or not per)
+
+
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
 def training():
@@ -41,89 +58,106 @@ def training():
     return F.coalesce(crc_of_id() % 3 != 1, F.lit(True))
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> tuple[list[str], list[float]]:
-    """Words and beginnings typical of toxic documents, most typical first, at most ``entries``;
-    and the share of clean and of toxic sample texts that have any of them.
+def lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[float]]:
+    """Words and beginnings typical of toxic documents, most typical first; a percent sign and
+    a number follow those that count only where frequent (``LEVELS``). And the share of clean and of toxic sample
+    texts that have any of them.
 
-    Counts in how many toxic and other texts each occurs, over at most ``sample`` labelled
-    training rows (smallest hashes of the id); equal texts of one label count once. An entry
-    occurs in toxic texts for the most part (``PRECISION``, with half a clean text added), and so often that chance is no explanation: n toxic texts out of m that have it
-    weigh n log(n / m / share of toxic texts), which must reach ``EVIDENCE``. An entry that a
-    chosen beginning covers is left out, and one that hardly ever (``ALWAYS``) comes without
-    another chosen one: it marks the texts around that, such as copies, not toxicity.
+    Counts in how many toxic and other texts each meets each level, over at most
+    ``sample`` labelled training rows (smallest hashes of the id); equal texts of one label
+    count once. An entry occurs in toxic texts for the most part (``PRECISION``, with half a
+    clean text added), and more often than by chance: the tail of its binomial distribution is
+    bounded by Chernoff's inequality, and all entries pass whose bounds keep the expected share
+    of false ones below ``DISCOVERY`` among all units tried (Benjamini and Hochberg). One that
+    hardly ever (``ALWAYS``) comes without an entry more typical is left out: it says the same,
+    or marks the texts around that, such as copies.
     """
     rows = labels.where(training()).where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("_doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = F.broadcast(rows.orderBy(F.xxhash64(F.lit(SEED), "_doc_id"), "_doc_id").limit(sample))
-    texts = docs.join(chosen, docs["doc_id"].cast("long") == chosen["_doc_id"]).select("text", chosen["toxic"])
-    texts = texts.dropDuplicates(["text", "toxic"])
+    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").cast("long") == F.col("_doc_id"))
+    texts = keep(texts.select("text", (F.col("toxic") == 1).cast("int").alias("toxic")).distinct(), "labelled")
 
     def run(cols: dict) -> dict:
-        counts: dict[str, list[int]] = {"": [0, 0]}
+        counts: dict[str, list[int]] = {}
         for text, toxic in zip(cols["text"], cols["toxic"]):
-            kind = int(toxic == 1)
-            counts[""][kind] += 1
-            for unit in _units(text):
-                counts.setdefault(unit, [0, 0])[kind] += 1
-        return {"unit": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]}
-
-    found = keep(
-        per_batch(texts, run, "unit string, clean long, toxic long")
-        .groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3 OR unit = ''"),
-        "units",
-    )
-    totals = found.where("unit = ''").first()
-    if totals is None or not totals["toxic"]:
+            words = _words(text)
+            for unit, n in _units(words).items():
+                found = counts.setdefault(unit, [0] * len(names))
+                for level in range(len(LEVELS)):
+                    found[2 * level + toxic] += _asks(level, n, len(words))
+        return {"unit": list(counts), **{name: [c[i] for c in counts.values()] for i, name in enumerate(names)}}
+
+    names = [f"{kind}{level}" for level in range(len(LEVELS)) for kind in ("clean", "toxic")]
+    found = per_batch(texts, run, "unit string, " + ", ".join(f"{n} long" for n in names))
+    found = keep(found.groupBy("unit").agg(*(F.sum(n).alias(n) for n in names)), "units")
+    totals = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not totals.get(1) or not totals.get(0):
         return [], [0.0, 0.0]
-    usual = totals["toxic"] / (totals["toxic"] + totals["clean"])
-    precision = F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.5)
-    weight = F.col("toxic") * F.log(precision / usual)
+    usual = totals[1] / (totals[0] + totals[1])
+    tried = len(LEVELS) * found.count()
+    levels = ", ".join(f"unit || '{f'%{i}' if i else ''}', clean{i}, toxic{i}" for i in range(len(LEVELS)))
+    every = found.selectExpr(f"stack({len(LEVELS)}, {levels}) AS (unit, clean, toxic)")
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    against = F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - usual))).otherwise(0.0)
     best = (
-        found.where("unit <> ''").where(precision >= PRECISION).withColumn("weight", weight)
-        .where(F.col("weight") >= EVIDENCE).orderBy(F.desc("weight"), F.length("unit"), "unit").limit(8 * entries)
+        every.where(F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean") + 0.5))
+        .where(share > usual).withColumn("weight", F.col("toxic") * F.log(share / usual) + against)
+        .where(F.col("weight") >= -np.log(DISCOVERY)).orderBy(F.desc("weight"), F.length("unit"), "unit").collect()
     )
-    ordered = [r["unit"] for r in best.collect()]
-    begins = [u[:-1] for u in ordered if u.endswith("*")]
-    ordered = [u for u in ordered if not any(u.startswith(b) and u != b + "*" for b in begins)]
-    # Which candidates each toxic text has: at most ``sample`` short lists.
-    held = [r["hits"] for r in hits(texts.where("toxic = 1").withColumn("doc_id", F.lit(0)), ordered).select("hits").collect()]
-    has = np.zeros((len(held), len(ordered)), bool)
-    for i, found_here in enumerate(held):
-        has[i, found_here] = True
+    bounds = np.exp([-r["weight"] for r in best])
+    passed = np.flatnonzero(bounds <= DISCOVERY * np.arange(1, len(best) + 1) / tried)
+    ordered = [r["unit"] for r in best[: passed[-1] + 1]] if len(passed) else []
+    # In how many toxic texts two entries meet.
+    pairs = hits(texts.where("toxic = 1").withColumn("doc_id", F.lit(0)), ordered).select("hits", F.explode("hits").alias("a"))
+    pairs = pairs.select("a", F.explode("hits").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    together = np.zeros((len(ordered),) * 2)
+    for r in pairs.collect():
+        together[r["a"], r["b"]] = r["n"]
     chosen_at: list[int] = []
     for j in range(len(ordered)):
-        if not (has[has[:, j]][:, chosen_at].mean(axis=0) >= ALWAYS).any():
+        if not (together[j, chosen_at] >= ALWAYS * together[j, j]).any():
             chosen_at.append(j)
-    final = [ordered[j] for j in chosen_at[:entries]]
-    ids = texts.withColumn("doc_id", F.when(F.col("toxic") == 1, 1).otherwise(0))
+    final = [ordered[j] for j in chosen_at]
     any_hit = F.sum((F.size("hits") > 0).cast("int"))
-    shares = {r["doc_id"]: r["share"] for r in hits(ids, final).groupBy("doc_id").agg(((any_hit + 1) / (F.count("*") + 2)).alias("share")).collect()}
-    return final, [shares.get(0, 0.01), shares.get(1, 0.9)]
+    shares = hits(texts.withColumnRenamed("toxic", "doc_id"), final).groupBy("doc_id").agg(((any_hit + 1) / (F.count("*") + 2)).alias("share"))
+    known = {r["doc_id"]: r["share"] for r in shares.collect()}
+    return final, [known[0], known[1]]
 
 
 def hits(docs: DataFrame, entries: list[str]) -> DataFrame:
     """doc_id, text_hash, hits (numbers of the entries a whole text has), n_hits, n_words, shouting.
 
-    ``n_hits`` counts words that match any entry, repeats included; ``shouting`` is the number
-    of exclamation marks.
+    ``n_hits`` counts words that match any of these entries, repeats included; ``shouting`` is
+    the number of exclamation marks.
     """
-    number = {e: i for i, e in enumerate(entries)}
-    whole = {e for e in number if not e.endswith("*")}
-    begins = {n: {e[:-1]: number[e] for e in number if e.endswith("*") and len(e) == n + 1} for n in BEGINNINGS}
+    # Levels and entries by unit.
+    numbers: dict[str, list[tuple[int, int]]] = {}
+    for i, e in enumerate(entries):
+        unit, _, level = e.partition("%")
+        numbers.setdefault(unit, []).append((int(level or 0), i))
+    whole = {u for u in numbers if not u.endswith("*")}
+    begins = {n: {u[:-1] for u in numbers if u.endswith("*") and len(u) == n + 1} for n in BEGINNINGS}
 
     def run(cols: dict) -> dict:
         out: dict = {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "hits": [], "n_hits": [], "n_words": [], "shouting": []}
         for text in cols["text"]:
-            words = _WORD.findall((text or "").lower())
+            words = _words(text)
             distinct = set(words)
-            matched = {w: [number[w]] for w in distinct & whole}
+            matched = {w: [w] for w in distinct & whole}
             for n, known in begins.items():
-                for start in {w[:n] for w in distinct} & known.keys() if known else ():
+                for start in {w[:n] for w in distinct} & known if known else ():
                     for w in distinct:
                         if len(w) >= n and w.startswith(start):
-                            matched.setdefault(w, []).append(known[start])
-            out["hits"].append(sorted({i for found in matched.values() for i in found}))
-            out["n_hits"].append(sum(w in matched for w in words) if matched else 0)
+                            matched.setdefault(w, []).append(start + "*")
+            times = Counter(w for w in words if w in matched) if matched else {}
+            of_unit: Counter = Counter()
+            for w, n in times.items():
+                for unit in matched[w]:
+                    of_unit[unit] += n
+            voted = {u: [i for level, i in numbers[u] if _asks(level, n, len(words))] for u, n in of_unit.items()}
+            out["hits"].append(sorted(i for found in voted.values() for i in found))
+            out["n_hits"].append(sum(n for w, n in times.items() if any(voted[u] for u in matched[w])))
             out["n_words"].append(len(words))
             out["shouting"].append((text or "").count("!"))
         return out
@@ -134,13 +168,11 @@ def hits(docs: DataFrame, entries: list[str]) -> DataFrame:
     )
 
 
-def _votes():
-    """The voters' bits: groups of entries (entry number modulo GROUPS), then patterns of use;
-    at most 2^16 different results."""
-    groups = [F.array_contains(F.transform("hits", lambda h: h % GROUPS), g) for g in range(GROUPS)]
+def _votes(entries: int):
+    """Numbers of the voters that speak: entries, then patterns of use."""
     share = F.col("n_hits") / F.greatest(F.col("n_words"), F.lit(1))
     patterns = [F.size("hits") >= 2, F.col("n_hits") >= 3, share >= 0.01, F.col("shouting") >= 3]
-    return F.array(*[v.cast("int") for v in [*groups, *patterns]])
+    return F.concat("hits", F.array_compact(F.array(*[F.when(p, entries + i) for i, p in enumerate(patterns)])))
 
 
 class LabelModel:
@@ -148,37 +180,64 @@ class LabelModel:
 
     One voter is known: whether any entry occurs, with its rates in labelled clean and toxic
     texts (``known``); it holds the hidden label to what the labels mean.
-    Expectation-maximisation over distinct vote patterns and their counts. Voters correlated
+    Expectation-maximisation over all documents: Spark counts single voters and pairs under
+    each label, only numbers by voter or pair of voters come to the driver. Voters correlated
     given the label say the same thing twice, so a voter's evidence counts by one over the sum
     of its squared correlations with all voters (itself included).
+
+    ``votes``: (votes, n), a written table of distinct lists of voters that spoke, with the
+    number of documents.
     """
 
-    def __init__(self, votes: np.ndarray, counts: np.ndarray, known: list[float], rounds: int = 40):
-        self.known = np.clip(known, 1e-4, 1 - 1e-4)
-        post = np.where(votes[:, :GROUPS].any(axis=1), 0.95, 0.02)
+    def __init__(self, votes: DataFrame, entries: int, known: list[float], rounds: int = 15):
+        self.entries, self.known = entries, np.clip(known, 1e-4, 1 - 1e-4)
+        size = entries + PATTERNS
+        seen = F.exists("votes", lambda v: v < entries)
+        post = F.when(seen, 0.95).otherwise(0.02)
         for _ in range(rounds):
-            self._estimate(votes, counts, post)
-            post = self.posterior(votes)
-
-    def _estimate(self, votes: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
-        by = np.stack([counts * (1 - post), counts * post])
-        self.rates = (by @ votes + 0.1) / (by.sum(axis=1, keepdims=True) + 0.2 + 1e-9)
-        self.prior = float((by[1].sum() + 1) / (counts.sum() + 2))
-        apart = np.zeros((votes.shape[1],) * 2)
+            # A voter that always speaks, to count documents.
+            all_votes = F.concat("votes", F.array(F.lit(size)))
+            pairs = votes.select("n", post.alias("post"), F.explode(all_votes).alias("a"), all_votes.alias("with"))
+            pairs = pairs.select("n", "post", "a", F.explode("with").alias("b")).where("a <= b").groupBy("a", "b")
+            sums = pairs.agg(F.sum(F.col("n") * (1 - F.col("post"))).alias("no"), F.sum(F.col("n") * F.col("post")).alias("yes"))
+            counts = np.zeros((2, size + 1, size + 1))
+            for r in sums.collect():
+                for y, name in enumerate(("no", "yes")):
+                    counts[y, r["a"], r["b"]] = counts[y, r["b"], r["a"]] = r[name]
+            before = getattr(self, "rates", None)
+            self._estimate(counts)
+            if before is not None and np.abs(before - self.rates).max() < 1e-4:
+                break
+            gain, quiet, none = self._evidence()
+            spoke = F.aggregate("votes", F.lit(quiet), lambda total, v: total + F.element_at(F.lit(gain), v + 1))
+            score = spoke + F.when(seen, float(none[1])).otherwise(float(none[0]))
+            post = 1 / (1 + F.exp(-F.greatest(F.least(score, F.lit(30.0)), F.lit(-30.0))))
+
+    def _estimate(self, counts: np.ndarray) -> None:
+        size = counts.shape[1] - 1
+        of = counts[:, size, size]
+        self.rates = (np.diagonal(counts, axis1=1, axis2=2)[:, :size] + 0.1) / (of[:, None] + 0.2)
+        self.prior = float((of[1] + 1) / (of.sum() + 2))
+        apart = np.zeros((size, size))
         for y in (0, 1):
-            off = votes - self.rates[y]
-            cov = (off * by[y][:, None]).T @ off / max(by[y].sum(), 1e-9)
+            mean = np.diagonal(counts[y])[:size] / max(of[y], 1e-9)
+            cov = counts[y, :size, :size] / max(of[y], 1e-9) - np.outer(mean, mean)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             apart = np.maximum(apart, np.abs(cov / np.outer(sd, sd)) * (np.outer(sd, sd) > 1e-6))
         np.fill_diagonal(apart, 1)
         self.weights = 1 / (apart**2).sum(axis=1)
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def _evidence(self) -> tuple[np.ndarray, float, np.ndarray]:
+        """What each vote adds, what silence of all says, what no entry and any entry say."""
         yes = np.log(self.rates[1] / self.rates[0])
         no = np.log((1 - self.rates[1]) / (1 - self.rates[0]))
-        score = (votes * yes + (1 - votes) * no) @ self.weights + np.log(self.prior / (1 - self.prior))
-        seen, (clean, toxic) = votes[:, :GROUPS].any(axis=1), self.known
-        score += np.where(seen, np.log(toxic / clean), np.log((1 - toxic) / (1 - clean)))
+        clean, toxic = self.known
+        quiet = float(no @ self.weights + np.log(self.prior / (1 - self.prior)))
+        return (yes - no) * self.weights, quiet, np.log([(1 - toxic) / (1 - clean), toxic / clean])
+
+    def posterior(self, votes: list[list[int]]) -> np.ndarray:
+        gain, quiet, none = self._evidence()
+        score = np.array([quiet + gain[v].sum() + none[int(any(i < self.entries for i in v))] for v in votes])
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
@@ -195,14 +254,18 @@ def _features(hits: list[list[int]], n_hits, n_words, entries: int) -> np.ndarra
 
 
 def _regression(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on soft labels, Newton's method; the last weight is the constant."""
+    """Logistic regression on soft labels, Newton's method; the last weight is the constant.
+    Equal rows are put together first."""
+    x, same = np.unique(x, axis=0, return_inverse=True)
+    n = np.bincount(same.ravel()).astype(float)
+    y = np.bincount(same.ravel(), y) / n
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     shrink = np.full(len(w), penalty)
     shrink[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(shrink), x.T @ (p - y) + shrink * w)
+        step = np.linalg.solve((x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(shrink), x.T @ (n * (p - y)) + shrink * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -220,21 +283,21 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     table = keep(hits(docs, entries), "hits")
     if not entries:
         return table.select("doc_id", "text_hash", F.lit(0.0).alias("score"))
-    patterns = table.groupBy(_votes().alias("votes")).agg(F.count("*").alias("n")).collect()
-    if not patterns:
+    n = len(entries)
+    votes = keep(table.groupBy(_votes(n).alias("votes")).agg(F.count("*").alias("n")), "votes")
+    if votes.isEmpty():
         return table.select("doc_id", "text_hash", F.lit(0.0).alias("score"))
-    model = LabelModel(np.array([r["votes"] for r in patterns], float), np.array([r["n"] for r in patterns], float), known)
+    model = LabelModel(votes, n, known)
     order = [F.xxhash64(F.lit(SEED), "doc_id", "hits", "n_words"), F.col("doc_id")]
     some = F.size("hits") > 0
     rows = [
         r
         for part in (table.where(some), table.where(~some))
         for r in part.orderBy(*order).limit(sample // 2)
-        .select("hits", "n_hits", "n_words", _votes().alias("votes")).collect()
+        .select("hits", "n_hits", "n_words", _votes(n).alias("votes")).collect()
     ]
-    n = len(entries)
     x = _features([r["hits"] for r in rows], [r["n_hits"] for r in rows], [r["n_words"] for r in rows], n)
-    weights = _regression(x, model.posterior(np.array([r["votes"] for r in rows], float)))
+    weights = _regression(x, model.posterior([r["votes"] for r in rows]))
 
     def run(cols: dict) -> dict:
         z = _features(cols["hits"], cols["n_hits"], cols["n_words"], n) @ weights[:-1] + weights[-1]
