@@ -45,8 +45,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# Signatures, the random field, the tokenizer and the packer are beyond SQL; tests/llm tests
-# the operator of each stage, not run() as a whole.
+# Signatures, the random field, the tokenizer and the packer are beyond SQL;
+# tests/llm/test_pipeline.py holds each stage against plain Python on its own input.
 ORACLE_SQL = None
 
 
