@@ -108,16 +108,18 @@ def lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[l
     bounds = np.exp([-r["weight"] for r in best])
     passed = np.flatnonzero(bounds <= DISCOVERY * np.arange(1, len(best) + 1) / tried)
     ordered = [r["unit"] for r in best[: passed[-1] + 1]] if len(passed) else []
-    # In how many toxic texts two entries meet.
+    # Entries more typical that an entry nearly always meets in toxic texts; only these lists come to the driver.
     pairs = hits(texts.where("toxic = 1").withColumn("doc_id", F.lit(0)), ordered).select("hits", F.explode("hits").alias("a"))
-    pairs = pairs.select("a", F.explode("hits").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    together = np.zeros((len(ordered),) * 2)
-    for r in pairs.collect():
-        together[r["a"], r["b"]] = r["n"]
+    pairs = pairs.select("a", F.explode("hits").alias("b")).where("b <= a").groupBy("a", "b").agg(F.count("*").alias("n"))
+    met = pairs.groupBy("a").agg(F.max("n").alias("own"), F.collect_list(F.struct("n", "b")).alias("met"))
+    always = F.filter("met", lambda m: (m["n"] >= ALWAYS * F.col("own")) & (m["b"] < F.col("a")))["b"]
+    says_too = {r["a"]: r["b"] for r in met.select("a", always.alias("b")).collect()}
     chosen_at: list[int] = []
+    taken: set[int] = set()
     for j in range(len(ordered)):
-        if not (together[j, chosen_at] >= ALWAYS * together[j, j]).any():
+        if taken.isdisjoint(says_too[j]):
             chosen_at.append(j)
+            taken.add(j)
     final = [ordered[j] for j in chosen_at]
     any_hit = F.sum((F.size("hits") > 0).cast("int"))
     shares = hits(texts.withColumnRenamed("toxic", "doc_id"), final).groupBy("doc_id").agg(((any_hit + 1) / (F.count("*") + 2)).alias("share"))
