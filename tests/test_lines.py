@@ -207,3 +207,18 @@ def test_a_cluster_needs_a_shared_folder():
 
     assert one_process("local[8]") and one_process("local")
     assert not any(map(one_process, ("local-cluster[2,1,1024]", "yarn", "spark://host:7077")))
+
+
+def test_pairs_of_one_file_are_joined_by_many_tasks(spark):
+    """Stops come from one small file; the join of their pairs must not stay in its one partition."""
+    stops = spark.range(600).coalesce(1).selectExpr("concat('s', id) stop_id", "13.4 + id / 1e5 lon", "52.5 + id / 1e5 lat")
+    shares = spatial.within_distance(stops, stops, 2000).groupBy(F.spark_partition_id()).count()
+    assert shares.count() > 1
+
+
+def test_distance_in_columns_is_the_same_number(spark):
+    rows = spark.sql("SELECT id, rand(1) * 360 - 180 a, rand(2) * 180 - 90 b, rand(3) * 360 - 180 c, rand(4) * 180 - 90 d FROM range(200)"
+                     " UNION ALL SELECT -1, 1, 2, 1, 2 UNION ALL SELECT -2, null, 2, 1, 2 UNION ALL SELECT -3, 180, 0, 0, 0").cache()
+    parts = {r["id"]: r["m"] for r in geo.with_spheroid_m(rows, "m", "a", "b", "c", "d").select("id", "m").collect()}
+    whole = {r["id"]: r["m"] for r in rows.select("id", geo.spheroid_m(*(F.col(c) for c in "abcd")).alias("m")).collect()}
+    assert parts == whole
