@@ -281,3 +281,18 @@ def test_headway(spark):
     assert got == [("S", "R", 10, 1, 7200, 7200), ("S", "R", 25, 1, 300, 300), ("S", "R", 8, 2, 61, 62)]
     with pytest.raises(ValueError):
         headway.scheduled(df, df, min_gap=0)
+
+
+def test_a_table_is_loaded_with_those_it_refers_to_only(spark, folder, monkeypatch):
+    raw, staged = feed.read_feed(spark, folder), []
+
+    def stage(df, name):
+        staged.append(name)
+        return df
+
+    cleaned = load.Cleaned(raw, stage=stage)
+    cleaned["routes"]
+    assert staged == ["judged_routes"]
+    cleaned["trips"]
+    assert set(staged) == {"judged_routes", "ids_routes", "judged_shapes", "shapes", "ids_shapes", "judged_trips"}
+    assert sorted(cleaned.logs) == ["routes", "shapes", "trips"]
