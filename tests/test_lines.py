@@ -93,6 +93,22 @@ def test_locate_and_interpolate(spark, walks, monkeypatch, long_line, chunk):
             assert min(to_segment(found[shape, i], a, b)[0] for a, b in zip(v, v[1:])) < 1e-9
 
 
+@pytest.mark.parametrize("long_line,tile", [(65_536, 6), (40, 6), (40, 200_000)])
+def test_locate_in_tiles(spark, walks, monkeypatch, long_line, tile):
+    """Small tiles give the places of one tile, and each pair leaves a tile as one row."""
+    rng = random.Random(8)
+    segs = lines.segments(walks).cache()
+    stops = [(s, f"p{i}", -73.9 + rng.uniform(-0.1, 0.2), 40.7 + rng.uniform(-0.05, 0.05)) for s in "abcd" for i in range(25)]
+    stops += [("a", None, -73.9, 40.7), (None, "p1", -73.9, 40.7), ("a", "nowhere", None, 40.7), ("z", "p1", -73.9, 40.7)]
+    pairs = spark.createDataFrame(stops, "shape_id string, stop_id string, lon double, lat double")
+    found = lambda: sorted(tuple(r) for r in lines.locate(pairs, segs).collect())
+    whole = found()
+    assert len(whole) == 100
+    monkeypatch.setattr(lines, "LONG_LINE", long_line)
+    monkeypatch.setattr(lines, "TILE_STOPS", tile)
+    assert found() == whole
+
+
 def test_locate_ties_and_ends(spark):
     bend = spark.createDataFrame([("u", i, 0, x, y) for i, (x, y) in enumerate([(0.0, 1.0), (0.0, 0.0), (2.0, 0.0), (2.0, 1.0)])], VERTEX)
     pairs = spark.createDataFrame(

@@ -296,3 +296,16 @@ def test_a_table_is_loaded_with_those_it_refers_to_only(spark, folder, monkeypat
     cleaned["trips"]
     assert set(staged) == {"judged_routes", "ids_routes", "judged_shapes", "shapes", "ids_shapes", "judged_trips"}
     assert sorted(cleaned.logs) == ["routes", "shapes", "trips"]
+
+
+def test_stop_times_are_staged_without_texts_that_parsed(spark, folder):
+    staged = {}
+
+    def stage(df, name):
+        staged[name] = df
+        return df
+
+    load.Cleaned(feed.read_feed(spark, folder), stage=stage)["stop_times"]
+    judged = staged["judged_stop_times"]
+    assert "stop_sequence" not in judged.columns
+    assert {r["departure_time"] for r in judged.collect()} == {None, "7:1:2"}
