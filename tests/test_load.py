@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions import scalars
-from tramline.operators import quality
+from tramline.operators import ordered, quality
 from tramline.plans import audit, headway, load, views
 from tramline.sources import feed, manifest, store
 
@@ -224,6 +224,24 @@ def test_scattered_trips_are_in_the_ledger(spark):
     assert quality.reentry_log(unordered, "stop_times", "trip_id").isEmpty()
 
 
+def test_no_task_takes_all_rows_of_a_feed_without_order(spark, monkeypatch):
+    """Without a file order there is nothing to number; rows of one place in the file are parted by key."""
+    written = []
+    keep = ordered.materialise
+    monkeypatch.setattr(ordered, "materialise", lambda df, name: written.append(keep(df, name)) or written[-1])
+    rows = spark.range(20_000).select(F.concat(F.lit("t"), F.col("id") % 500).alias("trip_id"), F.lit(0).cast("long").alias("ord"))
+    assert quality.reentry_log(rows, "stop_times", "trip_id").isEmpty()
+    assert written.pop().isEmpty()
+    late = rows.withColumn("ord", F.when(F.col("trip_id") == "t7", spark_id()).otherwise(0))
+    assert quality.reentry_log(late, "stop_times", "trip_id").count() <= 1
+    sizes = [r["count"] for r in written.pop().groupBy(ordered.PART).count().collect()]
+    assert max(sizes) < 10_000
+
+
+def spark_id():
+    return F.monotonically_increasing_id() % 3
+
+
 def test_accounts_scan_little(spark, cleaned):
     """The accounts read the judged rows a few times each, without nested loops."""
     staged, logs = cleaned
