@@ -242,6 +242,27 @@ def spark_id():
     return F.monotonically_increasing_id() % 3
 
 
+def test_staged_stop_times_are_shuffled_once(spark):
+    """Rows that met their trip by a shuffle are ordered within their key where they are, and tell
+    which of them stays as ``dedupe`` would."""
+    values = [(f"t{i % 40}", str(i % 3) if i % 11 else "x", f"S{i % 4}", "8:00:00", "08:00:00", i * 7919 % 101) for i in range(600)]
+    raw = spark.createDataFrame(values, "trip_id string, stop_sequence string, stop_id string, arrival_time string, departure_time string, tb int")
+    trips = spark.createDataFrame([(f"t{i}",) for i in range(30)], "trip_id string")
+    stops = spark.createDataFrame([(f"S{i}",) for i in range(3)], "stop_id string")
+    order, found = ["tb", "stop_id"], []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = quality.judge_stop_times(raw, trips, stops, ("tb",), texts=False, first=order).df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning(trip_id" in plan and "Window" in plan
+    assert not any("Exchange" in line and "seq#" in line.split("Exchange", 1)[1].split("ENSURE")[0] for line in plan.splitlines())
+    for first in (order, None):
+        staged = quality.clean_stop_times(raw, trips, stops, ("tb",), store.materialise, first)[0]
+        found.append(rows(load.collapse_table({"stop_times": staged}, "stop_times", {"stop_times": order})))
+    assert found[0] == found[1] and len(found[0]) > 50
+
+
 def test_accounts_scan_little(spark, cleaned):
     """The accounts read the judged rows a few times each, without nested loops."""
     staged, logs = cleaned
