@@ -348,3 +348,21 @@ def test_stop_times_are_staged_without_texts_that_parsed(spark, folder):
     judged = staged["judged_stop_times"]
     assert "stop_sequence" not in judged.columns
     assert {r["departure_time"] for r in judged.collect()} == {None, "7:1:2"}
+
+
+def test_references_are_counted_before_the_shuffle(spark):
+    """A value that many rows hold leaves an input partition once; all its rows count as violations."""
+    t = {
+        "routes": spark.createDataFrame([("R", "r")], "route_id string, route_short_name string"),
+        "trips": spark.createDataFrame([(f"t{i}", "Q" if i < 7 else "R", "s", None) for i in range(20)], "trip_id string, route_id string, service_id string, shape_id string"),
+    }
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = audit.constraint_audit(t)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {r["constraint_name"]: r["violations"] for r in found.collect()}["trips.route_id -> routes"] == 7
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    below = [lines[at + 1] for at, line in enumerate(lines) if "Exchange hashpartitioning(route_id" in line]
+    assert below and all("HashAggregate(keys=[route_id" in line for line in below)
