@@ -77,3 +77,22 @@ def test_headway_group_is_bounded_by_the_day(spark):
     gaps = headway.gaps(headway.departures(rows, trips))
     assert gaps.where("stop_id = 'hot'").count() <= 48 * 3600
     assert gaps.agg(F.sum("departures")).first()[0] == ROWS
+
+
+def test_headway_shuffles_departures_once(spark):
+    """One exchange takes departures to their group, with the seconds of each input partition combined
+    before it, and the figures are those of gaps between distinct departures."""
+    i = F.col("id")
+    rows = spark.range(0, 3_000, 1, 4).select(
+        F.concat(F.lit("t"), i % 700).alias("trip_id"), F.concat(F.lit("S"), i % 5).alias("stop_id"),
+        ((i * 7919) % 9_000 + 3600).cast("int").alias("departure_sec"),
+    )
+    trips = rows.select("trip_id", F.concat(F.lit("R"), F.substring("trip_id", 2, 1)).alias("route_id"), F.concat(F.lit("w"), F.length("trip_id")).alias("service_id")).distinct()
+    found = headway.scheduled(rows, trips)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(service_id") == 1 and "Window" not in plan
+    kept = headway.gaps(headway.departures(rows, trips)).where(F.col("gap_seconds").between(60, 7200))
+    counts = kept.groupBy("stop_id", "route_id", F.floor(F.col("departure_sec") / 3600).cast("smallint").alias("hour_bucket")).count()
+    key = ["stop_id", "route_id", "hour_bucket"]
+    assert sorted(map(tuple, found.select(*key, "scheduled_trips").collect())) == sorted(map(tuple, counts.collect()))
+    assert found.count() > 20
