@@ -238,3 +238,28 @@ def test_distance_in_columns_is_the_same_number(spark):
     parts = {r["id"]: r["m"] for r in geo.with_spheroid_m(rows, "m", "a", "b", "c", "d").select("id", "m").collect()}
     whole = {r["id"]: r["m"] for r in rows.select("id", geo.spheroid_m(*(F.col(c) for c in "abcd")).alias("m")).collect()}
     assert parts == whole
+
+
+def test_rounding_to_mm_is_round(spark):
+    values = "SELECT rand(5) * 4000 m FROM range(3000) UNION ALL SELECT id / 2000 - 1 FROM range(4000) UNION ALL SELECT id / 8 FROM range(100)"
+    odd = " UNION ALL SELECT explode(array(1.0005D, 2.0004999999999997D, 1e6, 1e12 + 0.0005D, 1e300, -0.0004D, -0.0D, double('nan'), null))"
+    rows = spark.sql(values + odd).select("m", geo.rounded_to_mm(F.col("m")).alias("quick"), F.round("m", 3).alias("plain"))
+    assert rows.count() == 7109
+    assert [r for r in rows.where("NOT quick <=> plain").collect()] == []
+
+
+def test_pairs_of_a_crowded_cell_are_dealt_over_tasks(spark, monkeypatch):
+    """All stops in one cell and no broadcast: partitions small in bytes hold many pairs and must not be merged into one."""
+    monkeypatch.setattr(spatial, "BLOCK_ROWS", 20, raising=False)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stops = spark.range(300).coalesce(1).selectExpr("concat('s', lpad(id, 3, '0')) stop_id", "13.4 + id / 1e6 lon", "52.5 + id / 1e6 lat")
+        unknown = spark.sql("SELECT concat('u', id) stop_id, if(id % 2 = 0, null, 13.4) lon, if(id % 2 = 0, 52.5, null) lat FROM range(50)")
+        found = spatial.nearby(stops.unionByName(unknown), 2000).select("a_stop_id", "b_stop_id", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    names = [f"s{i:03d}" for i in range(300)]
+    assert sorted((r["a_stop_id"], r["b_stop_id"]) for r in found) == [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    shares = [sum(r["p"] == p for r in found) for p in {r["p"] for r in found}]
+    assert max(shares) < len(found) / 2
